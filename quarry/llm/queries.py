@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact_topk, html_text, ngram_join, quality, unigram, warc
+from quarry.llm import bpe, exact_topk, html_text, ngram_join, quality, suffix_dedup, unigram, warc
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.join_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), span=400)
