@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact_topk, html_text, ngram_join, quality, suffix_dedup, unigram, warc
+from quarry.llm import bpe, cross_polytope, exact_topk, html_text, ngram_join, quality, suffix_dedup, unigram, warc
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), span=400)
+
+
+@query
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
