@@ -184,9 +184,9 @@ def load(path: str) -> WordBpe:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, digests of ids and decoded text and, if asked for, the ids and the decoded text."""
+    """doc_id, n_tokens, digests of ids and decoded text and, if asked for, the ids (packed as ``encode`` does) and that text."""
     arrow_rows(docs.sparkSession, 1000)
-    schema = SCHEMA + (", ids array<int>, decoded string" if keep_ids else "")
+    schema = SCHEMA + (", ids binary, decoded string" if keep_ids else "")
 
     def run(batches):
         bpe = load(tokenizer_path)
@@ -199,11 +199,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = Fals
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(decoded).hexdigest())
                 if keep_ids:
-                    ids_col.append(list(struct.unpack(f"<{len(ids) // 4}I", ids)))
+                    ids_col.append(ids)
                     dec_col.append(decoded.decode("utf-8"))
             cols = {"doc_id": doc_ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
             if keep_ids:
-                cols |= {"ids": pa.array(ids_col, pa.list_(pa.int32())), "decoded": pa.array(dec_col, pa.string())}
+                cols |= {"ids": pa.array(ids_col, pa.binary()), "decoded": pa.array(dec_col, pa.string())}
             yield pa.RecordBatch.from_pydict(cols)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, cross_polytope, exact_topk, html_text, ngram_join, quality, suffix_dedup, unigram, warc
+from quarry.llm import bpe, cross_polytope, exact_topk, html_text, mixing, ngram_join, quality, suffix_dedup, unigram, warc
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -81,3 +90,9 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = {"good": 0.85, "good_toxic": 0.05, "low": 0.08, "low_toxic": 0.02}
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), weights)

@@ -346,12 +346,14 @@ def removed_bytes(n: int, places: list[dict], span: int) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, span: int = SPAN, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, span: int = SPAN, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text and the spans.
 
-    The kept text leaves out the bytes of a character of which only a part was removed.
+    The kept text leaves out the bytes of a character of which only a part was removed. Columns named in ``carry`` are
+    passed through.
     """
     arrow_rows(docs.sparkSession, 1000)
+    whole = docs
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     places = repeated_places(docs.filter(F.octet_length("text") >= span), span)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -373,10 +375,17 @@ def dedup(docs: DataFrame, span: int = SPAN, keep_text: bool = False) -> DataFra
                     rows["kept"].append(kept.decode("utf-8", "ignore"))
                     rows["spans"].append([{"start": a, "stop": b} for a, b in gone])
             arrays = {k: v if k == "doc_id" else pa.array(v, pa.string() if k in ("kept_sha256", "kept") else pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])) if k == "spans" else pa.int64()) for k, v in rows.items()}
-            yield pa.RecordBatch.from_pydict(arrays)
+            yield pa.RecordBatch.from_pydict(arrays | {f"carried_{i}": batch.column(3 + i) for i, _ in enumerate(carry)})
 
     places = few_places(places)
-    return docs.join(places, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(run, schema)
+    passed = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    whole = whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *passed)
+    for i, _ in enumerate(carry):
+        schema += f", carried_{i} {whole.schema[f'carried_{i}'].dataType.simpleString()}"
+    out = whole.join(places, "doc_id", "left").select("doc_id", "text", "places", *[f"carried_{i}" for i, _ in enumerate(carry)]).mapInArrow(run, schema)
+    for i, c in enumerate(carry):
+        out = out.withColumnRenamed(f"carried_{i}", c)
+    return out
 
 
 #: Place lists are broadcast only if they hold fewer places in all than this (16 bytes each).
