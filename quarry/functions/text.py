@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed words of the functions below.
+#: The words, patterns and labels that the functions below are defined by.
+FAILURE_TERM = r"\b[A-Z][A-Z0-9_]{2,}(?:ERROR|FAIL|MISMATCH|MISSING)[A-Z0-9_]*\b|\b[A-Z][A-Za-z]+Error\b"
+FAILURE_HINT = r"(?:(?i:\b(?:error|fail(?:ed|ure)?|traceback)\b|\bexception\s*[:(])|\b[A-Za-z][A-Za-z0-9]*(?:Error|Exception)\b|错误|失败|丢失|不通过)"
+NO_ERROR = r"(?i)(?![\"\s]*:\s*(?:null|false|0\b|\"\"|\[\]|\{\}))"
+RECOVERY_HINT = "(?i)recovery|retry|修复|恢复|重试|另一运行"
+COUNTER_HINT = "(?i)counterexample|反例|妨碍"
+SESSION_LABELS = {
+    "decision": "decisions", "decisions": "decisions", "todo": "todos", "todos": "todos", "task": "todos", "evidence": "evidence", "source": "evidence",
+    "open question": "open_questions", "question": "open_questions", "note": "notes", "notes": "notes",
+}
+TERMINAL_STATUSES = ("completed", "timeout", "cancelled", "budget_exhausted", "adapter_error")
 STOP_WORDS = ("a", "an", "and", "be", "for", "in", "is", "must", "of", "or", "the", "to", "with")
 
 
@@ -75,8 +85,7 @@ def terms(text: Column) -> Column:
 
 def failure_terms(text: Column) -> Column:
     """Distinct words that name a failure, sorted."""
-    pattern = r"\b[A-Z][A-Z0-9_]*(?:ERROR|FAIL|MISMATCH|MISSING)[A-Z0-9_]*\b|\b[A-Z][A-Za-z0-9]*Error\b"
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(FAILURE_TERM), F.lit(0))))
 
 
 def token_estimate(text: Column) -> Column:
@@ -101,3 +110,72 @@ def learning_role(kind: Column) -> Column:
 def signature_score(criteria: Column, other_criteria: Column, errors: Column, other_errors: Column, symptoms: Column, other_symptoms: Column, same_operation: Column) -> Column:
     common = lambda a, b: F.size(F.array_intersect(a, b))
     return (4 * common(criteria, other_criteria) + 3 * common(errors, other_errors) + common(symptoms, other_symptoms) + same_operation.cast("int")).cast("long")
+
+
+def failure_position(text: Column) -> Column:
+    """Where the first failure hint begins (from 0) that no serialized absence of an error follows; null if none."""
+    at = F.regexp_instr(text, F.lit(FAILURE_HINT + NO_ERROR))
+    return F.when(at > 0, at - 1)
+
+
+def event_role(kind: Column, text: Column) -> Column:
+    return (
+        F.when(kind == "instruction", "task").when(kind == "feedback", "feedback").when(text.rlike(COUNTER_HINT), "counterexample")
+        .when(text.rlike(RECOVERY_HINT), "recovery").when(kind == "action", "action").otherwise("observation")
+    )
+
+
+def session_lines(text: Column) -> Column:
+    """Labelled lines of a transcript, as (section, value)."""
+    line = r"(?i)^(decisions?|todos?|task|evidence|source|open question|question|notes?)\s*:\s*(.+)$"
+    section = F.create_map(*[F.lit(x) for pair in SESSION_LABELS.items() for x in pair])
+    lines = F.transform(F.split(text, "\\r?\\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    found = F.filter(lines, lambda x: x.rlike(line))
+    return F.transform(found, lambda x: F.struct(F.element_at(section, F.lower(F.regexp_extract(x, line, 1))).alias("section"), F.regexp_extract(x, line, 2).alias("value")))
+
+
+def verification(kind: Column, n_evidence: Column) -> Column:
+    """Sessions are rejected; personal items need two pieces of evidence, others one."""
+    return F.when(kind == "session", "rejected").when((kind == "personal") & (n_evidence < 2), "needs_more_evidence").when(n_evidence > 0, "verified").otherwise("needs_more_evidence")
+
+
+def promotion_refusal(kind: Column, scope: Column, status: Column, source_hash: Column) -> Column:
+    """Why an item cannot become durable; null if it can."""
+    return F.when(F.trim(scope) == "", "no scope").when(status != "verified", "not verified").when(kind == "session", "session").when((kind == "evidence") & source_hash.isNull(), "no source")
+
+
+def execution_status(status: Column, has_artifact: Column, error: Column, policy: str) -> Column:
+    """(execution_status, eligible): how an execution ended, and whether it may be evaluated."""
+    given = F.coalesce(status, F.lit("completed"))
+    failed = F.when(error.isin("cancelled", "timeout", "budget_exhausted"), error).otherwise("adapter_error")
+    end = F.when(error.isNotNull(), failed).when(~given.isin(*TERMINAL_STATUSES), "adapter_error").when(~has_artifact & (given == "completed"), "adapter_error").otherwise(given)
+    eligible = error.isNull() & has_artifact & (end != "adapter_error") & ((end == "completed") | F.lit(policy == "available_artifact"))
+    return F.struct(end.alias("execution_status"), eligible.alias("eligible"))
+
+
+def fact_score(kind: Column, is_global: Column, tasks: Column, words: Column, content_terms: Column, task: str, query: list[str]) -> Column:
+    """(score, reason) of a fact for a task; a null score excludes it. Without declared tasks and words it is legacy."""
+    asked = F.array(*map(F.lit, query)).cast("array<string>")
+    overlap = F.size(F.array_intersect(content_terms, asked)).cast("double")
+    result = lambda score, reason: F.struct(score.alias("score"), F.lit(reason).alias("reason"))
+    out = F.lit(None).cast("double")
+    declared = (F.size(tasks) > 0) | (F.size(words) > 0)
+    missed = ((F.size(tasks) > 0) & ~F.array_contains(tasks, task)) | ((F.size(words) > 0) & ~F.arrays_overlap(words, asked))
+    return (
+        F.when(is_global, result(F.lit(1.0), "declared_global")).when(declared & missed, result(out, "task_relevance"))
+        .when(declared, result(overlap + 1, "declared_applicability")).when(kind == "user", result(overlap + 1, "legacy_user_unspecified_applicability"))
+        .when(overlap > 0, result(overlap, "lexical_task_overlap")).otherwise(result(out, "task_relevance"))
+    )
+
+
+def scope_phrases(text: Column, phrases: Column) -> Column:
+    """The phrases that a text contains once white space and case are levelled, sorted."""
+    level = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    return F.array_sort(F.filter(phrases, lambda p: level(text).contains(level(p))))
+
+
+def asset_decision(kind: Column, available: Column, compiled: Column, interrupted: Column, has_test: Column, returncode: Column, output_matches: Column) -> Column:
+    return (
+        F.when(~F.coalesce(available, F.lit(False)), "unknown").when(kind == "compile", F.when(compiled.isNull(), "unknown").when(compiled, "pass").otherwise("fail"))
+        .when(F.coalesce(interrupted, F.lit(False)) | ~has_test | returncode.isNull(), "unknown").when((returncode == 0) & output_matches, "pass").otherwise("fail")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import runs, vault
+from quarry.plans import evidence, runs, vault
 from quarry.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "runs", "vault"]
+__all__ = ["ORACLES", "QUERIES", "evidence", "runs", "vault"]
