@@ -49,6 +49,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: SHA-1 comes as hexadecimal digits; base32 takes five of its bits at a time.
+ORACLES["op5_warc"] = """
+WITH s AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha1(h) AS x FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', x[i])]), '') AS bits,
+ min(page_id) OVER (PARTITION BY x, n) AS first FROM s)
+SELECT page_id, n AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(16 * CAST(bits[5*i+1] AS INTEGER) + 8 * CAST(bits[5*i+2] AS INTEGER) + 4 * CAST(bits[5*i+3] AS INTEGER)
+  + 2 * CAST(bits[5*i+4] AS INTEGER) + CAST(bits[5*i+5] AS INTEGER) AS BIGINT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
+
+
 @query
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
@@ -82,6 +94,21 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+ORACLES["op3_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+ ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i, any_value(a.n) + any_value(b.n) AS m FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p WHERE 100 * i >= 90 * (m - i)),
+g AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, g.y FROM r JOIN g ON r.node = g.x),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id),
+k AS (SELECT y AS doc_id, min(x) AS class_id FROM p WHERE 2 * i = m GROUP BY y)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, coalesce(class_id, s.doc_id) AS class_id FROM s JOIN c ON s.doc_id = c.doc_id LEFT JOIN k ON s.doc_id = k.doc_id
+"""
+
+
 @query
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), span=400)
