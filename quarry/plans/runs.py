@@ -89,13 +89,13 @@ ORACLES["terminal_counts"] = SQL_PAIRED + "\nSELECT split, coalesce(terminal_sta
 def criterion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     items = li.select("l_orderkey", F.col("l_linenumber").cast("double").alias("weight"), F.when(F.col("l_tax") > 0.02, F.col("l_discount") * 10).alias("score"))
-    return A.criterion_scores(items, "l_orderkey", 0.5)
+    return A.criterion_scores(items, "l_orderkey", 0.5003)
 
 
 ORACLES["criterion_scores"] = """WITH w AS (SELECT l_orderkey, sum(CAST(l_linenumber AS DOUBLE)) AS w, coalesce(sum(l_linenumber * l_discount * 10) FILTER (l_tax > 0.02), 0) AS s,
  coalesce(sum(l_linenumber) FILTER (l_tax <= 0.02), 0) AS m, count(*) AS expected, count(*) FILTER (l_tax > 0.02) AS known FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, expected, known, round(known / CAST(expected AS DOUBLE), 6) AS coverage, CASE WHEN known = expected THEN round(s / w, 6) END AS score,
- CASE WHEN known < expected THEN 'unknown' WHEN s / w >= 0.5 THEN 'pass' ELSE 'fail' END AS outcome, round(s / w, 6) AS lower, round((s + m) / w, 6) AS upper FROM w"""
+ CASE WHEN known < expected THEN 'unknown' WHEN s / w >= 0.5003 THEN 'pass' ELSE 'fail' END AS outcome, round(s / w, 6) AS lower, round((s + m) / w, 6) AS upper FROM w"""
 
 
 @query
