@@ -34,6 +34,7 @@ from quarry.llm.text_words import A, Shingler, mix
 FREQUENT, MOST_FREQUENT = 64, 1_000_000
 #: Missing tokens up to which pairs of frequent tokens are indexed.
 PAIRED_MISSING = 20
+#: Bits of the smallest bitmap.
 BITS = 512
 
 
@@ -83,16 +84,25 @@ class Prefixes:
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:
-    odd = (np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    """A bitmap, as 64-bit words, in which each token flips one bit; it has at least as many bits as tokens."""
+    size = BITS
+    while size < len(s):
+        size *= 2
+    odd = (np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def folded(bits: str, words: Column) -> Column:
+    """A bitmap at half its size if it is longer than so many words: its halves added."""
+    halves = F.zip_with(F.slice(bits, F.lit(1), words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > words, halves).otherwise(F.col(bits))
+
+
 def distance(a: str, b: str) -> Column:
-    """Hamming distance of two bitmaps."""
-    total = F.lit(0)
-    for i in range(BITS // 64):
-        total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return total
+    """Hamming distance of two bitmaps whose sizes are equal or differ by a factor of two."""
+    words = F.least(F.size(a), F.size(b))
+    differ = F.zip_with(folded(a, words), folded(b, words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differ, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
 def whole_texts(docs: DataFrame) -> DataFrame:
@@ -106,10 +116,10 @@ def frequent_tokens(docs: DataFrame, width: int, num: int, den: int) -> np.ndarr
     def run(batches):
         shingler = Shingler(width)
         for batch in batches:
-            for text in batch.column(1):
-                s = shingler.shingles(text.as_py())
-                if len(s) and plain.linkable(len(s)):
-                    yield pa.RecordBatch.from_arrays([pa.array(s[: plain.missing(len(s)) + 1].view(np.int64))], ["token"])
+            sets = [shingler.shingles(x.as_py()) for x in batch.column(1)]
+            firsts = [s[: plain.missing(len(s)) + 1] for s in sets if len(s) and plain.linkable(len(s))]
+            if firsts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64))], ["token"])
 
     counts = docs.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") > FREQUENT)
     counts = materialize(counts, "frequent")
@@ -170,12 +180,13 @@ def alike(a: str, b: str, num: int, den: int) -> Column:
     return near & (distance(f"bits{a}", f"bits{b}") * (den + num) <= (na + nb) * (den - num))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, kept: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, with the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(kept, "doc_id")
-    ids = materialize(ids, "candidate-ids")
-    texts = docs.join(few_ids(ids.select("doc_id")), "doc_id", "left_semi")
-    sets = materialize(token_sets(texts, width).join(few_ids(ids), ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id"]), "candidate-sets")
+def verified(pairs: DataFrame, docs: DataFrame, kept: DataFrame | None, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, with the similarity. ``kept`` picks one text of each doc_id."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+    sets = token_sets(docs.join(few_ids(ids), "doc_id", "left_semi"), width)
+    if kept is not None:
+        sets = sets.join(kept, ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(sets, "candidate-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("m"))
@@ -190,14 +201,14 @@ def join_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     arrow_rows(docs.sparkSession, 1000)
     docs = whole_texts(docs)
     rows = materialize(index_rows(docs, width, num, den, frequent_tokens(docs, width, num, den)), "index")
-    one = rows
+    one, kept = rows, None
     if not rows.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).filter("x <> y").isEmpty():
         first = rows.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x")).select("doc_id", "x.f1", "x.f2")
         one = rows.join(first, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id"])
+        kept = one.select("doc_id", "f1")
     classes = one.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id"), "f1")
-    kept = one.filter("n > 0").select("doc_id", "f1")
-    heads = one.filter("n > 0 and size(entries) > 0").join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    heads = one.filter("n > 0 and size(entries) > 0").join(reps, "doc_id", "left_semi")
     entries = heads.select("doc_id", F.explode("entries").alias("entry"))
     shared = entries.groupBy("entry").agg(F.count("*").alias("c"), F.min("doc_id").alias("leader")).filter("c > 1").drop("c")
     found = materialize(entries.join(shared, "entry"), "shared-entries")

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
-from quarry.llm.bpe import Memo
-
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,28 +17,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def lower_ascii(text: str) -> str:
-    """A-Z in lower case, all else as it is."""
-    return text.lower() if text.isascii() else text.translate(LOWER)
-
-
 class Shingler:
-    """Distinct word shingles of texts. Word fingerprints are kept in a bounded table."""
+    """Distinct word shingles of texts: A-Z in lower case, words parted by ASCII white space."""
 
     def __init__(self, width: int = 3):
         self.width = width
-        self.word = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 150_000)
 
-    def words(self, text: str | None) -> list[str]:
-        return WORDS.findall(lower_ascii(text)) if text else []
+    def words(self, text: str | None) -> list[bytes]:
+        # On bytes, lower() and split() know ASCII only.
+        return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
     def shingles(self, text: str | None) -> np.ndarray:
         """The set as sorted fingerprints; fewer words than the width make one shingle, no words make none."""
         words = self.words(text)
         if not words:
             return np.empty(0, np.uint64)
-        table = self.word
-        h = np.fromiter([table[w] for w in words], np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         width = min(self.width, len(words))
         # The number of words goes in, so a short sequence never equals a longer one's part.
         out = np.full(len(h) - width + 1, width, np.uint64)
