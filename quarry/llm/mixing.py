@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
-from quarry.llm.quality import STATISTICS, base_columns
 
 #: (quality, toxic) of each domain.
 DOMAINS = {"low": (0, 0), "low_toxic": (0, 1), "good": (1, 0), "good_toxic": (1, 1)}
@@ -37,22 +36,46 @@ STEPS, TOLERANCE, PULL = 40, 1e-4, 1e-3
 EVIDENCE = 0.5
 
 
+#: The statistics by name, over the columns of ``base``.
+STATISTICS = {
+    "log_chars": lambda: F.log1p("_chars"),
+    "word_length": lambda: F.col("_chars") / F.col("_words"),
+    "distinct_words": lambda: F.size("_kinds") / F.sqrt("_words"),
+    "distinct_share": lambda: F.size("_kinds") / F.col("_words"),
+    "lower_share": lambda: F.col("_lower") / F.greatest("_chars", F.lit(1.0)),
+    "stops_per_word": lambda: F.col("_stops") / F.col("_words"),
+    "bangs_per_word": lambda: F.col("_bangs") / F.col("_words"),
+    "signs_per_word": lambda: F.col("_signs") / F.col("_words"),
+}
+
+
+def base(docs: DataFrame) -> DataFrame:
+    """Counts of each whole text; one array of lower-case words serves the counts and the marking words."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    left = lambda pattern: F.length(F.regexp_replace(t, pattern, "")).cast("double")  # noqa: E731  characters that remain
+    words = F.split(F.trim(F.lower(F.regexp_replace(t, r"[\s.,;:!?]+", " "))), " ")
+    return docs.withColumns({
+        "_chars": F.length(t).cast("double"),
+        "_words": F.size(words).cast("double"),
+        "_kinds": F.array_distinct(words),
+        "_lower": left(r"[^\p{Ll}]+"),
+        "_stops": left("[^.,;:?]+"),
+        "_bangs": left("[^!]+"),
+        "_signs": left(r"[^#$%&*+/<=>@\\^_`{|}~]+"),
+        "_blank": F.length(F.trim(t)) == 0,
+    })
+
+
 def prepared(docs: DataFrame, marks: list[str] | None = None) -> DataFrame:
     """doc_id, n_tokens and the statistics of each whole text, with the number of different marking words in it."""
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = base_columns(docs)
-    n = F.when(F.length(F.trim(t)) == 0, F.lit(0)).otherwise(F.col("_words")).cast("long")
+    n = F.when(F.col("_blank"), F.lit(0)).otherwise(F.col("_words")).cast("long")
     cols = [n.alias("n_tokens"), *[make().alias(f"_s_{k}") for k, make in STATISTICS.items()]]
     if marks is None:
-        cols.append(lower_words(t).alias("_w"))
+        cols.append(F.col("_kinds").alias("_w"))
     else:
-        found = F.size(F.array_intersect(lower_words(t), F.array(*[F.lit(m) for m in marks]))) if marks else F.lit(0)
+        found = F.size(F.array_intersect("_kinds", F.array(*[F.lit(m) for m in marks]))) if marks else F.lit(0)
         cols.append(F.least(found, F.lit(3)).alias("_m"))
-    return df.select("doc_id", *[c for c in docs.columns if c.startswith("_d")], *cols)
-
-
-def lower_words(t: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(F.regexp_replace(t, r"[\s.,;:!?]+", " ")), " "))
+    return base(docs).select("doc_id", *[c for c in docs.columns if c.startswith("_d")], *cols)
 
 
 def labelled(labels: DataFrame, sample_rows: int) -> DataFrame:
