@@ -30,8 +30,8 @@ from quarry.llm.common import arrow_rows, discard, few_ids, materialize
 from quarry.llm.components import connected_components
 from quarry.llm.text_words import A, Shingler, mix
 
-#: A token in more prefixes than this is frequent, and at most so many tokens are.
-FREQUENT, MOST_FREQUENT = 64, 1_000_000
+#: A token in more prefixes than this is frequent; the bound is doubled until at most so many tokens are.
+FREQUENT, MOST_FREQUENT = 4, 1_000_000
 #: Missing tokens up to which pairs of frequent tokens are indexed.
 PAIRED_MISSING = 20
 #: Bits of the smallest bitmap.
@@ -110,7 +110,10 @@ def whole_texts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_tokens(docs: DataFrame, width: int, num: int, den: int) -> np.ndarray:
-    """Tokens in the prefixes of more than FREQUENT documents; fewer, more frequent ones if the list were too long."""
+    """Tokens in the prefixes of more than FREQUENT documents, or of the least multiple that keeps the list short.
+
+    Which tokens are frequent only changes the order and the kind of the index entries, never what they find.
+    """
     plain = Prefixes(num, den, np.empty(0, np.uint64))
 
     def run(batches):
@@ -123,9 +126,9 @@ def frequent_tokens(docs: DataFrame, width: int, num: int, den: int) -> np.ndarr
 
     counts = docs.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") > FREQUENT)
     counts = materialize(counts, "frequent")
-    n, total = counts.agg(F.count("*"), F.sum("count")).first()
-    if n > MOST_FREQUENT:
-        counts = counts.filter(F.col("count") > total // MOST_FREQUENT)
+    bounds = [FREQUENT << i for i in range(48)]
+    over = counts.agg(*[F.count_if(F.col("count") > x) for x in bounds]).first()
+    counts = counts.filter(F.col("count") > next(x for x, n in zip(bounds, over, strict=True) if n <= MOST_FREQUENT))
     got = np.array([r[0] for r in counts.select("token").collect()], np.int64).view(np.uint64)
     return np.sort(got)
 
