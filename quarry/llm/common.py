@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Ids up to this many may be broadcast (8 bytes each); beyond it a shuffled join is used.
 BROADCAST_IDS = 500_000
+#: Has Spark delete the shuffle files of a query as soon as it ends, instead of when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,10 +32,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it again, which cuts its lineage."""
+    """Write ``df`` to the shared scratch folder and read it again, which cuts its lineage.
+
+    Once the table is complete nothing reads the shuffles behind it any more, so their files go at once.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out
