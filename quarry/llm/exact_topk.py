@@ -8,7 +8,8 @@ falling bound and scored through their forward index until the next bound falls
 
 Defined results: a vector that is null or holds null or non-finite components takes no part; a shorter vector counts
 as filled up with zeros; a query's own row (by vec_id) is no candidate; ties go to the smaller vec_id; a query without
-candidates has no row; an empty table gives an empty table; other columns are not read.
+candidates has no row; a score beyond 64 bits is given as the largest long of its sign, and such scores tie across
+shards; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ CHUNK_QUERIES = 4_096
 BLOCK_ROWS = 128
 #: Products of integers below this, summed over a few thousand terms, are exact in double precision.
 EXACT_IN_DOUBLE = 2**20
+LARGEST_LONG = 2**63 - 1
 
 
 def order_blocks(docs: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -100,7 +102,7 @@ def search(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256)
             for q, found, scores in search_cell(ids[~asks], vectors[~asks], query_ids, vectors[asks], k):
                 out_q += [query_ids[q]] * len(found)
                 out_v += found.tolist()
-                out_s += [int(s) for s in scores]
+                out_s += [max(-LARGEST_LONG, min(LARGEST_LONG, int(s))) for s in scores]
         return pa.table({"shard": pa.array([key[0].as_py()] * len(out_q), pa.int32()), "query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
 
     found = docs.unionByName(asked).groupBy("shard", "chunk").applyInArrow(cell, "shard int, query_id long, vec_id long, score long")
