@@ -3,8 +3,9 @@
 The page is parsed into a tree with the usual leniency (implied ends, unclosed tags). Parts that are never main text
 go: scripts, forms, navigation, footers, and elements whose role, class or id marks them as menus, notices, adverts,
 sidebars or comments. Each paragraph then passes points for its length and its commas to its ancestors, less with each
-level; a container's points are discounted by its share of linked text. The best container and those siblings that
-score nearly as well are the main text, whose blocks are joined in page order.
+level; a container's points are discounted by its share of linked text. The best container, or the article or main
+element that holds it, is the main text; unless that lies right under the body, its sibling containers that score nearly
+as well and all its other siblings that are not mostly links belong to it. Blocks are joined in page order.
 
 Defined results: a null or empty page, or one without text outside dropped parts, has the empty string and 0 code
 points; malformed markup is read as far as it goes; ties go to the container that starts first; repeated rows are
@@ -219,17 +220,20 @@ def main_text(page: str | None) -> str:
             best = node
     if best is None:
         return ""
-    keep = [best]
-    if best.parent is not None and not (best.tag in ("article", "main") and best.parent.tag in ("body", "html")):
-        least = max(10.0, best.score * 0.2)
-        keep = []
-        for x in best.parent.items:
-            if isinstance(x, str) or x.dropped:
-                continue
-            plain = x.tag == "p" and x.length > 80 and density(x) < 0.25
-            if x is best or (x.score >= least and x.tag in CONTAINERS) or plain:
-                keep.append(x)
-    return " ".join(filter(None, (flat(x, True) for x in keep)))
+    holder = best
+    while holder is not None and holder.tag not in ("article", "main"):
+        holder = holder.parent
+    best = holder or best
+    if best.parent is None or (best.tag in ("article", "main") and best.parent.tag in ("body", "html")):
+        return flat(best, True)
+    least = max(10.0, best.score * 0.2)
+    keep = Node(best.parent.tag, None, 0)
+    for x in best.parent.items:
+        if isinstance(x, str):
+            keep.items.append(x)
+        elif x is best or (x.score >= least if x.tag in CONTAINERS else x.tag != "a" and density(x) < 0.25):
+            keep.items.append(x)
+    return flat(keep, True)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -21,6 +21,20 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+PARAGRAPH = "<p>" + "A long paragraph, with commas, and words enough to count for its whole length, " * 5 + "again.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<body><article><h1>Title</h1><div class=content>{}</div><ul><li>item</ul><pre>code</pre></article></body>",
+    "<body><main><div><h1>Title</h1><div class=content>{}</div></div><table><tr><td>item</table><p>code</p></main></body>",
+    "<body><div><h1>Title</h1><div class=content>{}</div><ul><li>item</ul><p>code</p></div></body>",
+])
+@pytest.mark.parametrize("n", [1, 12])
+def test_what_stands_beside_the_text_stays(page, n):
+    text = html_text.main_text(page.format(PARAGRAPH * n))
+    assert text.startswith("Title A long") and text.endswith("again. item code") and text.count("again.") == n
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 5000 + "deep, text" + "</div>" * 5000) == "deep, text"
     assert len(html_text.main_text("<article>" + "<p>word, word</p>" * 20000)) == 20000 * 11 - 1
