@@ -2,7 +2,9 @@
 
 The page is parsed into a tree with the usual leniency (implied ends, unclosed tags). Parts that are never main text
 go: scripts, forms, navigation, footers, and elements whose role, class or id marks them as menus, notices, adverts,
-sidebars or comments. Each paragraph then passes points for its length and its commas to its ancestors, less with each
+sidebars or comments. A class or id marks an element only if all words of one of its tokens are on the list; it stays
+if it holds an article or main element, or most of the points of a page without one elsewhere, and if hardly any text
+is left without the marked elements, they all stay. Each paragraph then passes points for its length and its commas to its ancestors, less with each
 level; a container's points are discounted by its share of linked text. The best container, or the article or main
 element that holds it, is the main text; unless that lies right under the body, its sibling containers that score nearly
 as well and all its other siblings that are not mostly links belong to it. Blocks are joined in page order.
@@ -53,13 +55,13 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "items", "dropped", "links", "length", "score", "order")
+    __slots__ = ("tag", "words", "parent", "items", "dropped", "marked", "links", "length", "score", "order")
 
     def __init__(self, tag: str, parent: Node | None, order: int):
         self.tag, self.parent, self.order = tag, parent, order
         self.words: set[str] = set()
         self.items: list = []
-        self.dropped, self.score = False, 0.0
+        self.dropped, self.marked, self.score = False, False, 0.0
         self.links = self.length = 0
 
 
@@ -80,13 +82,18 @@ def unwanted(node: Node, attrs: dict[str, str]) -> bool:
         return True
     if attrs.get("role", "").lower() in ROLES:
         return True
-    if node.tag == "header":
-        return not inside(node.parent, ("article", "main"))
+    return node.tag == "header" and not inside(node.parent, ("article", "main"))
+
+
+def marked(node: Node, tokens: list[str]) -> bool:
+    """Whether a class or an id says that an element is not main text; such words may mislead, see ``main_text``."""
+    if node.tag in ("html", "body"):
+        return False
     if node.tag in ("article", "main"):
-        return bool(node.words & {"comment", "comments", "reply", "related"})
-    if node.words & UNLIKELY:
+        return not {"comment", "comments", "reply", "related"}.isdisjoint(tokens)
+    if any(all(w in UNLIKELY for w in re.findall("[a-z]+", t)) for t in tokens if re.search("[a-z]", t)):
         return True
-    return bool(node.words & HEADERS) and not inside(node.parent, ("article", "main"))
+    return not HEADERS.isdisjoint(tokens) and not inside(node.parent, ("article", "main"))
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -142,6 +149,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         marks = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
         if not marks.isspace():
             node.words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())) | set(marks.split())
+            node.marked = marked(node, marks.split())
         node.dropped = here.dropped or unwanted(node, attrs)
         nodes.append(node)
         here.items.append(node)
@@ -161,6 +169,7 @@ def measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         if node.dropped:
             continue
+        node.length = node.links = 0
         for x in node.items:
             if isinstance(x, str):
                 node.length += len(" ".join(x.split()))
@@ -191,23 +200,73 @@ def density(node: Node) -> float:
     return node.links / node.length if node.length else 0.0
 
 
+def points(node: Node) -> float:
+    """The points of a block for its own text."""
+    text = flat(node, False)
+    return 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3) if text else 0.0
+
+
+def drop_marked(nodes: list[Node]) -> bool:
+    """Drop the marked elements, except those that hold main text; whether any went."""
+    found = [x for x in nodes if x.marked and not x.dropped]
+    if not found:
+        return False
+    total = dict.fromkeys(nodes, 0.0)
+    holds: set[Node] = set()
+    plain = False
+    for node in reversed(nodes):
+        if node.dropped:
+            continue
+        if node.tag in BLOCKS and node.length:
+            total[node] += points(node)
+        own = node.tag in ("article", "main") and not node.marked
+        if node.parent is not None:
+            total[node.parent] += total[node]
+            if own or node in holds:
+                holds.add(node.parent)
+        plain = plain or own
+    whole = total[nodes[0]]
+    went = False
+    for node in nodes:
+        if node.parent is not None and node.parent.dropped:
+            node.dropped = True
+        elif node.marked and not node.dropped and node not in holds and (plain or total[node] * 2 <= whole):
+            node.dropped = went = True
+    return went
+
+
 def main_text(page: str | None) -> str:
     if not page or page.isspace():
         return ""
     root, nodes = parse(page)
     measure(nodes)
+    all_length = root.length
+    kept = [x.dropped for x in nodes]
+    if not drop_marked(nodes):
+        return chosen_text(nodes)[0]
+    measure(nodes)
+    text, sure = chosen_text(nodes)
+    if sure or len(text) * 10 >= all_length:
+        return text
+    for node, dropped in zip(nodes, kept, strict=True):
+        node.dropped, node.score = dropped, 0.0
+    measure(nodes)
+    return chosen_text(nodes)[0]
+
+
+def chosen_text(nodes: list[Node]) -> tuple[str, bool]:
+    """The main text of what is not dropped, and whether an article or main element holds it."""
     for node in nodes:
         if node.dropped or node.tag not in BLOCKS or not node.length:
             continue
-        text = flat(node, False)
-        if not text:
+        own = points(node)
+        if not own:
             continue
-        points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
         # A block with text of its own outside paragraphs is a paragraph in its own right.
         above, level = node.parent if node.tag not in ("div", "article", "section", "main", "td", "body", "html") else node, 0
         while above is not None:
             if above.tag in CONTAINERS:
-                above.score += points / (1 if level == 0 else 2 if level == 1 else level * 3)
+                above.score += own / (1 if level == 0 else 2 if level == 1 else level * 3)
                 level += 1
             above = above.parent
     best = None
@@ -219,13 +278,13 @@ def main_text(page: str | None) -> str:
         if best is None or node.score > best.score:
             best = node
     if best is None:
-        return ""
+        return "", False
     holder = best
     while holder is not None and holder.tag not in ("article", "main"):
         holder = holder.parent
     best = holder or best
     if best.parent is None or (best.tag in ("article", "main") and best.parent.tag in ("body", "html")):
-        return flat(best, True)
+        return flat(best, True), holder is not None
     least = max(10.0, best.score * 0.2)
     keep = Node(best.parent.tag, None, 0)
     for x in best.parent.items:
@@ -233,7 +292,7 @@ def main_text(page: str | None) -> str:
             keep.items.append(x)
         elif x is best or (x.score >= least if x.tag in CONTAINERS else x.tag != "a" and density(x) < 0.25):
             keep.items.append(x)
-    return flat(keep, True)
+    return flat(keep, True), holder is not None
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

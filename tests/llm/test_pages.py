@@ -35,6 +35,18 @@ def test_what_stands_beside_the_text_stays(page, n):
     assert text.startswith("Title A long") and text.endswith("again. item code") and text.count("again.") == n
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><div class='page has-sidebar'><div id=with-nav><article><p>Kept, whole, text.</p></article></div></div></body>", "Kept, whole, text."),
+    ("<body><article><p>One, two.</p><section id=search-results-explained><p>Three, four.</p></section><div class=share-widget><p>Five, six.</p></div></article></body>", "One, two. Three, four."),
+    ("<body><div class=notice><article><p>Kept, whole, text.</p></article></div></body>", "Kept, whole, text."),
+    ("<body><div class=notice><p>Kept, whole, text.</p><p>And, so, on.</p></div><p>End</p></body>", "Kept, whole, text. And, so, on. End"),
+    ("<body><div class=widget><p>One, two, three.</p></div><div class=social><p>Four, five, six.</p></div><div class=promo><p>Seven, eight, nine.</p></div></body>", "One, two, three. Four, five, six. Seven, eight, nine."),
+    ("<body><article><p>Text, of it.</p></article><div id=comments><article class=comment><p>" + "No, no, no. " * 30 + "</p></article></div></body>", "Text, of it."),
+])
+def test_ordinary_words_in_classes_cost_no_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 5000 + "deep, text" + "</div>" * 5000) == "deep, text"
     assert len(html_text.main_text("<article>" + "<p>word, word</p>" * 20000)) == 20000 * 11 - 1
