@@ -5,7 +5,10 @@ that mark toxic rows gives each document a posterior over the domains. With n to
 nonnegative rates r(i) are sought for which the expected tokens sum_i n(i) p(i, d) r(i) meet the targets: projected
 gradient steps on the squared relative misses plus a small pull towards rate 1. A step needs only the domains' sums, so
 each one is a single aggregation of a few numbers; the rates themselves are folded from the list of past misses, and
-nothing but that list (domains times steps) reaches the driver.
+nothing but that list (domains times steps) reaches the driver. Where these steps do not reach the tolerance, Newton steps
+on the dual of the same problem, a number for each domain, go on until the tolerance or the minimum is reached, and it is
+an error if neither is. At the minimum targets can be missed, as soft posteriors need not allow them; the misses are
+returned by ``mix_with_misses`` and ``mix`` warns of them.
 
 The classifier is fitted to at most ``sample_rows`` labelled rows, taken in the order of a hash of doc_id; token totals,
 posteriors and rates cover all documents.
@@ -19,7 +22,9 @@ own; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,8 @@ BINS = 8
 #: Words that mark toxic rows, at most so many, each in at least so many labelled rows.
 MARK_WORDS, MARK_ROWS = 64, 5
 STEPS, TOLERANCE, PULL = 40, 1e-4, 1e-3
+#: Newton steps at most, and the slope of the dual below which a point is its minimum.
+NEWTON_STEPS, FLAT = 200, 1e-9
 #: The features are not independent; their joint evidence counts by this share.
 EVIDENCE = 0.5
 
@@ -164,8 +171,50 @@ def step_rates(misses: list[dict[str, float]], names: list[str]) -> Column:
     return F.aggregate(past, F.lit(1.0), step)
 
 
+def dual_rate(dual: np.ndarray, names: list[str]) -> Column:
+    """The rate of a row that minimizes its share of the Lagrangian."""
+    return F.greatest(F.lit(0.0), sum((F.col(f"p_{d}") * float(-x) for d, x in zip(names, dual, strict=True)), F.lit(1.0)))
+
+
+def fit_dual(members: DataFrame, names: list[str], total: float, target: dict[str, float], shares: dict[str, float]) -> tuple[np.ndarray, list[dict[str, float]]]:
+    """The dual values at which the rates meet the targets or the squared misses and the pull are least, and all misses.
+
+    The dual is convex and piecewise quadratic, and the pull makes it strictly so: damped Newton steps end at its minimum.
+    A trial is one aggregation of the domains' sums, of their products over rows with a rate above 0, and of one square.
+    """
+    k = len(names)
+    goal, pull = np.array([target[d] for d in names]), PULL * np.array([shares[d] for d in names])
+    p, n = [F.col(f"p_{d}") for d in names], F.col("n_tokens") / total
+
+    def at(dual: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        live = F.when(F.col("_r") > 0, n).otherwise(0.0)
+        sums = [F.sum(n * F.col("_r") * F.col("_r")), *[F.sum(n * x * F.col("_r")) for x in p], *[F.sum(live * p[i] * p[j]) for i in range(k) for j in range(i, k)]]
+        got = list(members.withColumn("_r", dual_rate(dual, names)).agg(*sums).first())
+        curve = np.zeros((k, k))
+        curve[np.triu_indices(k)] = got[1 + k :]
+        curve = curve + np.triu(curve, 1).T + np.diag(pull)
+        return got[0] / 2 + dual @ goal + pull @ dual**2 / 2, np.array(got[1 : 1 + k]) - goal, curve
+
+    dual = np.zeros(k)
+    value, miss, curve = at(dual)
+    history = [dict(zip(names, map(float, miss), strict=True))]
+    step, scale = None, 1.0
+    for _ in range(NEWTON_STEPS):
+        fall = miss - pull * dual
+        if np.abs(miss).max() < TOLERANCE or np.abs(fall).max() < FLAT:
+            return dual, history
+        step = np.linalg.solve(curve, fall)
+        near = at(dual + scale * step)
+        if near[0] > value - 1e-4 * scale * (step @ fall) and np.abs(near[1] - pull * (dual + scale * step)).max() >= FLAT:
+            scale /= 2
+            continue
+        dual, (value, miss, curve), scale = dual + scale * step, near, min(1.0, 2 * scale)
+        history.append(dict(zip(names, map(float, miss), strict=True)))
+    raise RuntimeError(f"no rates found in {NEWTON_STEPS} Newton steps; misses {history[-1]}")
+
+
 def fit_rates(members: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, list[dict[str, float]]]:
-    """Rates for rows with n_tokens and p_<domain>, and the misses of every step."""
+    """Rates for rows with n_tokens and p_<domain>, and the misses of every step, the last being those of the rates."""
     sums = members.agg(F.sum("n_tokens").cast("double").alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
     total = sums["n"] or 0.0
     shares = {d: (sums[d] or 0.0) / total for d in DOMAINS} if total else {}
@@ -182,18 +231,28 @@ def fit_rates(members: DataFrame, weights: dict[str, float]) -> tuple[DataFrame,
         miss = {d: got[d] / total - target[d] for d in names}
         history.append(miss)
         if max(abs(x) for x in miss.values()) < TOLERANCE:
-            break
+            return members.withColumn("rate", F.round(rate, 6)), history
         # Relative to the domain's own share, so that small domains are met as fast as large ones.
         misses.append({d: miss[d] / shares[d] for d in names})
-    return members.withColumn("rate", F.round(step_rates(misses, names), 6)), history
+    dual, more = fit_dual(members, names, total, target, shares)
+    return members.withColumn("rate", F.round(dual_rate(dual, names), 6)), history + more
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, n_tokens, p_<domain> and rate of every document."""
+    """doc_id, n_tokens, p_<domain> and rate of every document; warns where targets are missed."""
+    rows, misses = mix_with_misses(docs, labels, weights, sample_rows)
+    if any(abs(x) >= TOLERANCE for x in misses.values()):
+        warnings.warn(f"The posteriors do not allow the targets; shares of all tokens off by {misses}", stacklevel=2)
+    return rows
+
+
+def mix_with_misses(docs: DataFrame, labels: DataFrame, weights: dict[str, float], sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[str, float]]:
+    """The rows of ``mix``, and by how much of all tokens each domain's expected tokens are off its target."""
     model = fit_domains(docs, labels, sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = model.posteriors(prepared(rows, model.marks)).select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS])
-    return fit_rates(materialize(members, "members"), weights)[0]
+    rows, history = fit_rates(materialize(members, "members"), weights)
+    return rows, history[-1] if history else {}
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
