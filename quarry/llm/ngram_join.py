@@ -9,9 +9,9 @@ the bound do both. Frequent tokens are those in more prefixes than a bound that
 
 Equal sets make one class, whose smallest doc_id stands for it. Candidates are first checked by size and by a parity
 bitmap, whose Hamming distance never exceeds the number of tokens in one set only, then by the sets themselves. In each
-index entry all classes are compared with its smallest one, which ties together large groups of copies; then
-those that are still in different components are compared with each other. So no link between components is lost, and a
-group of copies is never expanded into its pairs.
+index entry all classes are compared with each other, large entries in blocks dealt over the tasks. So every link between
+different sets is found and returned with its similarity; only equal sets are never expanded into their pairs. A
+document's number of links counts all other documents that are similar enough, those with an equal set among them.
 
 Defined results: null, empty and white-space texts have no tokens and are linked with nothing; fewer words than n make
 one token; a doc_id that comes with several texts stands for one of them, the same for all its rows; repeated rows stay
@@ -34,6 +34,8 @@ from quarry.llm.text_words import A, Shingler, mix
 FREQUENT, MOST_FREQUENT = 4, 1_000_000
 #: Missing tokens up to which pairs of frequent tokens are indexed.
 PAIRED_MISSING = 20
+#: Classes of one index entry that one block holds.
+BLOCK = 256
 #: Bits of the smallest bitmap.
 BITS = 512
 
@@ -199,8 +201,31 @@ def verified(pairs: DataFrame, docs: DataFrame, kept: DataFrame | None, width: i
     return links
 
 
+def candidates(found: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a < b) of rows (entry, c, doc_id, n, bits) with a common entry whose sizes and bitmaps allow a link.
+
+    An entry of c rows is cut into blocks; each two blocks of it, and each with itself, meet under a key of their own.
+    """
+    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = found.withColumn("i", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
+    left = dealt.filter("i <= j").select("entry", F.col("i").alias("lo"), F.col("j").alias("hi"), F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    right = dealt.filter("i >= j").select("entry", F.col("j").alias("lo"), F.col("i").alias("hi"), F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    met = left.join(right, ["entry", "lo", "hi"]).filter("lo < hi or a < b").filter(alike("1", "2", num, den))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def join_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id and the representative of the class of equal sets, for every document."""
+    """doc_id, n_shingles, component_id, the representative of the class of equal sets and the number of links."""
+    return join(docs, width, num, den)[0]
+
+
+def join_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The links (a, b, similarity) between the representatives a < b of different classes."""
+    return join(docs, width, num, den)[1]
+
+
+def join(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """What ``join_groups`` and ``join_links`` return."""
     arrow_rows(docs.sparkSession, 1000)
     docs = whole_texts(docs)
     rows = materialize(index_rows(docs, width, num, den, frequent_tokens(docs, width, num, den)), "index")
@@ -209,41 +234,33 @@ def join_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
         first = rows.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x")).select("doc_id", "x.f1", "x.f2")
         one = rows.join(first, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id"])
         kept = one.select("doc_id", "f1")
-    classes = one.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    classes = one.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     reps = classes.select(F.col("rep").alias("doc_id"))
     heads = one.filter("n > 0 and size(entries) > 0").join(reps, "doc_id", "left_semi")
     entries = heads.select("doc_id", F.explode("entries").alias("entry"))
-    shared = entries.groupBy("entry").agg(F.count("*").alias("c"), F.min("doc_id").alias("leader")).filter("c > 1").drop("c")
+    shared = entries.groupBy("entry").agg(F.count("*").alias("c")).filter("c > 1")
     found = materialize(entries.join(shared, "entry"), "shared-entries")
     meta = materialize(heads.select("doc_id", "n", "bits").join(found.select("doc_id").distinct(), "doc_id", "left_semi"), "shared-bits")
-    m1 = meta.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
-    m2 = meta.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    stars = found.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = materialize(stars.join(m1, "a").join(m2, "b").filter(alike("1", "2", num, den)).select("a", "b"), "stars")
-    links = verified(stars, docs, kept, width, num, den)
-    part = connected_components(links, "a", "b")
-    placed = found.join(part, F.col("doc_id") == F.col("vertex"), "left").select("entry", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
-    placed = materialize(placed, "placed")
-    most = placed.groupBy("entry", "component").count().groupBy("entry").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main")).filter("parts > 1").select("entry", "main")
-    open_rows = placed.join(most, "entry").join(meta, "doc_id")
-    outside = open_rows.filter("component <> main").select("entry", F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"), F.col("component").alias("p1"))
-    everyone = open_rows.select("entry", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("component").alias("p2"))
-    met = outside.join(everyone, "entry").filter(F.col("p1") != F.col("p2")).filter(alike("1", "2", num, den))
-    late = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = materialize(late.join(stars, ["a", "b"], "left_anti"), "late-pairs")
-    for t in (found, placed):
+    pairs = materialize(candidates(found.join(meta, "doc_id"), num, den), "pairs")
+    for t in (found, meta):
         discard(t)
-    if not late.isEmpty():
-        links = links.unionByName(verified(late, docs, kept, width, num, den))
-        part = connected_components(links, "a", "b")
-    placed_reps = classes.join(part, F.col("rep") == F.col("vertex"), "left").select("f1", "f2", "rep", F.coalesce("component", "rep").alias("component"))
+    links = verified(pairs, docs, kept, width, num, den)
+    discard(pairs)
+    part = connected_components(links, "a", "b")
+    sizes = classes.select(F.col("rep").alias("b"), "size")
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(sizes, "b").groupBy(F.col("a").alias("linked")).agg(F.sum("size").alias("others"))
+    placed_reps = classes.join(part, F.col("rep") == F.col("vertex"), "left").join(others, F.col("rep") == F.col("linked"), "left")
+    placed_reps = placed_reps.select("f1", "f2", "rep", F.coalesce("component", "rep").alias("component"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     chosen = one.select("doc_id", "n", "f1", "f2")
     if one is not rows:
         chosen = rows.select("doc_id").join(chosen, "doc_id")
     out = chosen.join(placed_reps, ["f1", "f2"], "left")
     alone = F.col("n") == 0
-    return out.select(
+    groups = out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
+        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
+    return groups, links

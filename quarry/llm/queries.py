@@ -109,6 +109,16 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, coalesce(c
 """
 
 
+@query
+def op3_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_links(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+@query
+def op3_ngram_jaccard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100).select("doc_id", "n_links")
+
+
 @query
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), span=400)

@@ -56,6 +56,23 @@ def test_matches_all_pairs(documents, monkeypatch, width, num, frequent):
     assert got == brute(rows, width, num, 100)
 
 
+@pytest.mark.parametrize(("width", "num", "frequent", "block"), [(3, 90, 64, 256), (3, 90, 3, 4), (5, 80, 10, 3)])
+def test_finds_all_links(documents, monkeypatch, width, num, frequent, block):
+    monkeypatch.setattr(N, "FREQUENT", frequent)
+    monkeypatch.setattr(N, "BLOCK", block)
+    rows = [*sample(), (310, sample()[0][1]), (311, sample()[0][1])]
+    sh = Shingler(width)
+    sets = {d: frozenset(sh.shingles(t).tolist()) for d, t in rows}
+    reps = {}
+    for d in sorted(sets):
+        reps.setdefault(sets[d], d)
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) * 100 >= num * len(sets[a] | sets[b])}
+    groups, links = N.join(documents(rows), width, num, 100)
+    heads = set(reps.values())
+    assert {(r.a, r.b): pytest.approx(r.similarity) for r in links.collect()} == {k: v for k, v in near.items() if set(k) <= heads and v < 1}
+    assert {r.doc_id: r.n_links for r in groups.collect()} == {d: sum(d in k for k in near) for d in sets}
+
+
 def test_repeated_ids_get_one_result(documents):
     got = N.join_groups(documents([(1, "a b c d"), (1, "x y z"), (2, "a b c d"), (2, "a b c d")]), 3, 90, 100).collect()
     assert len(got) == 4 and len({(r.n_shingles, r.component_id) for r in got if r.doc_id == 1}) == 1
