@@ -48,8 +48,14 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that the domains' tokens meet the weights; a copy is a repeated row."""
-    rates = mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS).select("doc_id", mixing.copies(F.col("rate"), F.col("doc_id")).alias("_copies"))
+    """Drops the documents that are toxic rather than not, and repeats others towards the weights; a copy is a repeated row.
+
+    Soft posteriors do not allow weights of 0, so the rates alone would drop clean documents and keep toxic ones. Toxic
+    documents go by their posterior instead, and every other one stays at least once: low ones were judged by stage 1.
+    """
+    toxic = F.col("p_good_toxic") + F.col("p_low_toxic") > 0.5
+    rate = F.when(toxic, 0.0).otherwise(F.greatest(F.col("rate"), F.lit(1.0)))
+    rates = mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS).select("doc_id", mixing.copies(rate, F.col("doc_id")).alias("_copies"))
     # Most documents keep one row, so only the others' ids are joined.
     odd = rates.filter("_copies <> 1").dropDuplicates(["doc_id"])
     small = odd.limit(500_001).count() <= 500_000

@@ -49,5 +49,26 @@ def test_stages_take_effect(spark, tables):
     assert set(encoded) == set(mixed) and all(r.n_tokens * 4 == len(r.ids) for r in encoded.values())
 
 
+def test_mixing_keeps_clean_and_drops_toxic(spark, tables, monkeypatch):
+    # Posteriors that overlap, as the classes of real documents do.
+    d, rows, labels, _ = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    p = {i: (0.05 + 0.3 * (i % 7) / 7, 0.9 - 0.3 * (i % 7) / 7) for i in rows}  # toxic posterior of clean and of toxic ones
+    toxic = {i: labels.get(i, (1, 0))[1] == 1 for i in rows}
+    members = [(i, len(t.split()), 0.1 * (1 - x), 0.1 * x, 0.9 * (1 - x), 0.9 * x) for i, t in rows.items() for x in [p[i][toxic[i]]]]
+    members = spark.createDataFrame(members, "doc_id long, n_tokens long, p_low double, p_low_toxic double, p_good double, p_good_toxic double")
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix", lambda docs, labels, weights: corpus_pipeline.mixing.fit_rates(members, weights)[0])
+    left = {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, d).collect()}
+    assert left == {i for i in rows if not toxic[i]}
+
+
+def test_mixing_of_planted_documents(spark, tables):
+    d, rows, labels, _ = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, d).collect()}
+    assert not [i for i, (_, t) in labels.items() if t and i in left]
+    assert not [i for i, (_, t) in labels.items() if not t and i not in left]
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_strings", "mixing", "encoding"]
