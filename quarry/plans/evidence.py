@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -63,17 +63,20 @@ y AS (SELECT *, CASE WHEN err = 'cancelled' THEN 'cancelled' WHEN err IS NOT NUL
 SELECT e AS execution_status, err IS NULL AND art AND e <> 'adapter_error' AS eligible, count(*) AS runs FROM y GROUP BY ALL"""
 
 
-@query
-def fact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+def scored_facts(d: DataFrame, text: Column) -> DataFrame:
     i = F.col("doc_id")
     none = F.array().cast("array<string>")
     tasks = F.when(i % 5 == 0, F.array(F.lit("t1"), F.lit("t2"))).when(i % 5 == 1, F.array(F.lit("t9"))).otherwise(none)
     words = F.when(i % 5 == 2, F.array(F.lit("import"))).otherwise(none)
-    s = T.fact_score(F.when(i % 2 == 0, "user").otherwise("project"), i % 11 == 0, tasks, words, T.terms(F.substring("text", 1, 200)), "t1", ["thing", "has", "ha", "en"])
+    s = T.fact_score(F.when(i % 2 == 0, "user").otherwise("project"), i % 11 == 0, tasks, words, T.terms(text), "t1", ["thing", "has", "ha", "en"])
     return d.select("doc_id", s.alias("s")).select("doc_id", "s.score", "s.reason")
 
 
+@query
+def fact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_facts(table(spark, sf_dir, "documents"), F.substring("text", 1, 200))
+
+
 ORACLES["fact_scores"] = """WITH x AS (SELECT doc_id AS i, len(list_filter(['thing','has','ha','en'], lambda q: list_contains(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9_]+'), q))) AS o FROM documents)
 SELECT i AS doc_id, CAST(CASE WHEN i % 11 = 0 THEN 1 WHEN i % 5 IN (1, 2) THEN NULL WHEN i % 5 = 0 OR i % 2 = 0 THEN o + 1 WHEN o > 0 THEN o END AS DOUBLE) AS score,
  CASE WHEN i % 11 = 0 THEN 'declared_global' WHEN i % 5 IN (1, 2) THEN 'task_relevance' WHEN i % 5 = 0 THEN 'declared_applicability' WHEN i % 2 = 0 THEN 'legacy_user_unspecified_applicability'
@@ -191,14 +194,18 @@ SELECT episode_id, position - 4 AS anchor, position FROM episode_events x WHERE
  AND EXISTS (SELECT 1 FROM episode_events u WHERE u.kind = 'user_message' AND u.episode_id = x.episode_id AND u.position > x.position - 4 AND u.position <= x.position)"""
 
 
-@query
-def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pages_of_tasks(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     tasks = n.select(F.col("n_nationkey").alias("task_id"), F.when(F.col("n_nationkey") % 2 == 0, "The").otherwise("une").alias("word"))
     links = n.select(F.col("n_nationkey").alias("task_id"), F.concat(F.lit("src"), F.col("n_regionkey")).alias("base"))
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("base"), F.col("doc_id").alias("path"), F.substring("text", 1, 300).alias("text"))
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("base"), F.col("doc_id").alias("path"), text.alias("text"))
     return V.reading_hits(tasks, links, pages, 2)
 
 
+@query
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_of_tasks(spark, sf_dir, F.substring("text", 1, 300))
+
+
 ORACLES["linked_pages"] = """SELECT n_nationkey AS task_id, source AS base, CAST(row_number() OVER (PARTITION BY n_nationkey, source ORDER BY doc_id) AS INTEGER) AS rank, doc_id AS path
 FROM nation JOIN documents ON source = 'src' || n_regionkey WHERE contains(lower(substr(text, 1, 300)), CASE WHEN n_nationkey % 2 = 0 THEN 'the' ELSE 'une' END) QUALIFY rank <= 2"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -57,10 +57,14 @@ ORACLES["token_sets"] = """SELECT doc_id, CAST(len(s) AS BIGINT) AS tokens, sha2
  FROM (SELECT doc_id, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 4)) AS s FROM documents)"""
 
 
+def terms_of(d: DataFrame, text: Column) -> DataFrame:
+    d = d.select("doc_id", F.concat(text, F.lit(" 数据处理 与 a the")).alias("t"))
+    return d.select("doc_id", F.concat_ws("|", T.terms(F.col("t"))).alias("terms"))
+
+
 @query
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 80), F.lit(" 数据处理 与 a the")).alias("t"))
-    return d.select("doc_id", F.concat_ws("|", T.terms(F.col("t"))).alias("terms"))
+    return terms_of(table(spark, sf_dir, "documents"), F.substring("text", 1, 80))
 
 
 ORACLES["query_terms"] = """SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(

@@ -1,0 +1,89 @@
+"""The queries that read a part of their table, over the whole of it, with the SQL of those without its cut.
+
+The cut queries and their SQL stay as they are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import evidence as V
+from quarry.operators import graph
+from quarry.plans import evidence, runs, vault  # noqa: F401  the SQL of the cut queries
+from quarry.plans.registry import ORACLES, query
+from quarry.sources import adapters
+from quarry.sources.adapters import table
+
+
+def without(sql: str, *cuts: tuple[str, str]) -> str:
+    for cut, rest in cuts:
+        if cut not in sql:
+            raise ValueError(f"no {cut!r} in the SQL")
+        sql = sql.replace(cut, rest)
+    return sql
+
+
+#: The cut of the edges in their SQL.
+EDGES = ("p_partkey <= 400 AND ", "")
+
+
+@query
+def obligation_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return V.obligation_pairs(li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") % 10).alias("b"), (F.col("l_quantity") > 48).alias("required")), 60)
+
+
+ORACLES["obligation_pairs_whole"] = without(ORACLES["obligation_pairs"], (" WHERE l_partkey <= 40", ""))
+
+
+@query
+def admissible_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("source"))
+    barred = table(spark, sf_dir, "part").filter("p_partkey in (5, 11)").select(F.col("p_partkey").alias("node"))
+    return V.admissible(sources, adapters.dependency_edges(spark, sf_dir, whole=True), barred)
+
+
+ORACLES["admissible_records_whole"] = without(ORACLES["admissible_records"], EDGES, ("l_partkey % 400 + 1", "l_partkey"), (" WHERE l_orderkey <= 500", ""))
+
+
+@query
+def dependency_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    return graph.closure(adapters.dependency_edges(spark, sf_dir, whole=True), roots)
+
+
+ORACLES["dependency_closure_whole"] = without(ORACLES["dependency_closure"], ("part WHERE p_partkey <= 400 AND p_partkey % 37 = 0", "part"), EDGES)
+
+
+@query
+def dependency_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cyclic_nodes(adapters.dependency_edges(spark, sf_dir, whole=True))
+
+
+ORACLES["dependency_cycles_whole"] = without(ORACLES["dependency_cycles"], EDGES)
+
+
+@query
+def fact_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.scored_facts(table(spark, sf_dir, "documents"), F.col("text"))
+
+
+ORACLES["fact_scores_whole"] = without(ORACLES["fact_scores"], ("substr(text, 1, 200)", "text"))
+
+
+@query
+def linked_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.pages_of_tasks(spark, sf_dir, F.col("text"))
+
+
+ORACLES["linked_pages_whole"] = without(ORACLES["linked_pages"], ("substr(text, 1, 300)", "text"))
+
+
+@query
+def query_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vault.terms_of(table(spark, sf_dir, "documents"), F.col("text"))
+
+
+ORACLES["query_terms_whole"] = without(ORACLES["query_terms"], ("substr(text, 1, 80)", "text"))
