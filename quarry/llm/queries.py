@@ -91,21 +91,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.join_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
-    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+    return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
-ORACLES["op3_ngram_jaccard"] = r"""
+#: Linked pairs (x, y) of documents, x < y, with i shingles in common of m in both, from all pairs that share a shingle.
+NGRAM_PAIRS = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i, any_value(a.n) + any_value(b.n) AS m FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
-l AS (SELECT x, y FROM p WHERE 100 * i >= 90 * (m - i)),
+l AS (SELECT x, y, i, m FROM p WHERE 100 * i >= 90 * (m - i)),
+k AS (SELECT y AS doc_id, min(x) AS class_id FROM p WHERE 2 * i = m GROUP BY y),
+"""
+
+ORACLES["op3_ngram_jaccard"] = NGRAM_PAIRS + """
 g AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, g.y FROM r JOIN g ON r.node = g.x),
 c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id),
-k AS (SELECT y AS doc_id, min(x) AS class_id FROM p WHERE 2 * i = m GROUP BY y)
-SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, coalesce(class_id, s.doc_id) AS class_id FROM s JOIN c ON s.doc_id = c.doc_id LEFT JOIN k ON s.doc_id = k.doc_id
+n AS (SELECT x AS doc_id, count(*) AS n_links FROM g GROUP BY x)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, coalesce(class_id, s.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM s JOIN c ON s.doc_id = c.doc_id LEFT JOIN k ON s.doc_id = k.doc_id LEFT JOIN n ON s.doc_id = n.doc_id
 """
 
 
@@ -114,9 +120,11 @@ def op3_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_links(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-@query
-def op3_ngram_jaccard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100).select("doc_id", "n_links")
+#: Between the smallest documents of different sets.
+ORACLES["op3_ngram_jaccard_links"] = NGRAM_PAIRS + """
+h AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k))
+SELECT x AS a, y AS b, i / (m - i) AS similarity FROM l WHERE 2 * i < m AND x IN (SELECT doc_id FROM h) AND y IN (SELECT doc_id FROM h)
+"""
 
 
 @query

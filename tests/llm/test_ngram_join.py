@@ -56,10 +56,10 @@ def test_matches_all_pairs(documents, monkeypatch, width, num, frequent):
     assert got == brute(rows, width, num, 100)
 
 
-@pytest.mark.parametrize(("width", "num", "frequent", "block"), [(3, 90, 64, 256), (3, 90, 3, 4), (5, 80, 10, 3)])
-def test_finds_all_links(documents, monkeypatch, width, num, frequent, block):
-    monkeypatch.setattr(N, "FREQUENT", frequent)
-    monkeypatch.setattr(N, "BLOCK", block)
+@pytest.mark.parametrize(("width", "num", "frequent", "block", "large"), [(3, 90, 64, 256, 32), (3, 90, 3, 4, 3), (5, 80, 10, 3, 2), (3, 90, 3, 16, 1000)])
+def test_finds_all_links(documents, monkeypatch, width, num, frequent, block, large):
+    for name, value in (("FREQUENT", frequent), ("BLOCK", block), ("LARGE", large), ("COLUMNS", 64)):
+        monkeypatch.setattr(N, name, value)
     rows = [*sample(), (310, sample()[0][1]), (311, sample()[0][1])]
     sh = Shingler(width)
     sets = {d: frozenset(sh.shingles(t).tolist()) for d, t in rows}
@@ -67,15 +67,38 @@ def test_finds_all_links(documents, monkeypatch, width, num, frequent, block):
     for d in sorted(sets):
         reps.setdefault(sets[d], d)
     near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) * 100 >= num * len(sets[a] | sets[b])}
-    groups, links = N.join(documents(rows), width, num, 100)
+    join = N.Join(documents(rows), width, num, 100)
     heads = set(reps.values())
-    assert {(r.a, r.b): pytest.approx(r.similarity) for r in links.collect()} == {k: v for k, v in near.items() if set(k) <= heads and v < 1}
-    assert {r.doc_id: r.n_links for r in groups.collect()} == {d: sum(d in k for k in near) for d in sets}
-
-
-def test_repeated_ids_get_one_result(documents):
-    got = N.join_groups(documents([(1, "a b c d"), (1, "x y z"), (2, "a b c d"), (2, "a b c d")]), 3, 90, 100).collect()
-    assert len(got) == 4 and len({(r.n_shingles, r.component_id) for r in got if r.doc_id == 1}) == 1
+    links = join.links().collect()
+    assert {(r.a, r.b): pytest.approx(r.similarity) for r in links} == {k: v for k, v in near.items() if set(k) <= heads and v < 1}
+    assert len(links) == len({(r.a, r.b) for r in links})
+    assert {r.doc_id: r.n_links for r in join.groups().collect()} == {d: sum(d in k for k in near) for d in sets}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in join.groups().collect()} == brute(rows, width, num, 100)
+
+
+def test_large_groups_become_cells(documents, monkeypatch):
+    monkeypatch.setattr(N, "LARGE", 8)
+    join = N.Join(documents(sample()), 3, 90, 100)
+    assert join.members is not None and join.members.count() > 50
+    # What leaves a cell grows with its members, not with its pairs.
+    members = {r.v for r in join.members.select("v").collect()}
+    assert join.in_cells(False).count() <= join.members.count() * -(-len(members) // N.BLOCK) < join.links().count()
+
+
+def test_rows_of_one_id_are_rows_of_their_own(documents):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, near), (1, "x y z"), (2, "x y z"), (3, near + " 1"), (None, near + " 2"), (4, "x y z"), (2, "x y z"), (None, "alone it is")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.n_links) for r in N.join_groups(documents(rows), 3, 90, 100).collect())
+    assert got == sorted([(1, 24, 1, 2), (1, 1, 1, 3), (2, 1, 1, 3), (2, 1, 1, 3), (4, 1, 1, 3), (3, 25, 1, 2), (0, 25, 1, 2), (0, 1, None, 0)])
+
+
+def test_long_texts_and_ties(documents):
+    long = [f"w{i}" for i in range(40_000)]
+    assert {r.component_id for r in N.join_groups(documents([(1, " ".join(long)), (2, " ".join(long[300:]))]), 3, 90, 100).collect()} == {1}
+    # 900 of 1000 shingles are 90 per cent, 899 are not.
+    exact = [(1, " ".join(long[:1002])), (2, " ".join(long[:902])), (3, " ".join(long[1002:2004])), (4, " ".join(long[1002:1903])), (5, "A b c"), (6, "a B\tc")]
+    got = {r.doc_id: r.component_id for r in N.join_groups(documents(exact), 3, 90, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
 
 
 def test_empty_table(documents):
