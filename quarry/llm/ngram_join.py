@@ -29,6 +29,7 @@ null; similarities at the threshold are links; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -45,8 +46,8 @@ from quarry.llm.text_words import A, Shingler, mix
 FREQUENT, MOST_FREQUENT = 64, 250_000
 #: Classes of an entry beyond which a hub takes its part; the rows that a round of hubs must take away, as a share.
 LARGE, ROUND_SHARE = 32, 0.2
-#: Classes of one large entry or cell that one block holds.
-BLOCK = 256
+#: Classes of one cell, and of one size in a large entry, that a block holds.
+BLOCK, PAIR_BLOCK = 256, 1024
 #: Bits of the smallest bitmap.
 BITS = 512
 #: Tokens in the columns of one matrix product.
@@ -251,49 +252,76 @@ def verified(pairs: DataFrame, sets: Sets, num: int, den: int, name: str) -> Dat
     return out
 
 
-def with_hubs(rows: DataFrame) -> DataFrame:
-    """Rows (entry, v, n) of entries with several classes, the number of these, and the least one as hub."""
-    return rows.join(rows.groupBy("entry").agg(F.count("*").alias("c"), F.min("v").alias("hub")).filter("c > 1"), "entry")
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """Rows (entry, v, n) of entries with several classes and the number of these."""
+    out = rows.join(rows.groupBy("entry").agg(F.count("*").alias("c")).filter("c > 1"), "entry")
+    return materialize(out, "shared-entries")
 
 
-def entry_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a < b) of rows (entry, c, v, n) with a common entry whose sizes allow a link.
+def with_hubs(rows: DataFrame) -> DataFrame:
+    """Adds to the rows of large entries the hub of each: the class with the most such rows.
 
-    An entry of c rows is cut into blocks; each two blocks of it, and each with itself, meet under a key of their own.
+    The more of what is common a class has, the nearer it is to the middle of its group.
     """
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = rows.withColumn("i", F.pmod(F.xxhash64("v"), parts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
-    left = dealt.filter("i <= j").select("entry", F.col("i").alias("lo"), F.col("j").alias("hi"), F.col("v").alias("a"), F.col("n").alias("n1"))
-    right = dealt.filter("i >= j").select("entry", F.col("j").alias("lo"), F.col("i").alias("hi"), F.col("v").alias("b"), F.col("n").alias("n2"))
-    met = left.join(right, ["entry", "lo", "hi"]).filter("lo < hi or a < b").filter(sizes_allow(F.col("n1"), F.col("n2"), num, den))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    middle = rows.join(rows.groupBy("v").agg(F.count("*").alias("times")), "v")
+    return rows.join(middle.groupBy("entry").agg(F.min(F.struct(-F.col("times"), "v")).getField("v").alias("hub")), "entry")
+
 
+def entry_pairs(rows: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a < b) of rows (entry, c, v, n) with a common entry whose sizes, in large entries bitmaps, allow a link.
 
-def take_hubs(found: DataFrame, meta: DataFrame, sets: Sets, num: int, den: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """The members (hub, v, core) of all cells, and the rows (entry, c, v, n) whose pairs are left, each as tables.
+    Pairs of a small entry are few, and are told by size before the bitmaps move. In a large one, sets meet those of like
+    size only, and where these are still many in blocks, each two of which meet under a key of their own.
+    """
+    small = rows.filter(F.col("c") <= LARGE)
+    one = small.select("entry", F.col("v").alias("a"), F.col("n").alias("n1"))
+    two = small.select("entry", F.col("v").alias("b"), F.col("n").alias("n2"))
+    few = one.join(two, "entry").filter("a < b").filter(sizes_allow(F.col("n1"), F.col("n2"), num, den)).select("a", "b").distinct()
+    few = near_pairs(few, meta, num, den)
+    # In steps of this factor, sizes that allow a link are at most one step apart.
+    step = F.floor(F.log("n") / (math.log(den / num) * (1 + 1e-6))).cast("int")
+    rows = rows.filter(F.col("c") > LARGE).select("entry", "v").join(meta, "v").withColumn("step", step)
+    lower = rows.withColumn("k", F.col("step"))
+    upper = rows.withColumn("k", F.explode(F.array("step", F.col("step") - 1)))
+    blocks = lambda x, name: x.groupBy("entry", "k").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias(name))
+    parts = blocks(lower, "lowers").join(blocks(upper, "uppers"), ["entry", "k"])
+    part = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lower = lower.join(parts, ["entry", "k"]).select("entry", "k", part("lowers").alias("i"), every("uppers").alias("j"), F.col("v").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    upper = upper.join(parts, ["entry", "k"]).select("entry", "k", "step", part("uppers").alias("j"), every("lowers").alias("i"), F.col("v").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    met = lower.join(upper, ["entry", "k", "i", "j"]).filter("step > k or a < b").filter(alike("1", "2", num, den))
+    return few.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def take_hubs(found: DataFrame, meta: DataFrame, sets: Sets, num: int, den: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """The members (hub, v, core) of all cells, the rows (entry, c, v, n) whose pairs are left, and the tables behind these.
 
     A round ends with the members of the core gone from their entries. A link of one of these is in the hub's cell,
     since its partner was in the entry too. When a round takes too few away, the rest is left as it is.
     """
     wide = max(2 * num - den, 0)  # twice the distance
-    left, cells = [found.filter(F.col("c") <= LARGE)], []
+    left, cells, made = [found.filter(F.col("c") <= LARGE)], [], [found]
     rows = found.filter(F.col("c") > LARGE)
     many = rows.count()
     while many:
+        rows = materialize(with_hubs(rows), "hubs")
         stars = rows.filter("hub <> v").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
         stars = materialize(near_pairs(stars, meta, wide, den), "stars")
         near = verified(stars, sets, wide, den, "near")
         discard(stars)
+        made.append(near)
         cells.append(near.select(F.col("a").alias("hub"), F.col("b").alias("v"), (F.col("i") * den >= (F.col("m") - F.col("i")) * num).alias("core")))
         gone = cells[-1].filter("core").select("hub", "v")
-        after = materialize(with_hubs(rows.filter("hub <> v").join(gone, ["hub", "v"], "left_anti").select("entry", "v", "n")), "shared-entries")
+        after = shared_rows(rows.filter("hub <> v").join(gone, ["hub", "v"], "left_anti").select("entry", "v", "n"))
+        discard(rows)
+        made.append(after)
         left.append(after.filter(F.col("c") <= LARGE))
         rows = after.filter(F.col("c") > LARGE)
         before, many = many, rows.count()
         if many > (1 - ROUND_SHARE) * before:
             left.append(rows)
             break
-    return cells, left
+    return cells, left, made
 
 
 def cell_rows(members: DataFrame, classes: DataFrame, sets: Sets) -> DataFrame:
@@ -413,21 +441,22 @@ class Join:
             heads = self.rows.filter("size(entries) > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("v"), "n", "bits", "entries")
             if told["again"]:
                 heads = heads.dropDuplicates(["v"])
-        found = materialize(with_hubs(heads.select("v", "n", F.explode("entries").alias("entry"))), "shared-entries")
+        found = shared_rows(heads.select("v", "n", F.explode("entries").alias("entry")))
         meta = materialize(heads.select("v", "n", "bits").join(found.select("v").distinct(), "v", "left_semi"), "shared-bits")
-        cells, left = take_hubs(found, meta, sets, num, den)
-        pairs = reduce(DataFrame.unionByName, [entry_pairs(x.select("entry", "c", "v", "n"), num, den) for x in left])
-        pairs = materialize(pairs.distinct() if len(left) > 1 else pairs, "met")
-        near = materialize(near_pairs(pairs, meta, num, den), "pairs")
-        for x in (found, meta, pairs):
-            discard(x)
+        cells, left, made = take_hubs(found, meta, sets, num, den)
+        rest = reduce(DataFrame.unionByName, [x.select("entry", "c", "v", "n") for x in left])
+        near = materialize(entry_pairs(rest, meta, num, den), "pairs")
         self.pairs = verified(near, sets, num, den, "links")
         discard(near)
         self.members = None
+        for x in (meta, *(() if cells else made)):
+            discard(x)
         if cells:
             members = reduce(DataFrame.unionByName, cells)
             hubs = members.select("hub", F.col("hub").alias("v"), F.lit(True).alias("core"))
             self.members = materialize(members.unionByName(hubs).groupBy("hub", "v").agg(F.max("core").alias("core")), "members")
+            for x in made:
+                discard(x)
             # Links that a cell holds too are counted there.
             one = self.members.groupBy(F.col("v").alias("a")).agg(F.collect_list(F.struct("hub", "core")).alias("in_a"))
             two = one.select(F.col("a").alias("b"), F.col("in_a").alias("in_b"))

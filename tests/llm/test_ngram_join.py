@@ -58,7 +58,7 @@ def test_matches_all_pairs(documents, monkeypatch, width, num, frequent):
 
 @pytest.mark.parametrize(("width", "num", "frequent", "block", "large"), [(3, 90, 64, 256, 32), (3, 90, 3, 4, 3), (5, 80, 10, 3, 2), (3, 90, 3, 16, 1000)])
 def test_finds_all_links(documents, monkeypatch, width, num, frequent, block, large):
-    for name, value in (("FREQUENT", frequent), ("BLOCK", block), ("LARGE", large), ("COLUMNS", 64)):
+    for name, value in (("FREQUENT", frequent), ("BLOCK", block), ("PAIR_BLOCK", block), ("LARGE", large), ("COLUMNS", 64)):
         monkeypatch.setattr(N, name, value)
     rows = [*sample(), (310, sample()[0][1]), (311, sample()[0][1])]
     sh = Shingler(width)
