@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows
+from quarry.llm.common import small_batches
 
 #: Encoded words, and stretches between white space, that one task keeps in each of two generations.
 CACHE_WORDS = 150_000
@@ -185,12 +185,11 @@ def load(path: str) -> WordBpe:
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded text and, if asked for, the ids (packed as ``encode`` does) and that text."""
-    arrow_rows(docs.sparkSession, 1000)
     schema = SCHEMA + (", ids binary, decoded string" if keep_ids else "")
 
     def run(batches):
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in small_batches(batches):
             doc_ids, texts = batch.column(0), batch.column(1)
             n, a, b, ids_col, dec_col = [], [], [], [], []
             for text in texts:

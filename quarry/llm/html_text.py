@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows
+from quarry.llm.common import small_batches
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -297,10 +297,8 @@ def chosen_text(nodes: list[Node]) -> tuple[str, bool]:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, main text and its code points, for every page."""
-    arrow_rows(pages.sparkSession, 500)
-
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 500):
             texts = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 

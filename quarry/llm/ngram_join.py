@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, discard, few_ids, keyed_runs, materialize
+from quarry.llm.common import discard, few_ids, keyed_runs, materialize, small_batches
 from quarry.llm.components import connected_components
 from quarry.llm.text_words import A, Shingler, mix
 
@@ -144,7 +144,7 @@ def frequent_tokens(docs: DataFrame, width: int, num: int, den: int) -> np.ndarr
 
     def run(batches):
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [shingler.shingles(x.as_py()) for x in batch.column(1)]
             firsts = [s[: plain.missing(len(s)) + 1] for s in sets if len(s) and plain.linkable(len(s))]
             if firsts:
@@ -172,7 +172,7 @@ def index_rows(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
     def run(batches):
         shingler = Shingler(width)
         prefixes = Prefixes(num, den, shared.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [shingler.shingles(x.as_py()) for x in batch.column(1)]
             marks = [prints(s) for s in sets]
             yield pa.RecordBatch.from_pydict({
@@ -203,7 +203,7 @@ def token_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [shingler.shingles(x.as_py()) for x in batch.column(1)]
             marks = [prints(s) for s in sets]
             yield pa.RecordBatch.from_pydict({
@@ -417,7 +417,6 @@ class Join:
     """The index of a table, its candidates and its cells, from which groups or links are read."""
 
     def __init__(self, docs: DataFrame, width: int, num: int, den: int):
-        arrow_rows(docs.sparkSession, 1000)
         self.num, self.den = num, den
         docs = whole_texts(docs)
         self.rows = materialize(index_rows(docs, width, num, den, frequent_tokens(docs, width, num, den)), "index")

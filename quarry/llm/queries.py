@@ -129,7 +129,7 @@ SELECT x AS a, y AS b, i / (m - i) AS similarity FROM l WHERE 2 * i < m AND x IN
 
 @query
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), span=400)
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), span=400, passage=suffix_dedup.PASSAGE)
 
 
 @query

@@ -3,23 +3,27 @@
 A string of ``span`` bytes is placed by its anchor: the first position in it whose 64-byte gram has the least
 fingerprint. Equal strings have equal anchors at equal distances, so only the suffixes that begin at anchors are
 indexed. An entry is a stretch of neighbouring string starts with one anchor: the bytes left of the anchor and those
-from it on. Entries whose anchor gram is found nowhere else are dropped before any text moves, and equal entries are
-told by fingerprint; the rest is indexed.
+from it on. Entries whose anchor gram is found nowhere else are dropped before any text moves. The others are indexed,
+of equal entries (by gram and a 64-bit fingerprint of all their bytes) any two, which speak for their copies, so a
+passage that a third of all documents quote is indexed twice and no more.
 
 The index of a partition takes entries in batches. A batch gets its suffix array (entries sorted by gram and by the
 bytes from the anchor on), is scanned along the existing levels in order for entries with the same gram, and becomes a
 level itself; levels of equal size are merged. Where entries share a gram, suffix order with its common-prefix lengths
 and the same for the reversed bytes before the anchor give, for each distance of a start from the anchor, classes of
-equal strings. All this compares bytes, not fingerprints.
+equal strings. All this compares bytes, not fingerprints. The starts found go back to all copies of the entry.
 
 A gram shared by very many different entries (such as the edges of a passage that a third of all documents quote)
 would fill one partition, so its strings are counted one start at a time by 128-bit fingerprints, which spread over
 all partitions and are added up before they are moved.
 
-Defined results: a null text counts as empty and a text shorter than ``span`` keeps all its bytes; matches never cross
-documents; strings are judged on the input; rows that repeat a doc_id are matched like any others but get the union of
-their removals only if their texts are equal (give rows of different texts different ids); an empty table gives an
-empty table; other columns are not read.
+Several spans can be judged at once, in the same passes over the texts. With spans (400, 240), say, the strings of 400
+bytes are removed and the bytes that strings of 240 bytes cover are counted too.
+
+Defined results: a null text counts as empty and a text shorter than ``span`` keeps all its bytes; very long texts are
+read in pieces, whole; matches never cross documents; strings are judged on the input; each row is a document, so rows
+that repeat a doc_id, or have none, are matched like any others and get their own removals; all copies of a string go,
+so there are no ties; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,14 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, discard, few_ids, materialize
+from quarry.llm.common import discard, few_ids, materialize, small_batches
 from quarry.llm.text_words import mix
 
 SPAN = 400
+#: Bytes that any passage of over 50 words has.
+PASSAGE = 240
 GRAM = 64
 #: Texts are read in pieces of this many bytes, so the memory for a text of any length is bounded.
 PIECE = 1 << 18
-#: Entries of a gram beyond which its strings are spread over all partitions one by one.
+#: Different entries of a gram beyond which its strings are spread over all partitions one by one.
 SPREAD = 1000
 #: Entries in a batch of the index.
 BATCH = 2048
@@ -70,28 +76,26 @@ def window_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def entries(text: bytes, span: int = SPAN) -> Iterator[tuple[int, int, int, int]]:
-    """(gram, first start, number of starts, anchor) of each stretch of string starts with one anchor."""
+def entries(text: bytes, spans: tuple[int, ...] = (SPAN,)) -> Iterator[tuple[int, int, int, int, int]]:
+    """(span, gram, first start, number of starts, anchor) of each stretch of string starts with one anchor."""
     data = np.frombuffer(text, np.uint8)
-    last = len(text) - span + 1  # string starts
     low = np.uint64(PIECE * 4 - 1)
-    for begin in range(0, max(last, 0), PIECE):
-        stop = min(last, begin + PIECE)
-        h = grams(data[begin : stop + span - 1], GRAM)
+    for begin in range(0, max(len(text) - min(spans) + 1, 0), PIECE):
+        end = min(len(text), begin + PIECE + max(spans) - 1)
+        h = grams(data[begin:end], GRAM)
         # The position goes into the low bits: the least value is the first of equal grams.
         key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        least = window_least(key, span - GRAM + 1)
-        at = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        ends = np.append(at[1:], len(least))
-        anchors = (least[at] & low).astype(np.int64)
-        marks = h[anchors].view(np.int64)
-        yield from zip(marks.tolist(), (at + begin).tolist(), (ends - at).tolist(), (anchors + begin).tolist(), strict=True)
-
-
-def marked(text: bytes, span: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """As ``entries``, with a fingerprint of the entry's bytes and the anchor's place in them."""
-    for gram, start, n, anchor in entries(text, span):
-        yield gram, xxhash.xxh3_64_intdigest(text[start : start + n + span - 1], anchor - start) - (1 << 63), start, n, anchor
+        for span in spans:
+            starts = min(PIECE, end - begin - span + 1)
+            if starts <= 0:
+                continue
+            least = window_least(key[: starts + span - GRAM], span - GRAM + 1)
+            at = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+            ends = np.append(at[1:], len(least))
+            anchors = (least[at] & low).astype(np.int64)
+            # Grams of different spans never meet.
+            marks = mix(h[anchors] + np.uint64(span)).view(np.int64)
+            yield from zip([span] * len(at), marks.tolist(), (at + begin).tolist(), (ends - at).tolist(), (anchors + begin).tolist(), strict=True)
 
 
 def common_length(a: bytes, b: bytes) -> int:
@@ -111,10 +115,11 @@ def common_length(a: bytes, b: bytes) -> int:
 class Entry:
     """An indexed entry; ``seen`` tells of each start, by its distance from the anchor, whether it repeats."""
 
-    __slots__ = ("gram", "left", "right", "near", "seen", "wanted", "doc", "start")
+    __slots__ = ("span", "gram", "fp", "left", "right", "near", "seen")
 
-    def __init__(self, gram: int, left: bytes, right: bytes, n: int, wanted: bool, doc: int, start: int):
-        self.gram, self.right, self.wanted, self.doc, self.start = gram, right, wanted, doc, start
+    def __init__(self, span: int, gram: int, fp: int, left: bytes, right: bytes):
+        self.span, self.gram, self.fp, self.right = span, gram, fp, right
+        n = len(left) + len(right) - span + 1
         self.left = left[::-1]  # reversed: the byte before the anchor comes first
         self.near = len(left) - n + 1  # the least distance of a start from the anchor
         self.seen = np.zeros(n, bool)
@@ -126,10 +131,8 @@ class Entry:
 class LevelFamily:
     """Suffix arrays of entries in levels whose sizes are powers of two of a batch."""
 
-    def __init__(self, span: int):
-        self.span = span
+    def __init__(self):
         self.levels: list[list[Entry]] = []
-        self.closed: list[Entry] = []
 
     def add(self, batch: list[Entry]) -> None:
         batch.sort(key=Entry.key)
@@ -147,7 +150,7 @@ class LevelFamily:
                 at = stop
         for members in groups.values():
             if len(members) > 1:
-                match(members, self.span)
+                match(members, members[0].span)
         made = batch
         while self.levels and len(self.levels[-1]) < 2 * len(made):
             made = self.levels.pop() + made
@@ -204,141 +207,143 @@ def raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-PLACES = "doc_id long, start long, stop long"  # string starts [start, stop)
+def rows_of(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, text, and the two numbers that tell rows apart: the id and a fingerprint of the text."""
+    text = F.col("text").cast("string")
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("h"), *more)
 
 
-def entry_marks(docs: DataFrame, span: int) -> DataFrame:
-    """doc_id, gram, fp and the number of equal entries, for every different entry of every document."""
+def entry_marks(docs: DataFrame, spans: tuple[int, ...]) -> DataFrame:
+    """id, h, gram, fp, span, start, n, anchor of every entry of every document."""
+    names = ["id", "h", "gram", "fp", "span", "start", "n", "anchor"]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
-        for batch in batches:
-            d, g, f, c = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                here: dict[tuple[int, int], int] = {}
-                for gram, fp, _, _, _ in marked(raw(text.as_py()), span):
-                    here[gram, fp] = here.get((gram, fp), 0) + 1
-                d += [doc_id] * len(here)
-                g += [k[0] for k in here]
-                f += [k[1] for k in here]
-                c += here.values()
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "gram": pa.array(g, pa.int64()), "fp": pa.array(f, pa.int64()), "c": pa.array(c, pa.int32())})
-
-    return docs.mapInArrow(run, "doc_id long, gram long, fp long, c int")
-
-
-def shared_entries(docs: DataFrame, span: int) -> DataFrame:
-    """The entries whose gram is found more than once: whether they equal another, are to be indexed, or be spread."""
-    marks = materialize(entry_marks(docs, span), "entries")
-    equal = marks.groupBy("gram", "fp").agg(F.sum("c").alias("copies"), F.min("doc_id").alias("head"))
-    equal = materialize(equal.join(
-        equal.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1"), "gram",
-    ).select("gram", "fp", (F.col("copies") > 1).alias("equal"), "head", "kinds"), "shared-entries")
-    out = marks.join(equal, ["gram", "fp"]).select(
-        "doc_id", "gram", "fp", "equal",
-        # One of a set of equal entries speaks for them where there are others to compare with.
-        ((F.col("kinds") > 1) & (~F.col("equal") | (F.col("doc_id") == F.col("head")))).alias("sent"),
-        (F.col("kinds") > SPREAD).alias("spread"),
-    )
-    out = materialize(out.filter("equal or sent").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "fp", "equal", "sent", "spread")).alias("entries")), "document-entries")
+        for batch in small_batches(batches, 200):
+            cols = [[] for _ in names]
+            for key, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = raw(text.as_py())
+                for span, gram, start, n, anchor in entries(data, spans):
+                    fp = xxhash.xxh3_64_intdigest(data[start : start + n + span - 1], anchor - start) - (1 << 63)
+                    for col, x in zip(cols, (key, h, gram, fp, span, start, n, anchor - start), strict=True):
+                        col.append(x)
+                if len(cols[0]) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                    cols = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return docs.select("id", "h", "text").mapInArrow(run, "id long, h long, gram long, fp long, span int, start long, n int, anchor int")
+
+
+def shared_entries(docs: DataFrame, spans: tuple[int, ...]) -> DataFrame:
+    """The entries whose gram is found more than once: whether and how often they are to be indexed, or be spread."""
+    marks = materialize(entry_marks(docs, spans), "entries")
+    own = F.xxhash64("id", "h", "start")
+    equal = marks.groupBy("gram", "fp").agg(F.count("*").alias("copies"), F.min(own).alias("one"), F.max(own).alias("two"))
+    equal = materialize(equal, "equal-entries")
+    grams_ = equal.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1")
+    found = marks.join(equal.join(grams_, "gram"), ["gram", "fp"])
+    # Two of a set of equal entries speak for all; of rows that are equal altogether, one twice.
+    times = F.when((own != F.col("one")) & (own != F.col("two")), 0).when((F.col("copies") > 1) & (F.col("one") == F.col("two")), 2).otherwise(1)
+    out = materialize(found.select("id", "h", "gram", "fp", "span", "start", "n", "anchor", times.alias("times"), (F.col("kinds") > SPREAD).alias("spread")), "shared-entries")
     discard(marks)
     discard(equal)
     return out
 
 
-def place(docs: DataFrame, flagged: DataFrame, span: int) -> DataFrame:
-    """Rows of three kinds: places known to repeat (0), entries to be indexed (1), single strings (2)."""
+def place(docs: DataFrame, sent: DataFrame) -> DataFrame:
+    """Rows of two kinds: entries to be indexed (bytes left of the anchor and from it on) and single strings (i, a, b)."""
+    names = ["span", "gram", "fp", "i", "a", "b", "left", "right"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            size = 0
-            for doc_id, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        for batch in small_batches(batches, 200):
+            rows, size = [], 0
+            for text, marks in zip(batch.column(0), batch.column(1), strict=True):
                 data = raw(text.as_py())
-                what = {(m["gram"], m["fp"]): m for m in marks.as_py()}
-                sent = set()
-                for gram, fp, start, n, anchor in marked(data, span):
-                    m = what.get((gram, fp))
-                    if m is None:
-                        continue
-                    if m["equal"]:
-                        rows.append((0, doc_id, start, start + n, None, None, None, None, None))
-                    if not m["sent"] or (gram, fp) in sent:
-                        continue
-                    sent.add((gram, fp))
-                    if m["spread"]:
-                        for i in range(start, start + n):
-                            a, b = np.frombuffer(xxhash.xxh3_128_digest(data[i : i + span]), np.int64).tolist()
-                            rows.append((2, doc_id, i, i + 1, a, b, None, None, not m["equal"]))
-                    else:
-                        rows.append((1, doc_id, start, start + n, gram, None, data[start:anchor], data[anchor : start + n + span - 1], not m["equal"]))
-                        size += n + span
+                for m in marks.as_py():
+                    span, gram, fp, start, n = m["span"], m["gram"], m["fp"], m["start"], m["n"]
+                    for _ in range(m["times"]):
+                        if m["spread"]:
+                            for i in range(n):
+                                a, b = np.frombuffer(xxhash.xxh3_128_digest(data[start + i : start + i + span]), np.int64).tolist()
+                                rows.append((span, gram, fp, i, a, b, None, None))
+                        else:
+                            at = start + m["anchor"]
+                            rows.append((span, gram, fp, None, None, None, data[start:at], data[at : start + n + span - 1]))
+                            size += n + span
                     if len(rows) > 20_000 or size > 8_000_000:
-                        yield as_batch(rows)
+                        yield made(rows)
                         rows, size = [], 0
             if rows:
-                yield as_batch(rows)
+                yield made(rows)
 
-    return docs.join(flagged, "doc_id").select("doc_id", "text", "entries").mapInArrow(run, f"kind int, {PLACES}, a long, b long, left binary, right binary, wanted boolean")
+    lists = sent.groupBy("id", "h").agg(F.collect_set(F.struct("span", "gram", "fp", "start", "n", "anchor", "times", "spread")).alias("marks"))
+    texts = docs.join(lists, ["id", "h"]).select("text", "marks")
+    return texts.mapInArrow(run, "span int, gram long, fp long, i int, a long, b long, left binary, right binary")
 
 
-PLACE_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("wanted", pa.bool_())])
+FOUND = "gram long, fp long, i int, j int"  # starts [i, j) of an entry, counted from its first one
 
 
-def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PLACE_SCHEMA, strict=True)], schema=PLACE_SCHEMA)
-
-
-def indexed(rows: DataFrame, span: int) -> DataFrame:
-    """Places that the suffix arrays find, from rows of kind 1."""
+def indexed(rows: DataFrame) -> DataFrame:
+    """What the suffix arrays find of the entries to be indexed."""
 
     def run(batches):
-        family = LevelFamily(span)
+        family = LevelFamily()
         held: list[Entry] = []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for doc, start, stop, gram, left, right, wanted in zip(*cols, strict=True):
-                held.append(Entry(gram, left, right, stop - start, wanted, doc, start))
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                held.append(Entry(*row))
                 if len(held) >= BATCH:
                     family.add(held)
                     held = []
         if held:
             family.add(held)
-        d, a, b = [], [], []
+        g, f, a, b = [], [], [], []
         for e in family.results():
-            if e.wanted and e.seen.any():
+            if e.seen.any():
+                # Starts are kept in page order.
                 for i, j in runs(e.seen):
-                    d.append(e.doc)
-                    a.append(e.start + i)
-                    b.append(e.start + j)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "start": pa.array(a, pa.int64()), "stop": pa.array(b, pa.int64())})
+                    g.append(e.gram)
+                    f.append(e.fp)
+                    a.append(i)
+                    b.append(j)
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(g, pa.int64()), "fp": pa.array(f, pa.int64()), "i": pa.array(a, pa.int32()), "j": pa.array(b, pa.int32())})
 
-    return rows.filter("kind = 1").select("doc_id", "start", "stop", F.col("a").alias("gram"), "left", "right", "wanted").repartition("gram").mapInArrow(run, PLACES)
+    return rows.filter("i is null").select("span", "gram", "fp", "left", "right").repartition("gram").mapInArrow(run, FOUND)
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Places of single strings that occur more than once, from rows of kind 2."""
-    single = rows.filter("kind = 2").select("doc_id", "start", "stop", "a", "b", "wanted")
-    often = single.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return single.filter("wanted").join(often, ["a", "b"]).select("doc_id", "start", "stop")
-
-
-def repeated_places(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id and its repeated string starts, as an array of (start, stop)."""
-    flagged = shared_entries(docs, span)
-    texts = docs.join(few_ids(flagged.select("doc_id")), "doc_id", "left_semi")
-    rows = materialize(place(texts, flagged, span), "places")
-    found = rows.filter("kind = 0").select("doc_id", "start", "stop").unionByName(indexed(rows, span)).unionByName(spread(rows))
-    out = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("places")), "repeated")
-    discard(rows)
-    discard(flagged)
+    """The single strings that occur more than once."""
+    single = rows.filter("i is not null").select("gram", "fp", "i", "a", "b")
+    often = single.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    return single.join(often, ["a", "b"]).select("gram", "fp", "i", (F.col("i") + 1).alias("j"))
+
+
+def repeated_places(docs: DataFrame, spans: tuple[int, ...] = (SPAN,)) -> DataFrame:
+    """id, h and the repeated string starts of the rows of ``rows_of``, as an array of (span, start, stop)."""
+    flagged = shared_entries(docs.filter(F.octet_length("text") >= min(spans)), spans)
+    sent = flagged.filter("times > 0")
+    texts = docs.join(few_ids(sent.select("id").distinct()), "id", "left_semi")
+    rows = materialize(place(texts, sent), "places")
+    found = materialize(indexed(rows).unionByName(spread(rows)).distinct(), "repeated-entries")
+    placed = flagged.join(found, ["gram", "fp"]).select("id", "h", F.struct("span", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("j")).alias("stop")).alias("place"))
+    out = materialize(placed.groupBy("id", "h").agg(F.collect_set("place").alias("places")), "repeated")
+    for x in (rows, flagged, found):
+        discard(x)
     return out
 
 
-def removed_bytes(n: int, places: list[dict], span: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the strings at the given starts cover."""
+def covered(n: int, places: list[dict], span: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that the strings of one span at the given starts cover."""
     out: list[list[int]] = []
-    for p in sorted((p["start"], p["stop"]) for p in places or ()):
-        begin, end = p[0], min(p[1] - 1 + span, n)
+    for begin, stop in sorted((p["start"], p["stop"]) for p in places or () if p["span"] == span):
+        end = min(stop - 1 + span, n)
         if out and begin <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
@@ -346,49 +351,54 @@ def removed_bytes(n: int, places: list[dict], span: int) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, span: int = SPAN, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text and the spans.
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
 
-    The kept text leaves out the bytes of a character of which only a part was removed. Columns named in ``carry`` are
-    passed through.
+def dedup(docs: DataFrame, span: int = SPAN, passage: int | None = None, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With ``passage``, also n_passage_bytes, the bytes that repeated strings of so many bytes cover; they stay. With
+    ``keep_text``, also the kept text and the removed spans; the text leaves out the bytes of a character of which only a
+    part was removed. Columns named in ``carry`` are passed through.
     """
-    arrow_rows(docs.sparkSession, 1000)
-    whole = docs
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = repeated_places(docs.filter(F.octet_length("text") >= span), span)
+    spans = (span, passage) if passage else (span,)
+    places = few_places(repeated_places(rows_of(docs), spans))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+    if passage:
+        schema, kinds = schema + ", n_passage_bytes long", kinds | {"n_passage_bytes": pa.int64()}
     if keep_text:
-        schema += ", kept string, spans array<struct<start: long, stop: long>>"
+        schema, kinds = schema + ", kept string, spans array<struct<start: long, stop: long>>", kinds | {"kept": pa.string(), "spans": SPANS}
 
     def run(batches):
-        for batch in batches:
-            rows = {"doc_id": batch.column(0), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []} | ({"kept": [], "spans": []} if keep_text else {})
+        for batch in small_batches(batches):
+            rows = {name: [] for name in kinds}
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
-                data = raw(text.as_py())
-                gone = removed_bytes(len(data), found.as_py(), span)
+                data, found = raw(text.as_py()), found.as_py()
+                gone = covered(len(data), found, span)
                 kept = b"".join(data[a:b] for a, b in zip([0, *[g[1] for g in gone]], [*[g[0] for g in gone], len(data)], strict=True))
                 rows["n_bytes"].append(len(data))
                 rows["n_removed"].append(len(data) - len(kept))
                 rows["n_spans"].append(len(gone))
                 rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                if passage:
+                    rows["n_passage_bytes"].append(sum(b - a for a, b in covered(len(data), found, passage)))
                 if keep_text:
                     rows["kept"].append(kept.decode("utf-8", "ignore"))
                     rows["spans"].append([{"start": a, "stop": b} for a, b in gone])
-            arrays = {k: v if k == "doc_id" else pa.array(v, pa.string() if k in ("kept_sha256", "kept") else pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])) if k == "spans" else pa.int64()) for k, v in rows.items()}
+            arrays = {"doc_id": batch.column(0)} | {k: pa.array(v, kinds[k]) for k, v in rows.items()}
             yield pa.RecordBatch.from_pydict(arrays | {f"carried_{i}": batch.column(3 + i) for i, _ in enumerate(carry)})
 
-    places = few_places(places)
-    passed = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
-    whole = whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *passed)
+    whole = rows_of(docs, *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     for i, _ in enumerate(carry):
         schema += f", carried_{i} {whole.schema[f'carried_{i}'].dataType.simpleString()}"
-    out = whole.join(places, "doc_id", "left").select("doc_id", "text", "places", *[f"carried_{i}" for i, _ in enumerate(carry)]).mapInArrow(run, schema)
+    out = whole.join(places, ["id", "h"], "left").select("doc_id", "text", "places", *[f"carried_{i}" for i, _ in enumerate(carry)]).mapInArrow(run, schema)
     for i, c in enumerate(carry):
         out = out.withColumnRenamed(f"carried_{i}", c)
     return out
 
 
-#: Place lists are broadcast only if they hold fewer places in all than this (16 bytes each).
+#: Place lists are broadcast only if they hold fewer places in all than this (24 bytes each).
 BROADCAST_PLACES = 500_000
 
 

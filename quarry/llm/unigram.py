@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import Memo
-from quarry.llm.common import arrow_rows
+from quarry.llm.common import small_batches
 
 MARK = "▁"  # stands for a space
 UNKNOWN_PENALTY = 10.0
@@ -129,11 +129,9 @@ def load(path: str) -> UnigramCounter:
 
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_chars and n_tokens of every text."""
-    arrow_rows(docs.sparkSession, 1000)
-
     def run(batches):
         counter = load(model_path)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [x.as_py() or "" for x in batch.column(1)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0),
