@@ -4,30 +4,36 @@
 line declares. ``convert`` turns each record into a WARC record with an identifier, timestamp, type and digest of the
 same meaning. Archives are written by Spark's own committer as compressed text whose rows end in the two line breaks
 that end a WARC record, so a lost executor leaves no half-written archive, and any file system that Spark writes to
-will do. Reading takes whole archive files as binary and goes by declared lengths.
+will do. A file holds so few records that its bytes are bounded too. Reading takes archive files as binary and goes
+through them record by record, by declared lengths.
 
 Version 1 lines: URL, IP address, date, content type, length. Version 2 lines: URL, IP address, date, content type,
 result code, checksum, location, offset, file name, length.
 
-Defined results: a null payload counts as empty; payloads of at least ``min_revisit_bytes`` that are equal share one
-response, that of the smallest page_id, and shorter ones are all responses; repeated page_ids stay repeated rows; an
+Defined results: a null payload counts as empty and a null URL as "-"; payloads of at least ``min_revisit_bytes`` that
+are equal share one response, that of the smallest page_id, and shorter ones are all responses; rows that repeat this
+smallest page_id are responses too; a null page_id comes back as null and comes after all others, so such rows are
+revisits of a page with an id, or all responses if none has one; very long payloads get files of fewer records; an
 empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, materialize, scratch_path
+from quarry.llm.common import materialize, scratch_path, small_batches
 
 #: Fields of the header lines of both versions, as the formats fix them.
 ARC_FIELDS = {
@@ -35,8 +41,8 @@ ARC_FIELDS = {
     2: ("url", "ip", "date", "content_type", "result_code", "checksum", "location", "offset", "filename", "length"),
 }
 END = "\r\n\r\n"
-#: Records in one archive file.
-ARCHIVE_RECORDS = 2000
+#: Bytes of payload in one archive file at most (a longer one has a file of its own), and records.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 1 << 29, 2000
 PAGE_HEADER = "X-Page-Id"
 RECORD_SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
 
@@ -154,51 +160,47 @@ def convert(record: ArcRecord, original: tuple[str, str, str] | None = None, key
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of a WARC archive."""
-    at = 0
-    while at < len(data):
-        if data[at] in b"\r\n":
-            at += 1
+def parse_warc(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record of a WARC archive, read one after the other."""
+    while first := archive.readline():
+        if not first.strip(b"\r\n"):
             continue
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "surrogatepass").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record where one should begin: {lines[0][:40]!r}")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where one should begin: {first[:40]!r}")
+        fields = {}
+        while line := archive.readline().decode("utf-8", "surrogatepass").rstrip("\r\n"):
+            name, _, value = line.partition(":")
+            fields[name.lower()] = value.strip()
         length = int(fields["content-length"])
-        at = stop + 4
-        if at + length > len(data):
+        block = archive.read(length)
+        if len(block) < length:
             raise ValueError("a WARC record is shorter than it declares")
-        yield fields, data[at : at + length]
-        at += length
+        yield fields, block
 
 
-def page_arc(page_id: int, url: str, payload: bytes, date: str) -> bytes:
-    """A page as an ARC archive of one record; even pages in version 1, odd ones in version 2."""
-    version = 1 + page_id % 2
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{PAGE_HEADER}: {page_id}\r\nContent-Length: {len(payload)}\r\n\r\n"
+def page_arc(page_id: int | None, url: str, payload: bytes, date: str) -> bytes:
+    """A page as an ARC archive of one record; odd pages in version 2, the others in version 1."""
+    version = 1 + (page_id or 0) % 2
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{PAGE_HEADER}: {'' if page_id is None else page_id}\r\nContent-Length: {len(payload)}\r\n\r\n"
     block = arc_version_block(version, "pages.arc", date)
     return block + arc_record(version, url, date, head.encode() + payload, "pages.arc", len(block))
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str = "20240101000000") -> None:
     """Pages (page_id, url, html) as compressed WARC archives under ``path``, by way of ARC records."""
-    spark = pages.sparkSession
-    arrow_rows(spark, 500)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("n", F.octet_length("html"))
     first = (
         keyed.filter(F.col("n") >= min_revisit_bytes)
         .groupBy("digest", "n")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies"))
-        .filter("copies > 1")
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("copies"))
+        .filter("copies > 1 and first is not null")
         .select(F.col("digest").alias("d"), F.col("n").alias("m"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     )
-    marked = keyed.join(first, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m")), "left").select("page_id", "url", "html", "first_id", "first_url")
+    marked = keyed.join(first, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m")), "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 500):
             out = []
             for x in batch.to_pylist():
                 (record,) = parse_arc(page_arc(x["page_id"], x["url"], x["html"].encode("utf-8", "surrogatepass"), date))
@@ -208,28 +210,27 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date
                 out.append(convert(record, original, str(x["page_id"])).decode("utf-8"))
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
-    (
-        marked.mapInArrow(run, "value string")
-        .write.option("lineSep", END)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", ARCHIVE_RECORDS)
-        .text(path)
-    )
+    # Pages of usual length fill files of many records; the few longer ones get files of as many as fit.
+    usual = ARCHIVE_BYTES // ARCHIVE_RECORDS
+    longest = rows.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    kinds = [(marked, ARCHIVE_RECORDS)]
+    if longest > usual:
+        kinds = [(marked.filter(F.col("n") <= usual), ARCHIVE_RECORDS), (marked.filter(F.col("n") > usual), max(1, ARCHIVE_BYTES // longest))]
+    for part, records in kinds:
+        made = part.select("page_id", "url", "html", "first_id", "first_url").mapInArrow(run, "value string")
+        made.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives under ``path``: its page, digest of the payload, type and what it refers to."""
-    import gzip
-
     schema = "record_id string, refers_to_id string, record_type string, target_uri string, page_id long, payload_bytes long, payload_digest string"
-    arrow_rows(spark, 1)  # a row is a whole archive
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                raw = data.as_py()
+                stream = io.BytesIO(data.as_py())
                 rows = []
-                for f, block in parse_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                for f, block in parse_warc(gzip.GzipFile(fileobj=stream) if stream.getbuffer()[:2] == b"\x1f\x8b" else stream):
                     head, payload = http_parts(block)
                     http = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:] if x)}
                     kind = f["warc-type"]
@@ -240,7 +241,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         size = len(payload)
                         if sha1_base32(payload) != digest:
                             raise ValueError(f"the payload of {f['warc-record-id']} is not what its digest says")
-                    rows.append({"record_id": f["warc-record-id"], "refers_to_id": f.get("warc-refers-to"), "record_type": kind, "target_uri": f["warc-target-uri"], "page_id": int(http[PAGE_HEADER.lower()]), "payload_bytes": size, "payload_digest": digest})
+                    rows.append({"record_id": f["warc-record-id"], "refers_to_id": f.get("warc-refers-to"), "record_type": kind, "target_uri": f["warc-target-uri"], "page_id": int(http[PAGE_HEADER.lower()]) if http[PAGE_HEADER.lower()] else None, "payload_bytes": size, "payload_digest": digest})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=ARCHIVE_SCHEMA)
 

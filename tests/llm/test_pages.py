@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 
 import pytest
 
@@ -74,13 +75,29 @@ def test_archives_come_back(spark, monkeypatch):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_null_ids_ties_and_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    long = "é" * 200_000
+    rows = [(None, "u", "a"), (4, "v", "a"), (4, "w", "a"), (5, None, "a"), (None, None, "b"), (None, "x", "b"), (None, "y", None), (6, "z", long), (7, "z", long), (2, "z", "c" * 1500), (2, "z", "c" * 1400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((tuple(r)[:5] for r in warc.archive_round_trip(df).collect()), key=repr)
+    say = lambda i, h, kind, first=None: (i, len(h.encode()), digest(h), kind, first)
+    assert got == sorted([
+        say(None, "a", "revisit", 4), say(4, "a", "response"), say(4, "a", "response"), say(5, "a", "revisit", 4), say(None, "b", "response"), say(None, "b", "response"),
+        say(None, "", "response"), say(6, long, "response"), say(7, long, "revisit", 6), say(2, "c" * 1500, "response"), say(2, "c" * 1400, "response"),
+    ], key=repr)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == before
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     block = warc.arc_version_block(version, "f.arc", "20240102030405")
     data = block + warc.arc_record(version, "http://a b/", "20240102030405", b"HTTP/1.1 200 OK\r\n\r\nhi\n") + warc.arc_record(version, "dns:x", "2024", b"")
     a, b = warc.parse_arc(data)
     assert (a.url, a.body, a.version, b.body) == ("http://a%20b/", b"HTTP/1.1 200 OK\r\n\r\nhi\n", version, b"")
-    ((fields, payload),) = warc.parse_warc(warc.convert(a) + b"\r\n\r\n")
+    ((fields, payload),) = warc.parse_warc(io.BytesIO(warc.convert(a) + b"\r\n\r\n"))
     assert fields["warc-type"] == "response" and fields["warc-date"] == "2024-01-02T03:04:05Z" and payload == a.body
     assert fields["warc-payload-digest"] == "sha1:" + digest("hi\n")
     with pytest.raises(ValueError):
