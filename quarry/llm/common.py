@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: Ids up to this many may be broadcast (8 bytes each); beyond it a shuffled join is used.
 BROADCAST_IDS = 500_000
-#: Has Spark delete the shuffle files of a query as soon as it ends, instead of when the driver next collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a scratch table is written: Spark deletes the shuffle files of a query as soon as it ends, instead of when the
+#: driver next collects garbage, and hands Python this many rows at a time.
+MEANWHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,16 +35,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it again, which cuts its lineage.
 
-    Once the table is complete nothing reads the shuffles behind it any more, so their files go at once.
+    Once the table is complete nothing reads the shuffles behind it any more, so their files go at once. Arrow batches
+    are small meanwhile. The session's settings are as before afterwards.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in MEANWHILE}
     try:
+        for k, v in MEANWHILE.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out

@@ -41,9 +41,10 @@ def sample():
     return [*rows, (100, None), (101, ""), (102, "a" * 3000), (103, "ab" * 900), (104, "x" * 399), (105, "y" * 400), (106, "y" * 400), (107, p + p), (108, "é" * 300)]
 
 
-@pytest.mark.parametrize(("spread", "piece"), [(1000, 1 << 18), (5, 1 << 18), (1000, 1024)])
+@pytest.mark.parametrize(("spread", "piece"), [(1000, 1 << 18), (5, 1 << 18), (0, 1 << 18), (1000, 1024)])
 def test_matches_brute_force(documents, monkeypatch, spread, piece):
     monkeypatch.setattr(S, "SPREAD", spread)
+    monkeypatch.setattr(S, "GROUP", 2 if spread < 1000 else 500)
     monkeypatch.setattr(S, "PIECE", piece)
     rows = sample()
     got = sorted((tuple(r)[:6] for r in S.dedup(documents(rows), passage=S.PASSAGE, keep_text=True, carry=("lang", "n")).collect()), key=str)
@@ -56,13 +57,14 @@ def test_levels_find_what_one_batch_finds(monkeypatch):
     for size in (10_000, 7):
         family, held = S.LevelFamily(), []
         for d, b in rows:
-            for span, gram, start, n, anchor in S.entries(b, (S.SPAN, S.PASSAGE)):
-                held.append(S.Entry(span, gram, d * 10**6 + start, b[start:anchor], b[anchor : start + n + span - 1]))
-                if len(held) == size:
-                    family.add(held)
-                    held = []
+            for span, *arrays in S.entries(b, (S.SPAN, S.PASSAGE)):
+                for gram, start, n, anchor in zip(*(x.tolist() for x in arrays)):
+                    held.append(S.Entry(span, gram, gram, d * 10**6 + start, b[start:anchor], b[anchor : start + n + span - 1]))
+                    if len(held) == size:
+                        family.add(held)
+                        held = []
         family.add(held)
-        found.append(sorted((e.fp, e.span, e.seen.tolist()) for e in family.results()))
+        found.append(sorted((e.fp, e.span, e.places()) for e in family.results()))
     assert found[0] == found[1]
     assert len(family.levels) > 1
 
