@@ -16,7 +16,8 @@ posteriors and rates cover all documents.
 Defined results: a null text counts as empty, and so has no tokens and the rate of its posterior; labels with nulls are
 left out and repeated labels of a doc_id count by their largest values; a domain without labelled rows has posterior 0
 and its target weight is shared among the others; without any labels every rate is 1; repeated rows are rows of their
-own; an empty table gives an empty table; other columns are not read.
+own; very long texts count whole; ties of words or rows go by word or hash of doc_id; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -238,18 +239,18 @@ def fit_rates(members: DataFrame, weights: dict[str, float]) -> tuple[DataFrame,
     return members.withColumn("rate", F.round(dual_rate(dual, names), 6)), history + more
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, n_tokens, p_<domain> and rate of every document; warns where targets are missed."""
-    rows, misses = mix_with_misses(docs, labels, weights, sample_rows)
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], sample_rows: int = SAMPLE_ROWS, key: Column | None = None) -> DataFrame:
+    """doc_id, n_tokens, p_<domain> and rate of every document; warns where targets are missed. ``key`` replaces doc_id."""
+    rows, misses = mix_with_misses(docs, labels, weights, sample_rows, key)
     if any(abs(x) >= TOLERANCE for x in misses.values()):
         warnings.warn(f"The posteriors do not allow the targets; shares of all tokens off by {misses}", stacklevel=2)
     return rows
 
 
-def mix_with_misses(docs: DataFrame, labels: DataFrame, weights: dict[str, float], sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[str, float]]:
+def mix_with_misses(docs: DataFrame, labels: DataFrame, weights: dict[str, float], sample_rows: int = SAMPLE_ROWS, key: Column | None = None) -> tuple[DataFrame, dict[str, float]]:
     """The rows of ``mix``, and by how much of all tokens each domain's expected tokens are off its target."""
     model = fit_domains(docs, labels, sample_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select((F.col("doc_id") if key is None else key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = model.posteriors(prepared(rows, model.marks)).select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS])
     rows, history = fit_rates(materialize(members, "members"), weights)
     return rows, history[-1] if history else {}

@@ -132,7 +132,9 @@ def distance(a: str, b: str) -> Column:
 
 
 def whole_texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text and a fingerprint of the text, which tells rows of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def frequent_tokens(docs: DataFrame, width: int, num: int, den: int) -> np.ndarray:
@@ -177,6 +179,7 @@ def index_rows(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
             marks = [prints(s) for s in sets]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0),
+                "text_hash": batch.column(2),
                 "n": pa.array(map(len, sets), pa.int64()),
                 "f1": pa.array([m[0] for m in marks], pa.int64()),
                 "f2": pa.array([m[1] for m in marks], pa.int64()),
@@ -184,7 +187,7 @@ def index_rows(docs: DataFrame, width: int, num: int, den: int, frequent: np.nda
                 "entries": pa.array([prefixes.entries(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
             })
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bits array<long>, entries array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, f1 long, f2 long, bits array<long>, entries array<long>")
 
 
 def alike(a: str, b: str, num: int, den: int) -> Column:
@@ -404,7 +407,7 @@ def as_links(a, b, others, similarity) -> pa.RecordBatch:
 
 
 def join_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (the smallest doc_id with an equal set), n_links and the set's fingerprints."""
+    """doc_id, n_shingles, component_id, class_id (the smallest doc_id with an equal set), n_links, text_hash and group (the component's inner name)."""
     return Join(docs, width, num, den).groups()
 
 
@@ -488,15 +491,16 @@ class Join:
         part = connected_components(edges, "a", "b")
         placed = self.classes.join(part, F.col("v") == F.col("vertex"), "left").join(others, F.col("v") == F.col("linked"), "left")
         placed = placed.select("f1", "f2", "rep", F.coalesce("component", "v").alias("component"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        placed = placed.withColumn("group", F.col("component"))
         if self.clash:
             # The vertices' names are no doc_ids then.
-            least = placed.groupBy("component").agg(F.min("rep").alias("least"))
-            placed = placed.join(least, "component").select("f1", "f2", "rep", F.col("least").alias("component"), "n_links")
-        out = self.rows.select("doc_id", "n", "f1", "f2").join(placed, ["f1", "f2"], "left")
+            least = placed.groupBy("group").agg(F.min("rep").alias("least"))
+            placed = placed.join(least, "group").select("f1", "f2", "rep", F.col("least").alias("component"), "n_links", "group")
+        out = self.rows.select("doc_id", "text_hash", "n", "f1", "f2").join(placed, ["f1", "f2"], "left")
         alone = F.col("n") == 0
         return out.select(
             "doc_id", F.col("n").alias("n_shingles"),
             F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
             F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
-            F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), "f1", "f2",
+            F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), "text_hash", "group",
         )

@@ -10,7 +10,8 @@ at most ``sample_rows``, taken in the order of a hash of doc_id. Labels, languag
 
 Defined results: a null text counts as empty and is scored as such; null labels are left out and repeated labels of a
 doc_id are averaged; without labels of both classes every score is the share of ones (1 if there are none at all);
-repeated rows are scored each by itself; an empty table gives an empty table; other columns are not read.
+repeated rows are scored each by itself; very long texts are scored whole, in the memory of one task; a score equal to the
+threshold is predicted 1; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -213,15 +214,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     seen = with_statistics(rows).select("doc_id", "_y", *[f"_s_{n}" for n in NAMES])
     # Repeated doc_ids in the documents must not lift the bound.
-    got = seen.orderBy(F.xxhash64("doc_id"), "doc_id", *[f"_s_{n}" for n in NAMES]).limit(sample_rows).collect()
-    data = np.array([[float(v) for v in r[1:]] for r in got]).reshape(len(got), 1 + len(NAMES))
+    got = seen.orderBy(F.xxhash64("doc_id"), "doc_id", *[f"_s_{n}" for n in NAMES]).limit(sample_rows).drop("doc_id").toArrow()
+    data = np.column_stack([c.to_numpy() for c in got.columns]).astype(np.float64)
     return fit(data[:, 1:], data[:, 0])
 
 
 def score(docs: DataFrame, model: RuleEnsemble, name: str = "score") -> DataFrame:
-    """The columns of ``docs`` and the score of each whole text."""
-    keep = docs.columns
-    return with_statistics(docs).select(*keep, model.column().alias(name))
+    """The columns of ``docs``, whatever their names, and the score of each whole text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return with_statistics(docs.select(row, "text")).select("_row.*", model.column().alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -422,8 +422,8 @@ def dedup(docs: DataFrame, span: int = SPAN, passage: int | None = None, keep_te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     With ``passage``, also n_passage_bytes, the bytes that repeated strings of so many bytes cover; they stay. With
-    ``keep_text``, also the kept text and the removed spans; the text leaves out the bytes of a character of which only a
-    part was removed. Columns named in ``carry`` are passed through.
+    ``keep_text``, also the text, the kept text and the removed spans; the kept text leaves out the bytes of a character of
+    which only a part was removed. Columns named in ``carry`` are passed through.
     """
     spans = (span, passage) if passage else (span,)
     places = few_places(repeated_places(rows_of(docs), spans))
@@ -432,7 +432,7 @@ def dedup(docs: DataFrame, span: int = SPAN, passage: int | None = None, keep_te
     if passage:
         schema, kinds = schema + ", n_passage_bytes long", kinds | {"n_passage_bytes": pa.int64()}
     if keep_text:
-        schema, kinds = schema + ", kept string, spans array<struct<start: long, stop: long>>", kinds | {"kept": pa.string(), "spans": SPANS}
+        schema, kinds = schema + ", text string, kept string, spans array<struct<start: long, stop: long>>", kinds | {"text": pa.string(), "kept": pa.string(), "spans": SPANS}
 
     none = np.empty(0, np.int64)
 
@@ -451,6 +451,7 @@ def dedup(docs: DataFrame, span: int = SPAN, passage: int | None = None, keep_te
                 if passage:
                     rows["n_passage_bytes"].append(sum(b - a for a, b in covered(len(data), found[1], passage)))
                 if keep_text:
+                    rows["text"].append(text.as_py())
                     rows["kept"].append(kept.decode("utf-8", "ignore"))
                     rows["spans"].append([{"start": a, "stop": b} for a, b in gone])
             arrays = {"doc_id": batch.column(0)} | {k: pa.array(v, kinds[k]) for k, v in rows.items()}
