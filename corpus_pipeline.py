@@ -68,7 +68,8 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))}
     n_chars = F.when(F.col("n_removed") == 0, F.col(f"other_{docs.columns.index('n_chars')}")).otherwise(F.length("kept")) if "n_chars" in docs.columns else None
     made |= {"n_chars": n_chars.cast(docs.schema["n_chars"].dataType)} if n_chars is not None else {}
-    return left.select(*[made.get(c, F.col(f"other_{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    # Written here, whole texts go to Python in small batches; what reads this again does not cut them anew.
+    return materialize(left.select(*[made.get(c, F.col(f"other_{i}")).alias(c) for i, c in enumerate(docs.columns)]), "cut")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,7 +92,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, packed as little-endian unsigned 32-bit integers, with their number and digests."""
-    return bpe.encode_documents(docs, tokenizer("word_bpe_49k.json"), keep_ids=True).drop("decoded")
+    return materialize(bpe.encode_documents(docs, tokenizer("word_bpe_49k.json"), keep_ids=True).drop("decoded"), "encoded")
 
 
 STAGES = [
