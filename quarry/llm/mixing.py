@@ -5,7 +5,8 @@ that mark toxic rows gives each document a posterior over the domains. With n to
 nonnegative rates r(i) are sought for which the expected tokens sum_i n(i) p(i, d) r(i) meet the targets: projected
 gradient steps on the squared relative misses plus a small pull towards rate 1. A step needs only the domains' sums, so
 each one is a single aggregation of a few numbers; the rates themselves are folded from the list of past misses, and
-nothing but that list (domains times steps) reaches the driver. Where these steps do not reach the tolerance, Newton steps
+nothing but that list (domains times steps) reaches the driver. Where these steps stall or end short of the tolerance, Newton
+steps
 on the dual of the same problem, a number for each domain, go on until the tolerance or the minimum is reached, and it is
 an error if neither is. At the minimum targets can be missed, as soft posteriors need not allow them; the misses are
 returned by ``mix_with_misses`` and ``mix`` warns of them.
@@ -38,6 +39,8 @@ BINS = 8
 #: Words that mark toxic rows, at most so many, each in at least so many labelled rows.
 MARK_WORDS, MARK_ROWS = 64, 5
 STEPS, TOLERANCE, PULL = 40, 1e-4, 1e-3
+#: Steps over which the largest miss must fall to this share, or the Newton steps take over.
+STALL, STALL_SHARE = 4, 0.7
 #: Newton steps at most, and the slope of the dual below which a point is its minimum.
 NEWTON_STEPS, FLAT = 200, 1e-9
 #: The features are not independent; their joint evidence counts by this share.
@@ -231,8 +234,11 @@ def fit_rates(members: DataFrame, weights: dict[str, float]) -> tuple[DataFrame,
         got = members.withColumn("_r", rate).agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col("_r")).alias(d) for d in names]).first()
         miss = {d: got[d] / total - target[d] for d in names}
         history.append(miss)
-        if max(abs(x) for x in miss.values()) < TOLERANCE:
+        worst = [max(abs(x) for x in m.values()) for m in history]
+        if worst[-1] < TOLERANCE:
             return members.withColumn("rate", F.round(rate, 6)), history
+        if len(worst) > STALL and worst[-1] > STALL_SHARE * worst[-1 - STALL]:
+            break
         # Relative to the domain's own share, so that small domains are met as fast as large ones.
         misses.append({d: miss[d] / shares[d] for d in names})
     dual, more = fit_dual(members, names, total, target, shares)
