@@ -33,9 +33,12 @@ def matrix(column: pa.ChunkedArray, width: int = 0) -> np.ndarray:
     return out
 
 
-def best_rows(found: DataFrame, k: int, salt: str) -> DataFrame:
-    """The k best rows (query_id, vec_id, score) of each query, in two steps so that no task gets all of a query's."""
-    order = [F.col("score").desc(), F.col("vec_id").asc()]
+def best_rows(found: DataFrame, k: int, salt: str, *more: str) -> DataFrame:
+    """The k best rows (query_id, vec_id, score) of each query, in two steps so that no task gets all of a query's.
+
+    Columns named in ``more`` decide among equal scores, larger first.
+    """
+    order = [F.col("score").desc(), *[F.col(c).desc() for c in more], F.col("vec_id").asc()]
     part = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", salt).orderBy(*order))).filter(F.col("rank") <= k)
     best = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -4,12 +4,16 @@ Documents and queries meet in the cells of a grid: each cell holds one shard of
 queries, both of bounded size, so the stated queries are scored against all rows without a cross join. In a cell, the
 documents lie in blocks of neighbouring vectors. For each query the terms' largest contributions in a block (by the
 sign of the query's weight, the maximum or minimum of the component) are summed to a bound; blocks are taken by
-falling bound and scored through their forward index until the next bound falls below the kth best score.
+falling bound and scored through their forward index until the next bound falls below the kth best score. The first
+block thus sets the score that the others must reach. Where vectors have no structure, as with independent components,
+the bounds of all blocks stay above it, and every block is scored; ``blocks_scored`` tells the share.
 
 Defined results: a vector that is null or holds null or non-finite components takes no part; a shorter vector counts
-as filled up with zeros; a query's own row (by vec_id) is no candidate; ties go to the smaller vec_id; a query without
-candidates has no row; a score beyond 64 bits is given as the largest long of its sign, and such scores tie across
-shards; an empty table gives an empty table; other columns are not read.
+as filled up with zeros, very long ones are read whole; a component whose product with the scale is not finite counts as
+non-finite; a query's own row (by vec_id) is no candidate, nor is any other row with this vec_id; repeated rows are
+candidates of their own; ties go to the smaller vec_id; a query without candidates has no row; a score beyond 64 bits is
+given as the largest long of its sign but ranked by its exact value; an empty table gives an empty table; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ BLOCK_ROWS = 128
 #: Products of integers below this, summed over a few thousand terms, are exact in double precision.
 EXACT_IN_DOUBLE = 2**20
 LARGEST_LONG = 2**63 - 1
+#: No sum of products of doubles reaches this; as bytes, scores raised by it have this length.
+BEYOND, KEY_BYTES = 1 << 2100, 264
+
+CELL = pa.schema([("shard", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.binary()), ("share", pa.float64())])
 
 
 def order_blocks(docs: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -39,7 +47,7 @@ def order_blocks(docs: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def search_cell(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """The k best documents of each query: query number, vec_id, score. All values are whole numbers."""
+    """The k best documents of each query: query number, vec_ids, scores, share of the blocks scored. All values are whole."""
     n = len(ids)
     wide = max(np.abs(docs).max(initial=0), np.abs(queries).max(initial=0)) >= EXACT_IN_DOUBLE
     order = order_blocks(docs, ids)
@@ -48,13 +56,14 @@ def search_cell(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, querie
     high = np.maximum.reduceat(docs, starts, axis=0)
     low = np.minimum.reduceat(docs, starts, axis=0)
     bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-    if wide:  # the bounds must not fall short by rounding
-        bounds += np.abs(bounds) * 1e-9 + 1
-        docs = docs.astype(object)
-        for i in range(docs.shape[0]):
-            docs[i] = [int(x) for x in docs[i]]
+    if wide:
+        # Products are rounded, and may cancel: the bound must not fall short by more than their absolute sum allows.
+        magnitude = np.abs(queries) @ np.maximum(np.abs(high), np.abs(low)).T
+        bounds += magnitude * ((docs.shape[1] + 8) * 2.0**-52) + 1
+        docs = np.array([[int(x) for x in row] for row in docs], dtype=object).reshape(docs.shape)
     by_bound = np.argsort(-bounds, axis=1, kind="stable")
     for q in range(len(query_ids)):
+        scored = 0
         weights = np.array([int(x) for x in queries[q]], dtype=object) if wide else queries[q]
         top_ids = np.empty(0, np.int64)
         top_scores = np.empty(0, object if wide else np.float64)
@@ -62,6 +71,7 @@ def search_cell(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, querie
         for b in by_bound[q]:
             if len(top_ids) >= k and bounds[q, b] < kth:
                 break
+            scored += 1
             at = starts[b]
             scores = docs[at : at + BLOCK_ROWS] @ weights
             here = ids[at : at + BLOCK_ROWS]
@@ -75,35 +85,58 @@ def search_cell(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, querie
                 top_ids, top_scores = top_ids[best], top_scores[best]
             if len(top_ids) >= k:
                 kth = top_scores.min()
-        yield q, top_ids, top_scores
+        yield q, top_ids, top_scores, scored / len(starts)
 
 
-def search(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose vec_id ``every`` divides, over all other rows."""
-    valid = valid_vectors(embeddings).select("vec_id", F.transform("vector", lambda x: F.floor(x * scale).cast("double")).alias("vector"))
+def order_key(score: int) -> bytes | None:
+    """Bytes that sort as scores do, for those that a long cannot tell apart."""
+    return (score + BEYOND).to_bytes(KEY_BYTES, "big") if abs(score) >= LARGEST_LONG else None
+
+
+def grid(embeddings: DataFrame, every: int, scale: int) -> DataFrame:
+    """The rows of each cell (shard, chunk): documents once for each chunk of queries, queries once for each shard."""
+    v = F.col("vector")
+    # Doubles from 2^52 on are whole already, and a long could not hold the largest of them.
+    whole = F.transform(v, lambda x: F.when(F.abs(x * scale) < 2.0**52, F.floor(x * scale).cast("double")).otherwise(x * scale))
+    valid = valid_vectors(embeddings).select("vec_id", whole.alias("vector")).filter(~F.exists("vector", lambda x: F.abs(x) == float("inf")))
     n, nq = valid.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     shards, chunks = max(1, -(-n // SHARD_ROWS)), max(1, -(-nq // CHUNK_QUERIES))
     docs = valid.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int").alias("shard"),
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "vec_id", "vector",
     )
     asked = valid.filter(F.col("vec_id") % every == 0).select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
         F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("asks"), "vec_id", "vector",
     )
+    return docs.unionByName(asked)
+
+
+def search_cells(embeddings: DataFrame, k: int, every: int, scale: int) -> DataFrame:
+    """The best rows of each cell: shard, query_id, vec_id, score, beyond (the order of scores past a long), share."""
 
     def cell(key, rows):
         asks = rows.column("asks").to_numpy()
         ids = rows.column("vec_id").to_numpy()
         vectors = matrix(rows.column("vector"))
-        out_q, out_v, out_s = [], [], []
+        out = []
         if asks.any() and not asks.all():
             query_ids = ids[asks]
-            for q, found, scores in search_cell(ids[~asks], vectors[~asks], query_ids, vectors[asks], k):
-                out_q += [query_ids[q]] * len(found)
-                out_v += found.tolist()
-                out_s += [max(-LARGEST_LONG, min(LARGEST_LONG, int(s))) for s in scores]
-        return pa.table({"shard": pa.array([key[0].as_py()] * len(out_q), pa.int32()), "query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
-
-    found = docs.unionByName(asked).groupBy("shard", "chunk").applyInArrow(cell, "shard int, query_id long, vec_id long, score long")
-    return best_rows(found.withColumn("part", (F.col("shard") / 64).cast("int")), k, "part")
+            for q, found, scores, share in search_cell(ids[~asks], vectors[~asks], query_ids, vectors[asks], k):
+                for vec_id, score in zip(found.tolist(), map(int, scores), strict=True):
+                    out.append((key[0].as_py(), int(query_ids[q]), vec_id, max(-LARGEST_LONG, min(LARGEST_LONG, score)), order_key(score), share))
+        cols = zip(*out, strict=True) if out else [()] * len(CELL)
+        return pa.table([pa.array(c, f.type) for c, f in zip(cols, CELL, strict=True)], schema=CELL)
+
+    return grid(embeddings, every, scale).groupBy("shard", "chunk").applyInArrow(cell, "shard int, query_id long, vec_id long, score long, beyond binary, share double")
+
+
+def search(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose vec_id ``every`` divides, over all other rows."""
+    found = search_cells(embeddings, k, every, scale)
+    return best_rows(found.withColumn("part", (F.col("shard") / 64).cast("int")), k, "part", "beyond")
+
+
+def blocks_scored(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> float:
+    """The share of blocks that were scored, over all queries and cells."""
+    return search_cells(embeddings, k, every, scale).dropDuplicates(["shard", "query_id"]).agg(F.avg("share")).first()[0] or 0.0

@@ -43,11 +43,39 @@ def test_exact_search(spark, monkeypatch, block):
     assert {tuple(r) for r in exact_topk.search(vectors(spark, rows)).collect()} == expected
 
 
-def test_exact_search_with_large_components(spark):
-    rows = [(0, [1e9, 1.0]), (1, [1e9, 2.0]), (2, [-1e9, 3.0])]
-    got = [tuple(r) for r in exact_topk.search(vectors(spark, rows)).orderBy("rank").collect()]
-    a = int(np.float32(1e9)) * 256
-    assert got == [(0, 1, 1, a * a + 256 * 512), (0, 2, 2, -a * a + 256 * 768)] if a * a < 1 << 63 else got
+def whole(x):
+    """floor(256 * x) as a Python integer."""
+    from fractions import Fraction
+
+    return int(Fraction(float(x)) * 256 // 1)
+
+
+@pytest.mark.parametrize("power", [12, 20, 50, 120])
+def test_exact_search_with_cancelling_terms(spark, monkeypatch, power):
+    # Terms far larger than their sums, up to scores beyond 64 bits; small blocks and shards make the bounds matter.
+    monkeypatch.setattr(exact_topk, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(exact_topk, "SHARD_ROWS", 40)
+    random.seed(power)
+    rows = []
+    for i in range(150):
+        a = random.uniform(0.5, 1) * 2.0**power
+        rows.append((i, [a, -a + random.randint(-40, 40), random.uniform(-30, 30), 2.0**power, float(random.randint(-3, 3))]))
+    rows.append((0, rows[7][1]))  # a row that repeats a vec_id
+    x = [(i, [whole(np.float32(c)) for c in v]) for i, v in rows]
+    got = {}
+    for r in exact_topk.search(vectors(spark, rows)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    limit = 2**63 - 1
+    for q, v in [(i, v) for i, v in x if i % 50 == 0 and i]:
+        near = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in x if i != q))[:5]
+        assert sorted(got[q]) == [(r + 1, i, max(-limit, min(limit, -s))) for r, (s, i) in enumerate(near)]
+
+
+def test_blocks_are_pruned_where_vectors_have_structure(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 16))
+    rows = [(i, [float(c) for c in middle[i % 40] + 0.05 * rng.normal(size=16)]) for i in range(4000)]
+    assert exact_topk.blocks_scored(vectors(spark, rows)) < 0.5
 
 
 @pytest.mark.parametrize("cell", [256, 2])
@@ -78,4 +106,4 @@ def test_hadamard_keeps_lengths():
 
 def test_empty_tables(spark):
     none = vectors(spark, []).limit(0)
-    assert exact_topk.search(none).count() == 0 and cross_polytope.search(none).count() == 0
+    assert exact_topk.search(none).count() == 0 and exact_topk.blocks_scored(none) == 0 and cross_polytope.search(none).count() == 0
