@@ -98,13 +98,46 @@ def text_windows(text: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * width + 1, F.lit(width)))
 
 
-def proposal_id(target: Column) -> Column:
-    """URL-safe base64 of the target's SHA-256; a prefix of the target itself would collide for long shared paths."""
-    return F.translate(F.base64(F.unhex(F.sha2(target, 256))), "+/=", "-_")
+def proposal_id(kind: Column, target: Column) -> Column:
+    """The kind and the first 32 digits of the target in URL-safe base64, which its first 24 bytes give."""
+    digits = F.translate(F.base64(F.substring(F.encode(target, "UTF-8"), 1, 24)), "+/=", "-_")
+    return F.concat(F.lit("proposal:"), kind, F.lit(":"), digits)
 
 
-def learning_role(kind: Column) -> Column:
-    return F.when(kind == "failed", "counterexample").when(kind == "user_message", "requirement").when(kind == "action", "action").when(kind.isin("result", "observation"), "observation").otherwise("other")
+def proposal_target(entry: Column) -> Column:
+    """What comes after the last colon."""
+    return F.element_at(F.split(entry, ":"), -1)
+
+
+def budget_key(path: Column) -> Column:
+    """The first part of a path below the root; a file without one counts for the root."""
+    first = F.element_at(F.split(path, "/"), 1)
+    return F.when(first == "", "root").otherwise(first)
+
+
+def learning_role(namespace: Column, kind: Column, role: Column) -> Column:
+    """What a record is chosen as; the observed metadata stay as they are."""
+    return (
+        F.when((namespace == "feedback") | (kind == "feedback"), "feedback").when((namespace == "requirement") | (role == "user"), "user")
+        .when(kind == "action", "action").when((role == "agent") & kind.isin("note", "instruction"), "note")
+        .when(kind.isin("result", "observation"), "result").otherwise("unknown")
+    )
+
+
+def middle_depth(position: Column, length: Column) -> Column:
+    """The round in which halving picks a position (from 0) of a sequence: both ends first, then middles of middles."""
+    start = F.struct(F.lit(1).cast("long").alias("lo"), (length - 2).cast("long").alias("hi"), F.lit(2).alias("depth"), F.lit(False).alias("met"))
+
+    def halve(x: Column, _: Column) -> Column:
+        middle = F.floor((x["lo"] + x["hi"]) / 2)
+        met = x["met"] | (middle == position)
+        return F.struct(
+            F.when(~met & (position > middle), middle + 1).otherwise(x["lo"]).alias("lo"), F.when(~met & (position < middle), middle - 1).otherwise(x["hi"]).alias("hi"),
+            F.when(met, x["depth"]).otherwise(x["depth"] + 1).alias("depth"), met.alias("met"),
+        )
+
+    inner = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(length, F.lit(2)))).cast("int") + 1), start, halve)
+    return F.when(position == 0, 0).when(position == length - 1, 1).otherwise(inner["depth"])
 
 
 def signature_score(criteria: Column, other_criteria: Column, errors: Column, other_errors: Column, symptoms: Column, other_symptoms: Column, same_operation: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
+
 
 def call_pairs(events: DataFrame) -> DataFrame:
     """Calls by episode: paired with exactly one action and at least one result, else ambiguous."""
@@ -88,13 +90,38 @@ def overlapping_chunks(reads: DataFrame, chunk: int) -> DataFrame:
     return c.withColumns({"chunk_start": F.greatest(F.col("start") - F.col("chunk_no") * chunk, F.lit(0)), "chunk_stop": F.least(F.col("stop") - F.col("chunk_no") * chunk, F.lit(chunk))})
 
 
+def turns(rows: DataFrame, *order: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the turn of each row in its episode: both ends of the episode first, then middles of middles."""
+    w = Window.partitionBy(*within, "episode_id").orderBy(*order)
+    e = rows.withColumn("_at", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*within, "episode_id")))
+    e = e.withColumn("_depth", T.middle_depth(F.col("_at"), F.col("_n")))
+    return e.withColumn("turn", F.row_number().over(Window.partitionBy(*within, "episode_id").orderBy("_depth", "_at"))).drop("_at", "_n", "_depth")
+
+
 def spread(events: DataFrame, limit: int) -> DataFrame:
-    """Round-robin over episodes: the first of each, then the second of each, up to a limit."""
-    w = Window.partitionBy("episode_id").orderBy("position")
-    e = events.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= limit)
+    """Round-robin over episodes, each spread over its positions, up to a limit."""
+    e = turns(events, "position", "event_id").filter(F.col("turn") <= limit)
     return e.orderBy("turn", "episode_id").limit(limit).select("turn", "episode_id", "event_id")
 
 
+def selection_units(events: DataFrame, focus: DataFrame) -> DataFrame:
+    """Calls (or single events) as units, in classes of priority and spread over episodes within each.
+
+    In focus comes first, then tasks, feedback and the last event of an episode, then recoveries, counterexamples and
+    failures, then the rest; a unit has the best class of its members (episode_id, event_id, position, call_id, kind,
+    failed). The order of the result is (priority, turn, episode_id).
+    """
+    last = F.max("position").over(Window.partitionBy("episode_id"))
+    e = events.join(focus.select("event_id", F.lit(True).alias("focus")), "event_id", "left").withColumn("last", last)
+    rank = (
+        F.when(F.col("focus"), -1).when(F.col("kind").isin("task", "feedback") | (F.col("position") == F.col("last")), 0)
+        .when(F.col("kind").isin("recovery", "counterexample") | F.col("failed"), 1).otherwise(2)
+    )
+    unit = F.coalesce(F.concat(F.lit("c"), F.col("call_id")), F.concat(F.lit("e"), F.col("event_id")))
+    units = e.withColumn("priority", rank).groupBy("episode_id", unit.alias("unit")).agg(F.min("priority").alias("priority"), F.min("position").alias("position"), F.count("*").alias("members"))
+    return turns(units, "position", "unit", within=("priority",)).select("priority", "turn", "episode_id", "unit", "position", "members")
+
+
 def co_use(consumed: DataFrame, key: str, item: str) -> DataFrame:
     """Pairs of different items used together, with the number of keys that did."""
     items = consumed.select(key, item).distinct()

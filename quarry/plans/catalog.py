@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import evidence, runs, vault, whole
+from quarry.plans import evidence, records, runs, vault
 from quarry.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evidence", "runs", "vault", "whole"]
+__all__ = ["ORACLES", "QUERIES", "evidence", "records", "runs", "vault"]

@@ -74,10 +74,10 @@ def scored_facts(d: DataFrame, text: Column) -> DataFrame:
 
 @query
 def fact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_facts(table(spark, sf_dir, "documents"), F.substring("text", 1, 200))
+    return scored_facts(table(spark, sf_dir, "documents"), F.col("text"))
 
 
-ORACLES["fact_scores"] = """WITH x AS (SELECT doc_id AS i, len(list_filter(['thing','has','ha','en'], lambda q: list_contains(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9_]+'), q))) AS o FROM documents)
+ORACLES["fact_scores"] = """WITH x AS (SELECT doc_id AS i, len(list_filter(['thing','has','ha','en'], lambda q: list_contains(regexp_extract_all(lower(text), '[a-z0-9_]+'), q))) AS o FROM documents)
 SELECT i AS doc_id, CAST(CASE WHEN i % 11 = 0 THEN 1 WHEN i % 5 IN (1, 2) THEN NULL WHEN i % 5 = 0 OR i % 2 = 0 THEN o + 1 WHEN o > 0 THEN o END AS DOUBLE) AS score,
  CASE WHEN i % 11 = 0 THEN 'declared_global' WHEN i % 5 IN (1, 2) THEN 'task_relevance' WHEN i % 5 = 0 THEN 'declared_applicability' WHEN i % 2 = 0 THEN 'legacy_user_unspecified_applicability'
   WHEN o > 0 THEN 'lexical_task_overlap' ELSE 'task_relevance' END AS reason FROM x"""
@@ -140,22 +140,27 @@ SELECT episode_id, coalesce(string_agg(DISTINCT goal_id, ',' ORDER BY goal_id) F
 @query
 def related_experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    x = d.select(F.col("doc_id").alias("record_id"), T.terms(F.col("text")).alias("terms"), (F.col("doc_id") % 3).alias("signature_score"), (F.col("doc_id") % 2 == 0).alias("has_evidence"))
+    i = F.col("doc_id")
+    kinds = lambda a, b: F.array(F.concat(F.lit(a), i % 3), F.concat(F.lit(b), i % 2))
+    own = T.signature_score(kinds("c", "d"), F.array(F.lit("c1"), F.lit("d0")), kinds("e", "f"), F.array(F.lit("e2")), kinds("s", "t"), F.array(F.lit("s0"), F.lit("t1")), i % 5 == 0)
+    x = d.select(i.alias("record_id"), T.terms(F.col("text")).alias("terms"), own.alias("signature_score"), (i % 2 == 0).alias("has_evidence"))
     return V.related(x, ["ha", "en", "erou", "que"], 20).select("record_id", "score", "has_evidence")
 
 
 ORACLES["related_experiences"] = """SELECT record_id, score, record_id % 2 = 0 AS has_evidence FROM (SELECT doc_id AS record_id,
- CAST(len(list_filter(['ha','en','erou','que'], lambda q: list_contains(regexp_extract_all(lower(text), '[a-z0-9_]+'), q))) + doc_id % 3 AS BIGINT) AS score FROM documents)
+ CAST(len(list_filter(['ha','en','erou','que'], lambda q: list_contains(regexp_extract_all(lower(text), '[a-z0-9_]+'), q)))
+  + 4 * (CAST(doc_id % 3 = 1 AS INTEGER) + CAST(doc_id % 2 = 0 AS INTEGER)) + 3 * CAST(doc_id % 3 = 2 AS INTEGER)
+  + CAST(doc_id % 3 = 0 AS INTEGER) + CAST(doc_id % 2 = 1 AS INTEGER) + CAST(doc_id % 5 = 0 AS INTEGER) AS BIGINT) AS score FROM documents)
 WHERE score > 0 ORDER BY score DESC, record_id % 2 = 0 DESC, record_id DESC LIMIT 20"""
 
 
 @query
 def obligation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_partkey <= 40")
+    li = table(spark, sf_dir, "lineitem")
     return V.obligation_pairs(li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") % 10).alias("b"), (F.col("l_quantity") > 48).alias("required")), 60)
 
 
-ORACLES["obligation_pairs"] = """WITH p AS (SELECT l_partkey AS a, l_suppkey % 10 AS b, bool_or(l_quantity > 48) AS required FROM lineitem WHERE l_partkey <= 40 GROUP BY ALL)
+ORACLES["obligation_pairs"] = """WITH p AS (SELECT l_partkey AS a, l_suppkey % 10 AS b, bool_or(l_quantity > 48) AS required FROM lineitem GROUP BY ALL)
 SELECT * FROM p WHERE required UNION ALL SELECT a, b, required FROM p WHERE NOT required QUALIFY row_number() OVER (ORDER BY a, b) <= greatest(0, 60 - (SELECT count(*) FROM p WHERE required))"""
 
 
@@ -170,14 +175,13 @@ ORACLES["goal_tail"] = EVENTS + "\nSELECT episode_id, position, goal_id FROM epi
 
 @query
 def admissible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 500")
-    sources = li.select(F.col("l_orderkey").alias("record"), (F.col("l_partkey") % 400 + 1).alias("source"))
+    sources = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("source"))
     barred = table(spark, sf_dir, "part").filter("p_partkey in (5, 11)").select(F.col("p_partkey").alias("node"))
     return V.admissible(sources, adapters.dependency_edges(spark, sf_dir), barred)
 
 
 ORACLES["admissible_records"] = with_sql("dependency_edges", recursive=True) + """,
-s AS (SELECT DISTINCT l_orderkey AS record, l_partkey % 400 + 1 AS source FROM lineitem WHERE l_orderkey <= 500),
+s AS (SELECT DISTINCT l_orderkey AS record, l_partkey AS source FROM lineitem),
 r(root, node) AS (SELECT DISTINCT source, source FROM s UNION SELECT r.root, e.dst FROM r JOIN dependency_edges e ON r.node = e.src)
 SELECT DISTINCT record FROM s WHERE record NOT IN (SELECT s.record FROM s JOIN r ON s.source = r.root WHERE r.node IN (SELECT p_partkey FROM part WHERE p_partkey IN (5, 11)))"""
 
@@ -204,8 +208,8 @@ def pages_of_tasks(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
 
 @query
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_of_tasks(spark, sf_dir, F.substring("text", 1, 300))
+    return pages_of_tasks(spark, sf_dir, F.col("text"))
 
 
 ORACLES["linked_pages"] = """SELECT n_nationkey AS task_id, source AS base, CAST(row_number() OVER (PARTITION BY n_nationkey, source ORDER BY doc_id) AS INTEGER) AS rank, doc_id AS path
-FROM nation JOIN documents ON source = 'src' || n_regionkey WHERE contains(lower(substr(text, 1, 300)), CASE WHEN n_nationkey % 2 = 0 THEN 'the' ELSE 'une' END) QUALIFY rank <= 2"""
+FROM nation JOIN documents ON source = 'src' || n_regionkey WHERE contains(lower(text), CASE WHEN n_nationkey % 2 = 0 THEN 'the' ELSE 'une' END) QUALIFY rank <= 2"""

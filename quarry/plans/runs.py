@@ -389,7 +389,15 @@ def event_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.spread(events(spark, sf_dir), 40)
 
 
-ORACLES["event_spread"] = EVENTS + "\nSELECT CAST(position AS INTEGER) AS turn, episode_id, event_id FROM episode_events ORDER BY turn, episode_id LIMIT 40"
+#: Rounds in which halving picks the positions (from 0) of sequences of n.
+HALVED = """
+lengths AS (SELECT DISTINCT n FROM counted),
+halves(n, lo, hi, depth) AS (SELECT n, CAST(1 AS BIGINT), n - 2, 2 FROM lengths UNION ALL
+ SELECT n, CASE WHEN s = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN s = 0 THEN (lo + hi) // 2 - 1 ELSE hi END, depth + 1 FROM halves, (VALUES (0), (1)) v(s) WHERE lo <= hi),
+rounds AS (SELECT n, (lo + hi) // 2 AS at, depth FROM halves WHERE lo <= hi UNION ALL SELECT n, 0, 0 FROM lengths UNION ALL SELECT n, n - 1, 1 FROM lengths WHERE n > 1)"""
+ORACLES["event_spread"] = EVENTS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+counted AS (SELECT episode_id, event_id, row_number() OVER (PARTITION BY episode_id ORDER BY position, event_id) - 1 AS at, count(*) OVER (PARTITION BY episode_id) AS n FROM episode_events),""" + HALVED + """
+SELECT CAST(row_number() OVER (PARTITION BY episode_id ORDER BY depth, c.at) AS INTEGER) AS turn, episode_id, event_id FROM counted c JOIN rounds r ON c.n = r.n AND c.at = r.at ORDER BY turn, episode_id LIMIT 40"""
 
 
 @query
@@ -417,12 +425,12 @@ ORACLES["conversation_user_context"] = """SELECT turn AS event_id, conv_id AS ep
 @query
 def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = adapters.dependency_edges(spark, sf_dir)
-    roots = table(spark, sf_dir, "part").filter("p_partkey <= 400 and p_partkey % 37 = 0").select(F.col("p_partkey").alias("node"))
+    roots = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     return graph.closure(edges, roots)
 
 
 ORACLES["dependency_closure"] = with_sql("dependency_edges", recursive=True) + """,
-r(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey <= 400 AND p_partkey % 37 = 0
+r(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part
  UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN dependency_edges e ON r.node = e.src WHERE r.depth < 30)
 SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY ALL"""
 

@@ -64,12 +64,12 @@ def terms_of(d: DataFrame, text: Column) -> DataFrame:
 
 @query
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms_of(table(spark, sf_dir, "documents"), F.substring("text", 1, 80))
+    return terms_of(table(spark, sf_dir, "documents"), F.col("text"))
 
 
 ORACLES["query_terms"] = """SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(
  list_filter(regexp_extract_all(lower(t), '[a-z0-9_]+'), lambda x: x NOT IN ('a','an','and','be','for','in','is','must','of','or','the','to','with')), ['数据','据处','处理','与']))), '|') AS terms
- FROM (SELECT doc_id, concat(substr(text, 1, 80), ' 数据处理 与 a the') AS t FROM documents)"""
+ FROM (SELECT doc_id, concat(text, ' 数据处理 与 a the') AS t FROM documents)"""
 
 
 @query
@@ -220,16 +220,40 @@ p AS (SELECT a.id AS a_id, b.id AS b_id, any_value(a.n) AS an, any_value(b.n) AS
 SELECT a_id, b_id, round(c / CAST(an + bn - c AS DOUBLE), 3) AS similarity FROM p WHERE c / CAST(an + bn - c AS DOUBLE) >= 0.72"""
 
 
-@query
-def vault_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.health(G.item_states(memory_items(spark, sf_dir), AS_OF), consolidate=3, integrity=5)
+def consolidation(items: DataFrame) -> DataFrame:
+    """target: near-duplicates of one kind, conflicts and contradictions, as one list without repeats."""
+    near = G.near_duplicates(items, "kind", 0.72).select(F.concat_ws("<->", "a_id", "b_id").alias("target"))
+    conflicts = G.semantic_conflicts(items).select(F.concat_ws(":", F.lit("semantic_conflict"), "kind", "scope", "tag").alias("target"))
+    contradictions = G.direct_contradictions(items).select(F.concat_ws(":", F.lit("direct_contradiction"), "kind", "scope", "tag", "claim_key").alias("target"))
+    return near.union(conflicts).union(contradictions).distinct()
 
 
-ORACLES["vault_health"] = SQL_STATES + """,
+@query
+def vault_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = memory_items(spark, sf_dir)
+    return G.health(G.item_states(items, AS_OF), consolidate=consolidation(items).count(), integrity=G.integrity_markers(items, AS_OF).count())
+
+
+#: Near-duplicates of one kind, conflicts and contradictions of memory_items.
+CONSOLIDATION = """
+n AS (SELECT id, kind, list_distinct(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: length(x) >= 4)) AS t FROM memory_items),
+w AS (SELECT id, kind, len(t) AS n, unnest(t) AS tok FROM n),
+q AS (SELECT a.id AS l, b.id AS r, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS c FROM w a JOIN w b ON a.kind = b.kind AND a.tok = b.tok AND a.id < b.id
+ AND least(a.n, b.n) >= 0.72 * greatest(a.n, b.n) - 1e-9 GROUP BY a.id, b.id),
+g AS (SELECT kind, scope, claim, unnest(list_distinct(tags)) AS tag FROM memory_items),
+consolidation AS (SELECT l || '<->' || r AS target FROM q WHERE c / CAST(an + bn - c AS DOUBLE) >= 0.72
+ UNION SELECT 'semantic_conflict:' || kind || ':' || scope || ':' || tag FROM g GROUP BY kind, scope, tag HAVING count(DISTINCT claim) > 1
+ UNION SELECT 'direct_contradiction:' || kind || ':' || scope || ':' || tag || ':archive bucket ' || b FROM (
+  SELECT kind, scope, CAST(id AS BIGINT) % 5 AS b, CAST(id AS BIGINT) % 6 AS p, unnest(list_distinct(tags)) AS tag FROM memory_items WHERE CAST(id AS BIGINT) % 6 < 2)
+  GROUP BY kind, scope, tag, b HAVING count(*) FILTER (p = 0) > 0 AND count(*) FILTER (p = 1) > 0)"""
+ORACLES["vault_health"] = SQL_STATES + "," + CONSOLIDATION + """,
+markers AS (SELECT coalesce(sum(CAST(status IN ('verified','outdated') AND verified_at IS NULL AS INTEGER) + CAST(coalesce(expires_at <= TIMESTAMP '{AS_OF}', false) AS INTEGER)
+ + CAST(kind IN ('evidence','project') AND coalesce(retrieval_count, 0) = 0 AS INTEGER) + CAST(kind = 'evidence' AND source_hash IS NULL AS INTEGER)), 0)
+ + (SELECT count(*) FROM (SELECT DISTINCT id, unnest(refs) AS r FROM memory_items) WHERE r NOT IN (SELECT id FROM memory_items)) AS n FROM memory_items),
 c AS (SELECT count(*) AS items, count(*) FILTER (keep) AS keep, count(*) FILTER (reinforce) AS reinforce, count(*) FILTER (decay) AS decay,
- count(*) FILTER (expired) + count(*) FILTER (expiring_soon) + count(*) FILTER (ttl_breach) AS expire, CAST(3 AS BIGINT) AS consolidate,
- count(*) FILTER (oversized) + count(*) FILTER (stale) + count(*) FILTER (decay) + 5 AS review FROM states)
-SELECT *, round(greatest(0.0, least(1.0, 1 - (decay + consolidate + review + expire) / CAST(greatest(2*items, 1) AS DOUBLE))), 3) AS score FROM c"""
+ count(*) FILTER (expired) + count(*) FILTER (expiring_soon) + count(*) FILTER (ttl_breach) AS expire, (SELECT count(*) FROM consolidation) AS consolidate,
+ CAST(count(*) FILTER (oversized) + count(*) FILTER (stale) + count(*) FILTER (decay) + (SELECT n FROM markers) AS BIGINT) AS review FROM states)
+SELECT *, round(greatest(0.0, least(1.0, 1 - (decay + consolidate + review + expire) / CAST(greatest(2*items, 1) AS DOUBLE))), 3) AS score FROM c""".replace("{AS_OF}", AS_OF)
 
 
 @query
@@ -267,16 +291,10 @@ SELECT series, count(*) AS n, round(avg(score), 3) AS mean, round(arg_max(score,
 
 @query
 def consolidation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicates and conflicts as one list without repeats."""
-    items = memory_items(spark, sf_dir)
-    conflicts = G.semantic_conflicts(items).select(F.concat_ws(":", "kind", "scope", "tag").alias("target"))
-    contradictions = G.direct_contradictions(items).select(F.concat_ws(":", "kind", "scope", "tag").alias("target"))
-    return conflicts.union(contradictions).distinct()
+    return consolidation(memory_items(spark, sf_dir))
 
 
-ORACLES["consolidation_list"] = with_sql("memory_items") + """,
-g AS (SELECT kind, scope, claim, unnest(list_distinct(tags)) AS tag FROM memory_items)
-SELECT kind || ':' || scope || ':' || tag AS target FROM g GROUP BY kind, scope, tag HAVING count(DISTINCT claim) > 1"""
+ORACLES["consolidation_list"] = with_sql("memory_items") + "," + CONSOLIDATION + "\nSELECT target FROM consolidation"
 
 
 @query

@@ -114,10 +114,9 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("memory_id"), F.row_number().over(w).cast("long").alias("revision"), F.col("o_orderkey").alias("record_id"), F.lag("o_orderkey").over(w).alias("supersedes"), F.col("o_orderpriority").alias("content"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 3 == 0, "user").otherwise("project").alias("kind"))
 
 
-def dependency_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Part keys, up to 400 or all, depending on one or two smaller ones, with a few cycles."""
+def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part keys depending on one or two smaller ones, with a few cycles."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
-    p = p if whole else p.filter("k <= 400")
     half = p.select(F.col("k").alias("src"), F.floor(F.col("k") / 2).cast("long").alias("dst")).filter("src > 1 and dst >= 1")
     back = p.filter("k % 97 = 0").select(F.floor(F.col("k") / 2).cast("long").alias("src"), F.col("k").alias("dst"))
     return half.unionByName(back)
@@ -168,8 +167,8 @@ SQL = {
   o_orderpriority AS content, o_orderdate AS created_at, CASE WHEN o_orderkey % 3 = 0 THEN 'user' ELSE 'project' END AS kind
  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))""",
     "dependency_edges": """dependency_edges AS (
- SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM part WHERE p_partkey <= 400 AND p_partkey > 1
- UNION ALL SELECT CAST(floor(p_partkey / 2) AS BIGINT), p_partkey FROM part WHERE p_partkey <= 400 AND p_partkey % 97 = 0)""",
+ SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM part WHERE p_partkey > 1
+ UNION ALL SELECT CAST(floor(p_partkey / 2) AS BIGINT), p_partkey FROM part WHERE p_partkey % 97 = 0)""",
 }
 
 
