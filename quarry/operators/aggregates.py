@@ -130,11 +130,20 @@ def gates(summaries: DataFrame, min_gain: float, max_loss: float, max_spread: fl
 
 
 def rank_candidates(rows: DataFrame, key: str) -> DataFrame:
-    """Order: mean gain falling, unknown cost last, cost rising, then the key."""
+    """Order: mean gain falling, unknown cost last, cost rising, then the key.
+
+    Rows are sorted over all partitions; a row's rank is its place in its own plus the rows of those before.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("gain").desc(), F.col("cost").isNull(), F.col("cost"), F.col(key))
-    return rows.withColumn("rank", F.row_number().over(w))
+    from quarry.operators.lineage import cut
+
+    placed = rows.orderBy(F.col("gain").desc(), F.col("cost").isNull(), F.col("cost"), F.col(key))
+    placed = cut(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return placed.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("rank", (own + F.col("_before")).cast("int")).drop("_part", "_at", "_before")
 
 
 def extra_calls(attempts: DataFrame, key: str) -> DataFrame:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.lineage import cut
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth) of every node that a root reaches, at its least depth. Cycles end, as no pair is met twice."""
     edges = cut(edges.select("src", "dst").distinct())
     reached = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")))
     front = reached
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         front = step.join(reached.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"))
         front = cut(front)
@@ -23,7 +25,7 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFra
     return reached
 
 
-def cyclic_nodes(edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes that reach themselves, with the length of their shortest cycle.
 
     Nodes without a way in or without a way out are peeled off first, round after round; only what is left is closed.
@@ -39,7 +41,7 @@ def cyclic_nodes(edges: DataFrame, max_depth: int = 100) -> DataFrame:
             break
         n = now
     start = left.select(F.col("src").alias("node")).distinct()
-    reach = closure(left, start, max_depth).select("root", "node", "depth").filter("root <> node")
+    reach = closure(left, start).select("root", "node", "depth").filter("root <> node")
     back = reach.join(left, (F.col("node") == F.col("src")) & (F.col("root") == F.col("dst"))).groupBy(F.col("root").alias("node")).agg((F.min("depth") + 1).cast("int").alias("length"))
     return loops.unionByName(back).groupBy("node").agg(F.min("length").alias("length"))
 
@@ -51,12 +53,12 @@ def conflicts_inside(reached: DataFrame, conflicts: DataFrame) -> DataFrame:
     return a.join(conflicts, "a").join(b, ["root", "b"]).select("root", "a", "b")
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and the least node of its component, by passing least labels with shortcuts."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = cut(both)
     label = cut(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("dst"), F.col("label").alias("l")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("l").alias("l"))
         new = label.join(near, "node").select("node", F.least("label", "l").alias("label"))
         jump = new.select(F.col("node").alias("label"), F.col("label").alias("far"))
@@ -69,26 +71,33 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return label
 
 
-def fold_duplicates(relations: list[tuple[str, str, str]]) -> dict[str, str]:
-    """Groups of one owner's LINK_DUPLICATE relations in order; a merge that would join a MARK_CONFLICT is skipped.
+def fold_duplicates(relations: list[dict]) -> tuple[dict[str, str], dict[str, list[str]]]:
+    """The representative of each record of one owner's relations (kind, a, b, preferred), and the conflicts of these.
 
-    The result depends on the order, so it is a fold over the relations of one owner (for use in a grouped map).
+    LINK_DUPLICATE relations are folded in order: both records go to the root of the preferred one, unless that would
+    join the two records of a MARK_CONFLICT, directly or through a third. Representatives whose conflicts hang together
+    are one group, which is not resolved. The result depends on the order, so it is for use in a grouped map.
     """
-    parent: dict[str, str] = {}
+    parent = {x: x for r in relations for x in (r["a"], r["b"])}
 
     def root(x: str) -> str:
-        parent.setdefault(x, x)
         while parent[x] != x:
-            parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    marked = [(a, b) for kind, a, b in relations if kind == "MARK_CONFLICT"]
-    for kind, a, b in relations:
-        if kind != "LINK_DUPLICATE":
+    marked = [r for r in relations if r["kind"] == "MARK_CONFLICT"]
+    for r in relations:
+        if r["kind"] != "LINK_DUPLICATE":
             continue
-        x, y = root(a), root(b)
-        if x == y or any({root(p), root(q)} <= {x, y} for p, q in marked):
+        head, joined = root(r["preferred"]), {root(r["a"]), root(r["b"])}
+        if any({root(m["a"]), root(m["b"])} <= joined for m in marked):
             continue
-        parent[max(x, y)] = min(x, y)
-    return {x: root(x) for x in list(parent)}
+        for x in joined - {head}:
+            parent[x] = head
+    heads = {x: root(x) for x in parent}
+    groups = {h: {h} for h in heads.values()}
+    for m in marked:
+        whole = groups[heads[m["a"]]] | groups[heads[m["b"]]]
+        for h in whole:
+            groups[h] = whole
+    return heads, {h: sorted(g) for h, g in groups.items() if len(g) > 1}

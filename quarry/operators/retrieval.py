@@ -63,21 +63,26 @@ def query_memory(items: DataFrame, kind: str, limit: int | None = None, scope: s
 
 
 def context_pack(items: DataFrame, task: str, scope: str) -> DataFrame:
-    """Five sections, each with its own order and limit; an item may be in several."""
+    """Five sections, each with its own order and limit; an item may be in several.
+
+    One scan: an item names its sections, and of each section every task passes on no more rows than the limit.
+    """
     scoped = live(items).filter(F.col("scope").contains(scope) | ((F.col("kind") == "personal") & (F.col("status") == "verified")))
-    verified = F.col("status") == "verified"
+    scoped = scoped.withColumn("_score", rank_score(task))
+    kind, verified = F.col("kind"), F.col("status") == "verified"
+    stable, ranked = F.col("confidence").cast("double"), F.col("_score").cast("double")
     parts = {
-        "always_loaded": (scoped.filter((F.col("kind") == "personal") & verified), by_stability()),
-        "project_core": (scoped.filter((F.col("kind") == "project") & verified & F.col("scope").contains(scope)), by_stability()),
-        "retrieved": (scoped.filter(F.col("kind").isin("project", "evidence")), by_rank(task)),
-        "session_memory": (scoped.filter("kind = 'session'"), by_rank(task)),
-        "evidence_memory": (scoped.filter("kind = 'evidence'"), by_rank(task)),
+        "always_loaded": ((kind == "personal") & verified, stable),
+        "project_core": ((kind == "project") & verified & F.col("scope").contains(scope), stable),
+        "retrieved": (kind.isin("project", "evidence"), ranked),
+        "session_memory": (kind == "session", ranked),
+        "evidence_memory": (kind == "evidence", ranked),
     }
-    out = None
-    for name, (rows, order) in parts.items():
-        section = top(rows, order, SECTIONS[name]).select(F.lit(name).alias("section"), "rank", "id", "kind", "scope", "status", "confidence")
-        out = section if out is None else out.unionByName(section)
-    return out
+    named = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(name).alias("section"), order.alias("o"), F.lit(SECTIONS[name]).alias("most"))) for name, (c, order) in parts.items()]))
+    rows = scoped.select("id", "kind", "scope", "status", "confidence", "updated_at", F.explode(named).alias("s"))
+    w = Window.partitionBy("s.section").orderBy(F.col("s.o").desc(), F.col("updated_at").desc(), F.col("id"))
+    best = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(SECTIONS.values()))
+    return best.filter(F.col("rank") <= F.col("s.most")).select("s.section", "rank", "id", "kind", "scope", "status", "confidence")
 
 
 def budgeted(rows: DataFrame, group: str, order: list[str], cost: str, budget: int, separator: int = 1) -> DataFrame:

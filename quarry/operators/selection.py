@@ -46,13 +46,16 @@ def select_roots(candidates: DataFrame, weight: float, max_roots: int, budget: i
 
 
 def fold_groups(relations: DataFrame) -> DataFrame:
-    """Duplicate groups of each owner from (owner, position, kind, a, b), folded in order and kept apart by conflicts."""
+    """Member, head and the head's conflict group, for each owner's relations (owner, position, kind, a, b, preferred)."""
     def one(key, rows):
         ordered = sorted(rows.to_pylist(), key=lambda r: r["position"])
-        groups = fold_duplicates([(r["kind"], r["a"], r["b"]) for r in ordered])
-        return pa.table({"owner": pa.array([key[0].as_py()] * len(groups), pa.string()), "member": pa.array(list(groups), pa.string()), "head": pa.array(list(groups.values()), pa.string())})
+        heads, conflicts = fold_duplicates(ordered)
+        return pa.table({
+            "owner": pa.array([key[0].as_py()] * len(heads), pa.string()), "member": pa.array(list(heads), pa.string()), "head": pa.array(list(heads.values()), pa.string()),
+            "conflict": pa.array([",".join(conflicts[h]) if h in conflicts else None for h in heads.values()], pa.string()),
+        })
 
-    return relations.groupBy("owner").applyInArrow(one, "owner string, member string, head string")
+    return relations.groupBy("owner").applyInArrow(one, "owner string, member string, head string, conflict string")
 
 
 def call_ledger(starts: DataFrame, returns: DataFrame) -> DataFrame:
