@@ -247,3 +247,58 @@ def call_metadata(events: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("episode_id", "call_id").orderBy("position")
     partners = events.join(calls, ["episode_id", "call_id"], "left_semi").withColumn("r", F.row_number().over(w)).filter("r <= 2").select("event_id")
     return chosen.union(partners).distinct()
+
+
+def appended(facts: DataFrame, new: DataFrame) -> DataFrame:
+    """New facts (memory_id, record_id, content) with the revision after the last one of their memory, which they supersede."""
+    last = facts.groupBy("memory_id").agg(F.max("revision").alias("revision"), F.max_by("record_id", "revision").alias("supersedes"))
+    w = Window.partitionBy("memory_id").orderBy("record_id")
+    rows = new.join(last, "memory_id", "left").withColumn("n", F.row_number().over(w))
+    before = F.when(F.col("n") == 1, F.col("supersedes")).otherwise(F.lag("record_id").over(w))
+    return rows.select("memory_id", "record_id", "content", (F.coalesce("revision", F.lit(0)) + F.col("n")).alias("revision"), before.alias("supersedes"))
+
+
+def snapshots(rows: DataFrame, *columns: str) -> DataFrame:
+    """Content-addressed rows: the digest of the named columns is the id, and the same content is one row."""
+    return rows.select(record_digest(*columns).alias("snapshot_id"), *columns).dropDuplicates(["snapshot_id"])
+
+
+def visible_facts(facts: DataFrame, project: str) -> DataFrame:
+    """The last revision of each memory, of those that belong to the user or to this project."""
+    kept = facts.filter((F.col("kind") == "user") | (F.col("project") == project))
+    return kept.groupBy("memory_id").agg(F.max_by(F.struct("record_id", "kind"), "revision").alias("x")).select("memory_id", "x.record_id", "x.kind")
+
+
+def with_latest(proposals: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """Proposals with their last evaluation (proposal_id, at, decision), if they have one."""
+    last = evaluations.groupBy("proposal_id").agg(F.max_by("decision", "at").alias("decision"), F.max("at").alias("evaluated_at"))
+    return proposals.join(last, "proposal_id", "left")
+
+
+def search_results(rows: DataFrame, limit: int) -> DataFrame:
+    """Answers of a search service in one shape: path or file, title or the file's name, excerpt or snippet or content."""
+    path = F.coalesce("path", "file", F.lit(""))
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")
+    few = rows.orderBy("place").limit(limit)
+    return few.select("place", path.alias("path"), F.coalesce("title", name).alias("title"), T.excerpt(F.coalesce("excerpt", "snippet", "content", F.lit("")), 240).alias("excerpt"))
+
+
+def session_summary(rows: DataFrame, source: str, **sections: str) -> DataFrame:
+    """The text of a session's summary: its source and a list for each section (title with underscores = array column)."""
+    bullets = lambda c: F.when(F.size(c) > 0, F.concat_ws("\n", F.transform(c, lambda x: F.concat(F.lit("- "), x)))).otherwise(F.lit("- none"))
+    parts = [F.lit("# Session Summary\n\n## Source\n"), F.concat(F.lit("- "), source)]
+    for title, column in sections.items():
+        parts += [F.lit(f"\n## {title.replace('_', ' ')}\n"), bullets(column)]
+    return rows.withColumn("summary", F.concat(F.concat_ws("\n", *parts), F.lit("\n")))
+
+
+def obligations(proposals: DataFrame) -> DataFrame:
+    """Requirements of proposals that share a snapshot (snapshot, source, place, check): each source's once, whoever names it."""
+    return proposals.select("snapshot", record_digest("source", "place", "check").alias("requirement_id"), "source", "check").dropDuplicates(["snapshot", "requirement_id"])
+
+
+def review_counts(reviews: DataFrame, relations: DataFrame) -> DataFrame:
+    """Reviews by status, with the revocations that the applied ones committed (relation_id, op)."""
+    revoked = relations.filter("op = 'REVOKE'").select("relation_id").distinct().withColumn("revoked", F.lit(1))
+    rows = reviews.join(revoked, "relation_id", "left")
+    return rows.groupBy("status").agg(F.count("*").alias("reviews"), F.count(F.when(F.col("status") == "applied", F.col("revoked"))).alias("revocations"))

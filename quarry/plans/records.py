@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import events as E
+from quarry.operators import evidence as V
+from quarry.operators import latest as L
 from quarry.operators import records as S
+from quarry.operators import selection as C
 from quarry.plans.registry import ORACLES, query
 from quarry.plans.runs import EVENTS, HALVED, events
 from quarry.sources import adapters
@@ -343,3 +346,120 @@ def effect_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["effect_witnesses"] = """WITH x AS (SELECT c_custkey AS relation_id, count(o_orderkey) AS witnesses FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY 1)
 SELECT relation_id, witnesses, CASE WHEN witnesses <> 1 THEN 'contrast_evidence' END AS reason FROM x"""
+
+
+@query
+def appended_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = adapters.revisions(spark, sf_dir)
+    new = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 40).alias("memory_id"), (F.col("s_suppkey") + 10_000_000).alias("record_id"), F.col("s_name").alias("content"))
+    return S.appended(r, new)
+
+
+ORACLES["appended_facts"] = with_sql("revisions") + """,
+n AS (SELECT s_suppkey % 40 AS m, s_suppkey + 10000000 AS r, s_name AS content, row_number() OVER (PARTITION BY s_suppkey % 40 ORDER BY s_suppkey) AS k FROM supplier),
+l AS (SELECT memory_id, max(revision) AS v, arg_max(record_id, revision) AS last FROM revisions GROUP BY 1)
+SELECT m AS memory_id, r AS record_id, content, coalesce(v, 0) + k AS revision, CASE WHEN k = 1 THEN last ELSE lag(r) OVER (PARTITION BY m ORDER BY k) END AS supersedes FROM n LEFT JOIN l ON m = memory_id"""
+
+
+@query
+def snapshot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.snapshots(table(spark, sf_dir, "part").select("p_brand", "p_size"), "p_brand", "p_size")
+
+
+ORACLES["snapshot_ids"] = """SELECT DISTINCT sha256('{"p_brand":"' || p_brand || '","p_size":' || p_size || '}') AS snapshot_id, p_brand, p_size FROM part"""
+
+
+@query
+def visible_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.visible_facts(adapters.revisions(spark, sf_dir).withColumn("project", F.concat(F.lit("p"), F.col("record_id") % 4)), "p1")
+
+
+ORACLES["visible_facts"] = with_sql("revisions") + """
+SELECT memory_id, record_id, kind FROM revisions WHERE kind = 'user' OR record_id % 4 = 1 QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY revision DESC) = 1"""
+
+
+@query
+def evaluated_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("proposal_id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("proposal_id"), F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("decision"))
+    return S.with_latest(c, o)
+
+
+ORACLES["evaluated_proposals"] = "SELECT c_custkey AS proposal_id, arg_max(o_orderstatus, o_orderkey) AS decision, max(o_orderkey) AS evaluated_at FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"
+
+
+@query
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    i = F.col("page_id")
+    url = F.concat(F.col("url"), F.lit(".md"))
+    rows = p.select(i.alias("place"), F.when(i % 2 == 0, url).alias("path"), F.when(i % 3 == 0, url).alias("file"), F.when(i % 5 == 0, F.lit("Titled")).alias("title"), F.lit(None).cast("string").alias("excerpt"), F.when(i % 7 == 0, F.lit("  a \n b ")).alias("snippet"), F.col("url").alias("content"))
+    return S.search_results(rows, 50)
+
+
+ORACLES["search_results"] = """SELECT page_id AS place, p AS path, CASE WHEN page_id % 5 = 0 THEN 'Titled' ELSE regexp_replace(list_last(string_split(p, '/')), '\\.md$', '') END AS title,
+ CASE WHEN page_id % 7 = 0 THEN 'a b' ELSE url END AS excerpt FROM (SELECT *, CASE WHEN page_id % 2 = 0 OR page_id % 3 = 0 THEN url || '.md' ELSE '' END AS p FROM pages ORDER BY page_id LIMIT 50)"""
+
+
+@query
+def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))), lambda x: x["text"]).alias("asked"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "system", F.struct("turn", "text")))), lambda x: x["text"]).alias("told"),
+    )
+    return S.session_summary(c.withColumn("source", F.col("conv_id").cast("string")), "source", Decisions="told", Open_Questions="asked").select("conv_id", F.sha2("summary", 256).alias("digest"))
+
+
+ORACLES["session_summaries"] = """WITH c AS (SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY turn, text) FILTER (role = 'user') AS a, string_agg('- ' || text, chr(10) ORDER BY turn, text) FILTER (role = 'system') AS t FROM conversations GROUP BY 1)
+SELECT conv_id, sha256(concat_ws(chr(10), '# Session Summary', '', '## Source', '', '- ' || conv_id, '', '## Decisions', '', coalesce(t, '- none'), '', '## Open Questions', '', coalesce(a, '- none'), '')) AS digest FROM c"""
+
+
+@query
+def shared_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return S.obligations(li.select(F.col("l_suppkey").alias("snapshot"), F.col("l_partkey").alias("source"), F.col("l_linenumber").alias("place"), F.col("l_returnflag").alias("check"))).select("snapshot", "requirement_id")
+
+
+ORACLES["shared_obligations"] = """SELECT DISTINCT l_suppkey AS snapshot, sha256('{"check":"' || l_returnflag || '","place":' || l_linenumber || ',"source":' || l_partkey || '}') AS requirement_id FROM lineitem"""
+
+
+@query
+def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    reviews = o.select(F.col("o_orderkey").alias("relation_id"), F.when(F.col("o_orderkey") % 3 == 0, "applied").otherwise(F.col("o_orderstatus")).alias("status"))
+    return S.review_counts(reviews, o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("relation_id"), F.when(F.col("o_orderkey") % 4 == 0, "REVOKE").otherwise("ADD").alias("op")))
+
+
+ORACLES["review_counts"] = """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'applied' ELSE o_orderstatus END AS status, count(*) AS reviews, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 4 = 0) AS revocations FROM orders GROUP BY 1"""
+
+
+@query
+def standing_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    r = o.select(F.col("o_custkey").alias("relation"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("review_id"), F.when(F.col("o_orderkey") % 3 == 0, "REVOKE").otherwise("APPLY").alias("op"))
+    return L.active_relations(r).select("relation", "review_id")
+
+
+ORACLES["standing_relations"] = """SELECT relation, review_id FROM (SELECT o_custkey AS relation, o_orderkey AS review_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) WHERE review_id % 3 <> 0"""
+
+
+@query
+def visible_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    f = table(spark, sf_dir, "events").select(i.alias("check_id"), F.when(i % 3 == 0, "adaptation").when(i % 3 == 1, "final").alias("visibility"))
+    shown, gaps = V.visible(f)
+    return shown.select("check_id", F.lit("shown").alias("state")).union(gaps)
+
+
+ORACLES["visible_feedback"] = "SELECT event_id AS check_id, CASE WHEN event_id % 3 = 0 THEN 'shown' ELSE 'hidden_feedback' END AS state FROM events"
+
+
+@query
+def call_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"))
+    back = o.filter("request_id % 5 <> 0").union(o.filter("request_id % 7 = 0"))
+    return C.call_ledger(o, back)
+
+
+ORACLES["call_states"] = """SELECT i AS request_id, n AS returns, CASE n WHEN 0 THEN 'open' WHEN 1 THEN 'returned' ELSE 'conflict' END AS state
+FROM (SELECT o_orderkey AS i, CAST(o_orderkey % 5 <> 0 AS BIGINT) + CAST(o_orderkey % 7 = 0 AS BIGINT) AS n FROM orders)"""
