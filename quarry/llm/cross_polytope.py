@@ -12,7 +12,8 @@ with its queries sent to every part.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part; a shorter vector counts
 as filled up with zeros; a query's own row (by vec_id) is no candidate; ties go to the smaller vec_id; a query with
-fewer than k candidates found gets these; an empty table gives an empty table; other columns are not read.
+fewer than k candidates found gets these; repeated rows are candidates of their own; very long vectors are read whole; an
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quarry.llm.blocks import matrix, valid_vectors
 from quarry.llm.common import keyed_runs, materialize
@@ -113,6 +115,9 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, q: np.ndarray, k: int) -> tupl
 
 def search(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, probes: int = PROBES, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id ``every`` divides."""
+    # Components that come in single precision move in it, too; they are doubles again before they are multiplied.
+    kind = embeddings.schema["embedding"].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
     valid = valid_vectors(embeddings).filter(F.exists("vector", lambda x: x != 0))
     asks = F.col("vec_id") % every == 0
     # Equal vectors are one; the ids are thinned in two steps, so no task gets all rows of one vector.
@@ -138,7 +143,7 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = TA
             vids, asking = whole.column("vid").to_numpy(), whole.column("asks").to_numpy()
             stored = lifted(x, width, largest, False)
             queries = lifted(x[asking], width, largest, True)
-            vectors = whole.column("vector").combine_chunks()
+            vectors = whole.column("vector").combine_chunks().cast(pa.list_(pa.float32() if single else pa.float64()))
             where = np.flatnonzero(asking)
             for t in range(hashing.tables):
                 cell = hashing.placed(stored, t)
@@ -153,7 +158,7 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = TA
                             rows.append(row)
                     yield as_rows(t, np.array(groups), True, lists, vids[rows], vectors.take(pa.array(rows)))
 
-    placed = materialize(one.select("vid", "vector", "asks").mapInArrow(place, "t int, g int, q boolean, cells array<int>, vid long, vector array<double>"), "placed")
+    placed = materialize(one.select("vid", "vector", "asks").mapInArrow(place, "t int, g int, q boolean, cells array<int>, vid long, " + f"vector array<{'float' if single else 'double'}>"), "placed")
     parts = placed.filter("not q").groupBy("t", "g").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     dealt = placed.join(parts, ["t", "g"]).withColumn("part", F.explode(F.when(F.col("q"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")))))
     keys = ["t", "g", "part"]

@@ -107,3 +107,22 @@ def test_hadamard_keeps_lengths():
 def test_empty_tables(spark):
     none = vectors(spark, []).limit(0)
     assert exact_topk.search(none).count() == 0 and exact_topk.blocks_scored(none) == 0 and cross_polytope.search(none).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_approximate_search_of_ties_and_repeated_rows(spark, kind):
+    # Equal vectors, rows that repeat an id, and components that single precision cannot hold.
+    rows = [(i, [1.0 + (i % 3) * 1e-9, 0.1, -0.2, 0.3]) for i in range(60)] + [(20, [1.0, 0.1, -0.2, 0.3]), (61, [0.5] * 4)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = {}
+    for r in cross_polytope.search(df, k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    cast = np.float32 if kind == "float" else np.float64
+    x = [(i, np.array(list(map(cast, v)), float)) for i, v in rows]
+    for q in {i for i, _ in x if i % 20 == 0}:
+        asked = [v for i, v in x if i == q]  # each row of the id asks by itself
+        scores = {float(np.add.accumulate(v * w)[-1]) for v in asked for i, w in x if i != q}
+        assert len(got[q]) == 5 * len(asked) and all(i != q and s in scores for _, i, s in got[q])
+        if len(asked) == 1:
+            near = sorted((-float(np.add.accumulate(asked[0] * w)[-1]), i) for i, w in x if i != q)[:5]
+            assert [(-s, i) for _, i, s in sorted(got[q])] == near
