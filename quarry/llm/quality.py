@@ -155,7 +155,8 @@ def lasso(values: np.ndarray, y: np.ndarray, penalty: float, start: float) -> tu
     n, m = values.shape
     w, b = np.zeros(m), start
     v, c, t = w.copy(), b, 1.0
-    size = 0.25 * (np.linalg.norm(values, 2) ** 2 / n + 1)
+    # The largest eigenvalue of the small product, rather than singular values of a copy of all rows.
+    size = 0.25 * (float(np.linalg.eigvalsh(values.T @ values)[-1]) / n + 1)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-(values @ v + c)))
         d = (p - y) / n
@@ -192,7 +193,9 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> RuleEnsemble:
     names = list(rules)
     if not names:
         return RuleEnsemble(base, [])
-    values = np.stack([rule_values(r, x) for r in names], axis=1).astype(np.float64)
+    values = np.empty((len(x), len(names)))
+    for i, rule in enumerate(names):
+        values[:, i] = rule_values(rule, x)
     b, w = lasso(values, y, penalty, base)
     return RuleEnsemble(float(b), [(r, float(c)) for r, c in zip(names, w, strict=True) if abs(c) > 1e-6])
 
