@@ -127,3 +127,9 @@ def co_use(consumed: DataFrame, key: str, item: str) -> DataFrame:
     items = consumed.select(key, item).distinct()
     a, b = items.select(key, F.col(item).alias("first")), items.select(key, F.col(item).alias("second"))
     return a.join(b, key).filter("first < second").groupBy("first", "second").agg(F.count("*").alias("uses"))
+
+
+def trace_rows(events: DataFrame, where: str, limit: int | None = None) -> DataFrame:
+    """Metadata of the events that meet a condition, in order of position; the first ``limit`` of them, if one is given."""
+    rows = events.filter(where).orderBy("position", "event_id")
+    return rows if limit is None else rows.limit(limit)

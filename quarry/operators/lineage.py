@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names, or in one of our own in local mode."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names, or one of our own in local mode."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         root = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,4 +18,15 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="quarry-checkpoint-")
         context.setCheckpointDir(root)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that does not exist yet, below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

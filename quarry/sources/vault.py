@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from functools import reduce
+from pathlib import Path
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,9 +19,9 @@ FRONT = r"(?s)\A---\s*\n(.*?)\n---"
 CLAIM = r"(?s)(?:^|\n)## Claim[ \t]*\n+(.*?)(?=\n## |\z)"
 
 
-def markdown_files(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+def markdown_files(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIPPED, glob: str = "*.md") -> DataFrame:
     """path (below the root), content and length of every Markdown file, without those of skipped folders."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z]+:/*", "/")
     inner = F.substring_index(path, "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     rows = files.select(inner.alias("path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("bytes"))
@@ -65,6 +70,124 @@ def collection(spark: SparkSession, root: str, name: str, project_id: str | None
     return rows if project_id is None else rows.filter(F.col("project_id") == project_id)
 
 
+def listed(rows: DataFrame, by: str, key: str) -> DataFrame:
+    """Records with their place in the listing of their project: by the digest of the id, as files are named by it."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.sha2(F.col(key).cast("string"), 256))))
+
+
+def selected(rows: DataFrame, **conditions: object) -> DataFrame:
+    """Rows that equal all given conditions; one that is None does not count."""
+    for name, value in conditions.items():
+        rows = rows if value is None else rows.filter(F.col(name) == value)
+    return rows
+
+
+def mixed_registry(**parts: DataFrame) -> DataFrame:
+    """One view of several tables, by column names, with where each row comes from; columns that a table lacks are null."""
+    named = [df.withColumn("origin", F.lit(name)) for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def legacy_facts(files: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """Facts of the verified personal items, and of project items of exactly this scope; and files that cannot be read.
+
+    A file needs JSON front matter, an empty line and a body; its claim wins over the content, and may not be empty.
+    """
+    layout = r"(?s)\A---\n(.*?)\n---\n\n(.*)\z"
+    body = F.regexp_extract("content", layout, 2)
+    item = F.from_json(F.when(F.col("content").rlike(layout), F.regexp_extract("content", layout, 1)), MEMORY_ITEM)
+    claim = F.when(F.contains(body, F.lit("## Claim\n\n")), F.regexp_extract(body, r"(?s)## Claim\n\n(.*?)(?=\n## Metadata\n|\s*\z)", 1))
+    rows = files.select("path", item.alias("i"), claim.alias("claim"))
+    wanted = (F.col("i.status") == "verified") & ((F.col("i.kind") == "personal") | ((F.col("i.kind") == "project") & (F.col("i.scope") == project)))
+    text = F.coalesce(F.regexp_replace("claim", r"\A\s+|\s+\z", ""), F.col("i.content"))
+    parsed = F.col("i").isNotNull() & F.coalesce("i.id", "i.status", "i.kind", "i.content").isNotNull()
+    good = wanted & (F.coalesce(text, F.lit("")) != "")
+    facts = rows.filter(parsed & good).select(
+        F.coalesce("i.id", "path").alias("memory_id"), F.when(F.col("i.kind") == "personal", "user").otherwise("project").alias("kind"),
+        F.when(F.col("i.kind") == "project", F.lit(project)).alias("project_id"), text.alias("content"), F.col("path").alias("legacy_path"))
+    failed = rows.filter(~parsed | F.coalesce(wanted & ~good, F.lit(False))).select("path", F.lit("LEGACY_PARSE_ERROR").alias("code"))
+    return facts, failed
+
+
+def chunked(rows: DataFrame, key: str, text: str, size: int = 1024) -> DataFrame:
+    """The bytes of each text in chunks of fixed size, each with its digest."""
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(text) / size).cast("int") - 1, F.lit(0)))
+    cut = lambda raw: F.transform(numbers, lambda i: F.struct(i.alias("chunk_no"), F.substring(raw, i * size + 1, F.lit(size)).alias("body")))
+    parts = F.transform(F.array(F.encode(text, "UTF-8")), cut)  # a text is encoded once, not for each of its chunks
+    return rows.select(key, F.inline(parts[0])).withColumn("digest", F.sha2("body", 256))
+
+
+def read_ranges(chunks: DataFrame, reads: DataFrame, key: str, size: int = 1024) -> DataFrame:
+    """Bytes [start, stop) of each read (read_id, key, start, stop), put together from the chunks that it touches, and no others.
+
+    ``intact`` tells whether all of these are there and still have their digests.
+    """
+    need = reads.filter("stop > start").select("read_id", key, "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / size).cast("int"), F.floor((F.col("stop") - 1) / size).cast("int"))).alias("chunk_no"))
+    j = need.join(chunks, [key, "chunk_no"], "left")
+    base = F.col("chunk_no") * size
+    first = F.greatest(F.col("start") - base, F.lit(0)).cast("int")
+    part = F.substring(F.col("body"), first + 1, F.least(F.col("stop") - base, F.lit(size)).cast("int") - first)
+    good = F.coalesce(F.sha2("body", 256) == F.col("digest"), F.lit(False))
+    got = j.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", part.alias("part")))).alias("parts"), F.bool_and(good).alias("intact"))
+    empty = F.lit("").cast("binary")
+    return got.select("read_id", F.aggregate("parts", empty, lambda a, p: F.concat(a, F.coalesce(p["part"], empty))).alias("body"), "intact")
+
+
+def imported_traces(spark: SparkSession, source: str) -> DataFrame:
+    """Trace files with their content and its digest, which is their id; files of the same content are one trace."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+    rows = files.select(F.sha2("content", 256).alias("trace_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "content")
+    return rows.groupBy("trace_id").agg(F.min("file").alias("file"), F.count("*").alias("copies"), F.first("length").alias("bytes"), F.first("content").alias("content"))
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a text in the place of a file in one step: written beside it, closed, then renamed over it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid4().hex}.tmp")
+    out = target.getFileSystem(conf).create(beside, False)
+    try:
+        out.write(bytearray(text.encode()))
+        out.hsync()
+    finally:
+        out.close()
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(beside, target, options)
+
+
+def read_page(spark: SparkSession, root: str, page: str) -> DataFrame:
+    """path and content of one page of a knowledge base; a path that leads out of its root is an error."""
+    parts: list[str] = []
+    for p in page.split("/"):
+        if p == ".." and not parts:
+            raise ValueError("a page must lie below the root of its knowledge base")
+        parts = parts[:-1] if p == ".." else parts + [p] if p not in ("", ".") else parts
+    if page.startswith("/") or not parts:
+        raise ValueError("a page must lie below the root of its knowledge base")
+    inner = "/".join(parts)
+    return spark.read.text(f"{root.rstrip('/')}/{inner}", wholetext=True).select(F.lit(inner).alias("path"), F.col("value").alias("content"))
+
+
+def resolved_config(general: dict, nearest: dict) -> dict:
+    """A project's settings over the general ones; the knowledge bases of both, the general ones first."""
+    bases = [*general.get("knowledgeBases", ()), *nearest.get("knowledgeBases", ())]
+    return {**general, **nearest, "knowledgeBases": bases}
+
+
+def nearest_config(start: str, name: str) -> dict:
+    """The settings in the first file of this name in a folder or those above it, with its path; without one, none."""
+    folder = Path(start).resolve()
+    for at in (folder, *folder.parents):
+        if (at / name).is_file():
+            try:
+                return {**json.loads((at / name).read_text("utf-8")), "projectConfigPath": str(at / name)}
+            except ValueError:
+                return {"projectConfigPath": str(at / name)}
+    return {}
+
+
 def verified_records(rows: DataFrame, payload: str = "payload", digest: str = "digest") -> DataFrame:
     """Records with whether their digest still is that of their payload."""
     return rows.withColumn("intact", F.sha2(payload, 256) == F.col(digest))
@@ -72,7 +195,7 @@ def verified_records(rows: DataFrame, payload: str = "payload", digest: str = "d
 
 def typed_csv(spark: SparkSession, path: str, types: dict[str, str], empty_is_null: bool = True) -> DataFrame:
     """A CSV file by declared types; strings stay as they are, and an empty number is null (or an error)."""
-    raw = spark.read.option("header", True).option("nullValue", "\0").option("emptyValue", "").csv(path, schema=", ".join(f"`{c}` string" for c in types))
+    raw = spark.read.option("header", True).option("nullValue", "\0").option("emptyValue", "").option("escape", '"').csv(path, schema=", ".join(f"`{c}` string" for c in types))
 
     def typed(name: str, kind: str) -> Column:
         if kind == "string":
