@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, cross_polytope, exact_topk, html_text, mixing, ngram_join, quality, suffix_dedup, unigram, warc
+from quarry.llm import bpe, byte_bpe, cross_polytope, exact_topk, filter_audit, html_text, mixing, ngram_join, quality, suffix_dedup, unigram, vector_codes, warc
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,73 @@ def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = {"good": 0.85, "good_toxic": 0.05, "low": 0.08, "low_toxic": 0.02}
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), weights)
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def codebook_round(i: int) -> str:
+    """One round of assigning parts to codebook c{i} and averaging them to c{i + 1}."""
+    return f"""
+a{i} AS MATERIALIZED ({assigned(i)}),
+m{i} AS (SELECT a.part, a.entry, k, CAST(sum(p.x[k]) AS BIGINT) AS s, count(*) AS n FROM a{i} a JOIN p USING (vec_id, part), range(1, 5) r(k) GROUP BY a.part, a.entry, k),
+n{i} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY k) AS x FROM m{i} GROUP BY part, entry),
+c{i + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN n{i} n USING (part, entry)),
+"""
+
+
+def assigned(i: int) -> str:
+    d = " + ".join(f"(p.x[{k}] - c.x[{k}]) * (p.x[{k}] - c.x[{k}])" for k in range(1, 5))
+    return f"SELECT vec_id, p.part, arg_min(entry, ({d}) * 64 + entry) AS entry, min({d}) AS d FROM p JOIN c{i} c ON p.part = c.part GROUP BY vec_id, p.part"
+
+
+#: For vectors of 64 components with distinct ids.
+ORACLES["op12_vector_codes"] = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, e[4 * part + 1 : 4 * part + 4] AS x FROM v, range(16) r(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < 64),
+{codebook_round(0)}{codebook_round(1)}
+z AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM ({assigned(2)}) GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256
+FROM z JOIN v USING (vec_id)
+"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps FROM d),
+f AS (SELECT doc_id, part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b, 100 * caps > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS e,
+ coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS g FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN e THEN 'D' ELSE '' END) || (CASE WHEN g THEN 'E' ELSE '' END) AS fails,
+ count(*) AS n, count_if(coalesce(good, false)) AS good, count_if(coalesce(toxic, false)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM s a, s b, s c, s d, s e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+k AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, left(filter_order, step - 1) AS before FROM o, range(1, 6) r(step)),
+-- A mask with none of the letters of a string stays as it is without them.
+r AS (SELECT part, filter_order, step, own,
+ CAST(coalesce(sum(n) FILTER (WHERE translate(fails, before || own, '') = fails), 0) AS BIGINT) AS kept,
+ CAST(coalesce(sum(n) FILTER (WHERE translate(fails, before, '') = fails AND contains(fails, own)), 0) AS BIGINT) AS removed,
+ CAST(coalesce(sum(n) FILTER (WHERE translate(fails, before, '') <> fails AND contains(fails, own)), 0) AS BIGINT) AS redundant,
+ CAST(coalesce(sum(n) FILTER (WHERE fails = own), 0) AS BIGINT) AS unique_fails,
+ CAST(coalesce(sum(good) FILTER (WHERE translate(fails, before, '') = fails AND contains(fails, own)), 0) AS BIGINT) AS good_lost,
+ CAST(coalesce(sum(toxic) FILTER (WHERE translate(fails, before, '') = fails AND contains(fails, own)), 0) AS BIGINT) AS toxic_lost
+ FROM m, k GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
