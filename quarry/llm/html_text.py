@@ -6,11 +6,12 @@ sidebars or comments. A class or id marks an element only if all words of one of
 if it holds an article or main element, or most of the points of a page without one elsewhere, and if hardly any text
 is left without the marked elements, they all stay. Each paragraph then passes points for its length and its commas to its ancestors, less with each
 level; a container's points are discounted by its share of linked text. The best container, or the article or main
-element that holds it, is the main text; unless that lies right under the body, its sibling containers that score nearly
-as well and all its other siblings that are not mostly links belong to it. Blocks are joined in page order.
+element that holds it, is the main text; unless that lies right under the body, all its siblings that are not mostly links
+belong to it. Blocks are joined in page order.
 
 Defined results: a null or empty page, or one without text outside dropped parts, has the empty string and 0 code
-points; malformed markup is read as far as it goes; ties go to the container that starts first; repeated rows are
+points; malformed markup is read as far as it goes; very long pages are read whole, in time that grows with their length,
+whatever they hold; ties go to the container that starts first; repeated rows are
 handled by themselves; an empty table gives an empty table; other columns are not read.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,12 +52,74 @@ UNLIKELY = frozenset("ad ads advert adverts advertisement advertising adsense sp
 HEADERS = frozenset("header site-header page-header".split())
 LIKELY = frozenset("article body content entry main post story text".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+NAME_END, MARK, OPEN_END = re.compile(r"[\s/>]"), re.compile(r"[>\"']"), re.compile(r"<[/a-zA-Z!?]")
+#: A part beside the best container goes if as much of its text is linked.
+LINKED = 0.25
+#: Containers above a paragraph that get points from it.
+POINT_LEVELS = 64
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+class Tags:
+    """The tags, comments and declarations of a page, in one pass: what was looked for in vain is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[object, tuple[int, int]] = {}
+        self.unclosed: set[int] = set()  # quotes that no tag's end follows
+
+    def ahead(self, what: object, at: int) -> int:
+        """The next place of a string or pattern from ``at`` on, -1 for none."""
+        since, found = self.known.get(what, (1, 0))
+        if since <= at and (found < 0 or at <= found):
+            return found
+        if isinstance(what, str):
+            found = self.page.find(what, at)
+        else:
+            m = what.search(self.page, at)
+            found = m.start() if m else -1
+        self.known[what] = at, found
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag, outside of quotes; -1 for none. ``at`` follows the name."""
+        passed = []
+        at = self.ahead(MARK, at)
+        while at >= 0 and self.page[at] != ">":
+            stop = -1 if at in self.unclosed else self.page.find(self.page[at], at + 1)
+            passed.append(at)
+            m = MARK.search(self.page, stop + 1) if stop >= 0 else None
+            at = m.start() if m else -1
+        if at < 0:
+            self.unclosed.update(passed)
+        return at
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        """Start, end, name (none for comments and the like) and attributes of what comes next."""
+        page = self.page
+        while (start := self.ahead(OPENING, at)) >= 0:
+            if page[start + 1] in "!?":
+                if page.startswith("<!--", start):
+                    stop = page.find("-->", start + 4)
+                    return start, stop + 3 if stop >= 0 else len(page), "", ""
+                if page.startswith("<![CDATA[", start) and (stop := self.ahead("]]>", start)) >= 0:
+                    return start, stop + 3, "", ""
+                stop = self.ahead(">", start)
+                return start, stop + 1 if stop >= 0 else len(page), "", ""
+            if self.ahead(">", start) < 0:
+                return None
+            name = start + 2 if page[start + 1] == "/" else start + 1
+            follows = self.ahead(NAME_END, name)
+            stop = self.tag_end(follows)
+            if stop >= 0:
+                return start, stop + 1, page[name:follows].lower(), page[follows:stop]
+            at = start + 1
+        return None
+
+
 class Node:
-    __slots__ = ("tag", "words", "parent", "items", "dropped", "marked", "links", "length", "score", "order")
+    __slots__ = ("tag", "words", "parent", "items", "dropped", "marked", "links", "length", "score", "order", "within")
 
     def __init__(self, tag: str, parent: Node | None, order: int):
         self.tag, self.parent, self.order = tag, parent, order
@@ -63,14 +127,8 @@ class Node:
         self.items: list = []
         self.dropped, self.marked, self.score = False, False, 0.0
         self.links = self.length = 0
-
-
-def inside(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+        #: Whether an article or main element holds it.
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
 
 
 def unwanted(node: Node, attrs: dict[str, str]) -> bool:
@@ -82,7 +140,7 @@ def unwanted(node: Node, attrs: dict[str, str]) -> bool:
         return True
     if attrs.get("role", "").lower() in ROLES:
         return True
-    return node.tag == "header" and not inside(node.parent, ("article", "main"))
+    return node.tag == "header" and not node.within
 
 
 def marked(node: Node, tokens: list[str]) -> bool:
@@ -93,7 +151,7 @@ def marked(node: Node, tokens: list[str]) -> bool:
         return not {"comment", "comments", "reply", "related"}.isdisjoint(tokens)
     if any(all(w in UNLIKELY for w in re.findall("[a-z]+", t)) for t in tokens if re.search("[a-z]", t)):
         return True
-    return not HEADERS.isdisjoint(tokens) and not inside(node.parent, ("article", "main"))
+    return not HEADERS.isdisjoint(tokens) and not node.within
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -102,47 +160,56 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     nodes = [root]
     here = root
     at = 0
+    opened = Counter({"html": 1})  # elements from the root to here, so that no search goes up in vain
+    tags = Tags(page)
 
     def add_text(start: int, stop: int) -> None:
         if stop > start and not here.dropped:
             here.items.append(entities.unescape(page[start:stop]))
 
+    def go_up(to: Node) -> Node:
+        x = here
+        while x is not to:
+            opened[x.tag] -= 1
+            x = x.parent
+        return to
+
     while True:
-        m = TOKEN.search(page, at)
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             stop = len(page)
-            cut = re.search(r"<[/a-zA-Z!?][^>]*\Z", page[at:])  # a tag that the page's end cuts off
-            add_text(at, at + cut.start() if cut else stop)
+            cut = OPEN_END.search(page, max(at, page.rfind(">") + 1))  # a tag that the page's end cuts off
+            add_text(at, cut.start() if cut else stop)
             break
-        add_text(at, m.start())
-        at = m.end()
-        if m[1] is None:
+        start, stop, tag, rest = found
+        add_text(at, start)
+        at = stop
+        if not tag:
             continue
-        tag = m[1].lower()
-        if m[0][1] == "/":
-            x = here
+        if page[start + 1] == "/":
+            x = here if opened[tag] else None
             while x is not None and x.tag != tag:
                 # A stray end tag reaches no further than the block it is in, unless it ends a block itself.
                 x = None if x.tag in BLOCKS and tag not in BLOCKS else x.parent
             if x is not None and x.parent is not None:
-                here = x.parent
+                here = go_up(x.parent)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             x = here
             while x is not None and x.tag != "p":
                 x = None if x.tag in BLOCKS else x.parent
             if x is not None:
-                here = x.parent
-        if tag in IMPLIED:
+                here = go_up(x.parent)
+        if tag in IMPLIED and any(opened[t] for t in IMPLIED[tag][0]):
             ended, holders = IMPLIED[tag]
             x = here
             while x is not None and x.tag not in holders:
                 if x.tag in ended:
-                    here = x.parent or here
+                    here = go_up(x.parent or here)
                     if tag not in ("tr",):
                         break
                 x = x.parent
-        attrs = {a[1].lower(): entities.unescape(next((v for v in a.groups()[1:] if v is not None), "")) for a in ATTRIBUTE.finditer(m[2])} if m[2] else {}
+        attrs = {a[1].lower(): entities.unescape(next((v for v in a.groups()[1:] if v is not None), "")) for a in ATTRIBUTE.finditer(rest)} if rest else {}
         if tag == "html":
             continue
         node = Node(tag, here, len(nodes))
@@ -156,11 +223,13 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if tag in VOID:
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            at = page.find(">", stop.end()) + 1 if stop else 0
+            at = at or len(page)
             continue
-        if not m[2].endswith("/") or tag in BLOCKS:
+        if not rest.endswith("/") or tag in BLOCKS:
             here = node
+            opened[tag] += 1
     return root, nodes
 
 
@@ -264,7 +333,7 @@ def chosen_text(nodes: list[Node]) -> tuple[str, bool]:
             continue
         # A block with text of its own outside paragraphs is a paragraph in its own right.
         above, level = node.parent if node.tag not in ("div", "article", "section", "main", "td", "body", "html") else node, 0
-        while above is not None:
+        while above is not None and level < POINT_LEVELS:
             if above.tag in CONTAINERS:
                 above.score += own / (1 if level == 0 else 2 if level == 1 else level * 3)
                 level += 1
@@ -285,12 +354,11 @@ def chosen_text(nodes: list[Node]) -> tuple[str, bool]:
     best = holder or best
     if best.parent is None or (best.tag in ("article", "main") and best.parent.tag in ("body", "html")):
         return flat(best, True), holder is not None
-    least = max(10.0, best.score * 0.2)
     keep = Node(best.parent.tag, None, 0)
     for x in best.parent.items:
         if isinstance(x, str):
             keep.items.append(x)
-        elif x is best or (x.score >= least if x.tag in CONTAINERS else x.tag != "a" and density(x) < 0.25):
+        elif x is best or (x.tag != "a" and density(x) < LINKED):
             keep.items.append(x)
     return flat(keep, True), holder is not None
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import time
 
 import pytest
 
@@ -53,6 +54,30 @@ def test_deep_and_long_pages():
     assert len(html_text.main_text("<article>" + "<p>word, word</p>" * 20000)) == 20000 * 11 - 1
 
 
+@pytest.mark.parametrize("part", ["<section>{}</section>", "<div class=sec>{}</div>", "<td>{}</td>"])
+def test_short_sections_stay(part):
+    page = "<body>" + part.format("<h2>A</h2>" + PARAGRAPH * 5) + part.format("<p>B, in a few words.</p>") + part.format("<h2>C</h2><p>Short.</p>") + part.format("<a href=x>Link one</a> <a href=y>Link two</a>") + "</body>"
+    assert html_text.main_text(page).endswith("again. B, in a few words. C Short.")
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 330_000, '<a "x' * 200_001 + ">", "<a '\"x" * 100_001 + ">", "<![CDATA[>" * 100_000, "<script>" + "</script " * 100_000, "<!" * 300_000, "<a<a" * 200_000 + ">", "<" * 1_000_000,
+    "<div><p>a, b</p>" * 20_000, "<div>" * 20_000 + "</section>" * 20_000, "<header>" * 40_000, "<b>" * 20_000 + "<div></div>" * 20_000, "<ul>" + "<b>" * 20_000 + "<li></li>" * 20_000,
+])
+def test_time_grows_with_the_length(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 5
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p title='a > b' class=\"x\">One, two</p><p data-x='>'>three", "One, two three"), ("<p>a < b, c > d</p>", "a < b, c > d"), ("<p>One, <a 'x>two</p>", "One, <a 'x>two"),
+    ("<p>One,<!-- <p>no --> two<![CDATA[ <p>no ]]></p><!bogus>three", "One, two three"), ("<p>One, two</P ><p/>three</p>", "One, two three"), ("<p>One, <b>two</i></b> three</p></ul>four", "One, two three four"),
+])
+def test_tags_and_quotes(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_extraction_keeps_every_row(spark):
     rows = [(1, "u", "<p>a, b</p>", "x", 5), (1, "u", "<p>a, b</p>", "x", 5), (2, None, None, "x", 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
