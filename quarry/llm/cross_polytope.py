@@ -12,8 +12,9 @@ with its queries sent to every part.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part; a shorter vector counts
 as filled up with zeros; a query's own row (by vec_id) is no candidate; ties go to the smaller vec_id; a query with
-fewer than k candidates found gets these; repeated rows are candidates of their own; very long vectors are read whole; an
-empty table gives an empty table; other columns are not read.
+fewer than k candidates found gets these; repeated rows are candidates of their own; very long vectors are read whole; a
+product beyond double precision is infinite, and one without a value (infinities of both signs) ranks last; an empty
+table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -86,9 +87,11 @@ class Hashing:
         return np.take_along_axis(near, np.argsort(np.take_along_axis(cost, near, 1), axis=1), 1)
 
 
-def lifted(x: np.ndarray, width: int, largest: float, asks: bool) -> np.ndarray:
-    """Unit vectors whose angles order the inner products of the originals."""
+def lifted(x: np.ndarray, width: int, top: float, largest: float, asks: bool) -> np.ndarray:
+    """Unit vectors whose angles order the inner products of the originals. ``top`` is the largest component of all vectors,
+    ``largest`` the norm of the longest one divided by it: what is squared is at most one."""
     out = np.zeros((len(x), width))
+    x = x / (np.abs(x).max(axis=1, keepdims=True, initial=0) if asks else top)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     out[:, : x.shape[1]] = x / (norm if asks else largest)
     if not asks:
@@ -98,13 +101,15 @@ def lifted(x: np.ndarray, width: int, largest: float, asks: bool) -> np.ndarray:
 
 def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows with a vector, summed from the first component to the last."""
-    return np.add.accumulate(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.add.accumulate(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
 
 
 def nearest(ids: np.ndarray, vectors: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best rows by exact inner product, ties to the smaller id."""
-    rough = vectors @ q
-    if len(ids) > k:
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = vectors @ q
+    if len(ids) > k and np.isfinite(rough).all():  # infinite ones are equal, so their ids decide
         least = np.partition(rough, len(rough) - k)[len(rough) - k]
         keep = rough >= least - 1e-9 * (abs(least) + 1)
         ids, vectors = ids[keep], vectors[keep]
@@ -128,8 +133,10 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = TA
     asked = valid.filter(asks).select("vector").distinct().select(F.col("vector").alias("v"), F.lit(True).alias("asks"))
     one = ids.join(asked, F.col("vector") == F.col("v"), "left").select(F.col("ids")[0].alias("vid"), "ids", "vector", F.coalesce("asks", F.lit(False)).alias("asks"))
     one = materialize(one, "vectors")
-    n, dims, square = one.agg(F.count("*"), F.max(F.size("vector")), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()
-    n, dims, largest = n or 0, dims or 1, math.sqrt(square or 1.0) * (1 + 1e-12)
+    n, dims, top = one.agg(F.count("*"), F.max(F.size("vector")), F.max(F.array_max(F.transform("vector", F.abs)))).first()
+    n, dims, top = n or 0, dims or 1, top or 1.0
+    square = one.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))).first()[0]
+    largest = math.sqrt(square or 1.0) * (1 + 1e-12)
     width = 1 << max(1, math.ceil(math.log2(dims + 1)))
     extra = max(0, math.ceil(math.log2(max(n, 1) / (rows_per_cell * 2 * width))))
     extra = extra + 1 if extra == 1 else extra  # one axis gives two cells, two give four
@@ -141,8 +148,8 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = TA
             whole = pa.Table.from_batches([batch])
             x = matrix(whole.column("vector"), dims)
             vids, asking = whole.column("vid").to_numpy(), whole.column("asks").to_numpy()
-            stored = lifted(x, width, largest, False)
-            queries = lifted(x[asking], width, largest, True)
+            stored = lifted(x, width, top, largest, False)
+            queries = lifted(x[asking], width, top, largest, True)
             vectors = whole.column("vector").combine_chunks().cast(pa.list_(pa.float32() if single else pa.float64()))
             where = np.flatnonzero(asking)
             for t in range(hashing.tables):
@@ -198,10 +205,10 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = TA
             yield as_found(best)
 
     found = dealt.mapInArrow(rerank, "query long, vid long, score double").dropDuplicates(["query", "vid"])
-    ranked = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vid"))
+    ranked = Window.partitionBy("query").orderBy(F.isnan("score"), F.col("score").desc(), F.col("vid"))
     top = found.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= k + 1).join(one.select("vid", "ids"), "vid")
     listed = top.select("query", F.explode("ids").alias("vec_id"), "score")
-    ranked = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id"))
+    ranked = Window.partitionBy("query").orderBy(F.isnan("score"), F.col("score").desc(), F.col("vec_id"))
     listed = listed.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= k + 1)
     lists = listed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
     askers = valid.filter(asks).select(F.col("vec_id").alias("query_id"), "vector").join(one.filter("asks").select(F.col("vector").alias("v"), F.col("vid").alias("query")), F.col("vector") == F.col("v")).select("query_id", "query")
