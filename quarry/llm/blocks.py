@@ -33,6 +33,16 @@ def matrix(column: pa.ChunkedArray, width: int = 0) -> np.ndarray:
     return out
 
 
+def integers(x: np.ndarray, scale: int, exact: int) -> np.ndarray:
+    """floor(scale * x), ``scale`` a power of two; as Python integers if any is as large as ``exact``."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(x * scale)  # exact unless infinite, as such a product only moves the exponent
+    if np.abs(whole).max(initial=0) < exact:
+        return whole.astype(np.int64)
+    out = [int(w) if np.isfinite(w) else int(v) * scale for v, w in zip(x.ravel().tolist(), whole.ravel().tolist(), strict=True)]
+    return np.array(out, dtype=object).reshape(x.shape)
+
+
 def best_rows(found: DataFrame, k: int, salt: str, *more: str) -> DataFrame:
     """The k best rows (query_id, vec_id, score) of each query, in two steps so that no task gets all of a query's.
 

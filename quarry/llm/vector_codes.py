@@ -18,14 +18,13 @@ empty table gives an empty table; of other columns only label is read.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.blocks import matrix
+from quarry.llm.blocks import integers, matrix
 from quarry.llm.common import BROADCAST_IDS, materialize, small_batches
 
 #: Sums of squares of differences stay below 2^62 for integers up to this, over parts of up to 256 components.
@@ -39,15 +38,6 @@ BATCH_ROWS = 1024
 LIMB = 32
 
 
-def integers(x: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x), as Python integers where 64 bits may not be enough for what follows."""
-    if np.abs(x).max(initial=0) < EXACT / scale:
-        return np.floor(x * scale).astype(np.int64)
-    # From 2^53 on a double is whole, and its product with the scale is taken among integers.
-    whole = [int(v) * scale if abs(v) >= 2.0**53 else math.floor(v) * scale + math.floor((v - math.floor(v)) * scale) for v in x.ravel().tolist()]
-    return np.array(whole, dtype=object).reshape(x.shape)
-
-
 def block_means(m: np.ndarray, block: int) -> np.ndarray:
     """By column: means of blocks of ``block`` components (the last may be shorter), each times the root of its length, and the norm of the rest.
 
@@ -114,7 +104,7 @@ def nearest(part: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def encode(vectors: np.ndarray, codebooks: list[np.ndarray], scale: int):
     """Per part: the integer components, the chosen entries and the squared distances."""
     width = codebooks[0].shape[1]
-    whole = integers(vectors, scale)
+    whole = integers(vectors, scale, EXACT)
     for i, entries in enumerate(codebooks):
         part = whole[:, i * width : (i + 1) * width]
         yield (part, *nearest(part, entries))
@@ -168,7 +158,7 @@ def fit(vectors: DataFrame, parts: int, entries: int, rounds: int, scale: int) -
     longest = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
     width = -(-longest // parts)
     first = vectors.orderBy("vec_id", "vector").limit(entries).collect()
-    start = integers(np.array([[*r.vector, *[0.0] * (width * parts - len(r.vector))] for r in first], float).reshape(len(first), width * parts), scale)
+    start = integers(np.array([[*r.vector, *[0.0] * (width * parts - len(r.vector))] for r in first], float).reshape(len(first), width * parts), scale, EXACT)
     codebooks = [compact(start[:, i * width : (i + 1) * width].tolist(), width) for i in range(parts)]
     for _ in range(rounds if width else 0):
         sums = entry_sums(vectors, codebooks, scale)

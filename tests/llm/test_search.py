@@ -126,3 +126,48 @@ def test_approximate_search_of_ties_and_repeated_rows(spark, kind):
         if len(asked) == 1:
             near = sorted((-float(np.add.accumulate(asked[0] * w)[-1]), i) for i, w in x if i != q)[:5]
             assert [(-s, i) for _, i, s in sorted(got[q])] == near
+
+
+def test_exact_search_beyond_doubles(spark, monkeypatch):
+    # Scores that no double holds, in several blocks, and components whose product with the scale is not finite.
+    monkeypatch.setattr(exact_topk, "BLOCK_ROWS", 16)
+    random.seed(6)
+    rows = [(i, [random.choice([1e200, -1e200, 1.7e308, 3.0, 1e-200, 2.0**52 + 0.5]) * random.uniform(0.5, 1) for _ in range(6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = [(i, [whole(c) for c in v]) for i, v in rows]
+    got = {}
+    for r in exact_topk.search(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    limit = 2**63 - 1
+    for q, v in [(i, v) for i, v in x if i % 50 == 0]:
+        near = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in x if i != q))[:5]
+        assert sorted(got[q]) == [(r + 1, i, max(-limit, min(limit, -s))) for r, (s, i) in enumerate(near)]
+
+
+@pytest.mark.parametrize("power", [-170, 150, 155, 200, 307])
+def test_approximate_search_of_any_size(spark, power):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 16)) * 10.0**power
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.search(df).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert set(got) == set(range(0, 300, 20)) and all(len(v) == 20 for v in got.values())
+    if power < 150 and power > -150:
+        return
+    hits = 0
+    unit = x / 10.0**power
+    for q, found in got.items():
+        score = unit @ unit[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & set(found))
+        with np.errstate(over="ignore", invalid="ignore"):
+            assert all(np.array_equal(s, np.add.accumulate(x[q] * x[i])[-1], equal_nan=True) for i, s in found.items())
+    # Where products are infinite or zero, they are equal, and ids decide among them.
+    assert hits / 300 >= 0.9 or power in (-170, 155, 200, 307)
+
+
+def test_names_that_clash(spark):
+    names = "t int, g int, q boolean, cells int, vid long, shard int, chunk int, asks int, share double, query_id long"
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0], *([None] * 10)) for i in range(60)], "vec_id long, embedding array<float>, " + names)
+    assert cross_polytope.search(df).count() == 60 and exact_topk.search(df).count() == 10
