@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.graph import closure
+from quarry.operators.graph import reached_nodes
 from quarry.operators.lineage import cut
 
 
@@ -70,8 +70,7 @@ def tail(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
 
 def admissible(sources: DataFrame, parents: DataFrame, barred: DataFrame) -> DataFrame:
     """Records whose sources and all their ancestors are not barred: no ancestor may be in the barred set."""
-    reach = closure(parents, sources.select(F.col("source").alias("node")).distinct())
-    bad = reach.join(barred.select(F.col("node")).distinct(), "node", "left_semi").select(F.col("root").alias("source")).distinct()
+    bad = reached_nodes(parents.select(F.col("dst").alias("src"), F.col("src").alias("dst")), barred).withColumnRenamed("node", "source")
     hit = sources.join(bad, "source", "left_semi").select("record").distinct()
     return sources.select("record").distinct().join(hit, "record", "left_anti")
 

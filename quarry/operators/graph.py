@@ -25,24 +25,44 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reached
 
 
-def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves, with the length of their shortest cycle.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node and component (its least node) of all nodes that lie on a cycle with others.
 
-    Nodes without a way in or without a way out are peeled off first, round after round; only what is left is closed.
+    Each round takes off nodes without a way in or out, gives every node the least node that it reaches, and takes as
+    components what such a node reaches within its own nodes. What is left goes to the next round.
     """
+    found = None
     left = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    loops = edges.filter("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("length")).distinct()
     n = left.count()
     while n:
-        left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        left = cut(left)
-        now = left.count()
-        if now == n:
-            break
-        n = now
-    start = left.select(F.col("src").alias("node")).distinct()
-    reach = closure(left, start).select("root", "node", "depth").filter("root <> node")
-    back = reach.join(left, (F.col("node") == F.col("src")) & (F.col("root") == F.col("dst"))).groupBy(F.col("root").alias("node")).agg((F.min("depth") + 1).cast("int").alias("length"))
+        while True:
+            left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            left, before = cut(left), n
+            n = left.count()
+            if n == before:
+                break
+        nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        least = first_labels(left, nodes.withColumn("label", F.col("node")))
+        same = left.join(least.select(F.col("node").alias("src"), F.col("label").alias("_s")), "src").join(least.select(F.col("node").alias("dst"), F.col("label").alias("_d")), "dst")
+        same = cut(same.filter("_s = _d").select("src", "dst"))
+        own = reached_nodes(same, least.filter("node = label").select("node")).join(least, "node").select("node", F.col("label").alias("component"))
+        own = cut(own.join(own.groupBy("component").count().filter("count > 1").select("component"), "component", "left_semi").select("node", "component"))
+        found = own if found is None else found.unionByName(own)
+        done = least.filter("node = label").select("node").unionByName(own.select("node")).distinct()
+        left = cut(left.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        n = left.count()
+    empty = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    return empty if found is None else found
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves, with the length of their shortest cycle. Only strong components are closed."""
+    loops = edges.filter("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("length")).distinct()
+    of = strong_components(edges)
+    inner = edges.filter("src <> dst").join(of.select(F.col("node").alias("src"), F.col("component").alias("_s")), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("_d")), "dst")
+    inner = cut(inner.filter("_s = _d").select("src", "dst").distinct())
+    reach = closure(inner, of.select("node")).select("root", "node", "depth").filter("root <> node")
+    back = reach.join(inner, (F.col("node") == F.col("src")) & (F.col("root") == F.col("dst"))).groupBy(F.col("root").alias("node")).agg((F.min("depth") + 1).cast("int").alias("length"))
     return loops.unionByName(back).groupBy("node").agg(F.min("length").alias("length"))
 
 
@@ -71,33 +91,54 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def fold_duplicates(relations: list[dict]) -> tuple[dict[str, str], dict[str, list[str]]]:
-    """The representative of each record of one owner's relations (kind, a, b, preferred), and the conflicts of these.
+def reached_nodes(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The nodes that any of the seeds reaches, themselves included: node sets only, never pairs."""
+    edges = cut(edges.select("src", "dst").distinct())
+    reached = front = cut(seeds.select("node").distinct())
+    while not front.isEmpty():
+        step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        front = cut(step.join(reached, "node", "left_anti"))
+        reached = reached.unionByName(front)
+    return reached
+
+
+def first_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """node and the least of its own labels and those of all nodes that it reaches by (src, dst) edges.
 
-    LINK_DUPLICATE relations are folded in order: both records go to the root of the preferred one, unless that would
-    join the two records of a MARK_CONFLICT, directly or through a third. Representatives whose conflicts hang together
-    are one group, which is not resolved. The result depends on the order, so it is for use in a grouped map.
+    labels: node, label. Labels go from each edge's end to its start, and only those that got smaller go on.
     """
-    parent = {x: x for r in relations for x in (r["a"], r["b"])}
-
-    def root(x: str) -> str:
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    marked = [r for r in relations if r["kind"] == "MARK_CONFLICT"]
-    for r in relations:
-        if r["kind"] != "LINK_DUPLICATE":
-            continue
-        head, joined = root(r["preferred"]), {root(r["a"]), root(r["b"])}
-        if any({root(m["a"]), root(m["b"])} <= joined for m in marked):
-            continue
-        for x in joined - {head}:
-            parent[x] = head
-    heads = {x: root(x) for x in parent}
-    groups = {h: {h} for h in heads.values()}
-    for m in marked:
-        whole = groups[heads[m["a"]]] | groups[heads[m["b"]]]
-        for h in whole:
-            groups[h] = whole
-    return heads, {h: sorted(g) for h, g in groups.items() if len(g) > 1}
+    edges = cut(edges.select("src", "dst").distinct())
+    held = front = cut(labels.groupBy("node").agg(F.min("label").alias("label")))
+    while not front.isEmpty():
+        step = front.join(edges, F.col("node") == F.col("dst")).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("new"))
+        joined = step.join(held, "node", "left").filter(F.col("label").isNull() | (F.col("new") < F.col("label")))
+        front = cut(joined.select("node", F.col("new").alias("label")))
+        held = cut(held.join(front.select("node"), "node", "left_anti").unionByName(front))
+    return held
+
+
+def cycle_paths(references: DataFrame, items: DataFrame) -> DataFrame:
+    """For each item from which references lead into a cycle: the ids on the first such way, up to the one met again.
+
+    references: src, place, dst; a search from the item follows references by place and turns back where it ends. An item
+    leads into a cycle exactly if it is left when those without references to others left are taken off, round after
+    round; the search then always takes the first reference to an item that is left. So each item has one successor, and
+    ways are put together from ways of half their length.
+    """
+    known = items.select("node").distinct()
+    left = references.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    left = cut(left.select("src", "place", "dst"))
+    n = left.count()
+    while n:
+        left = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        now = left.count()
+        if now == n:
+            break
+        n = now
+    ways = cut(left.groupBy("src").agg(F.min_by("dst", "place").alias("dst")).select(F.col("src").alias("node"), F.array("src", "dst").alias("way")))
+    met = F.size(F.array_distinct("way")) < F.size("way")
+    while not ways.filter(~met).isEmpty():
+        on = ways.select(F.col("node").alias("_end"), F.slice("way", 2, 1_000_000_000).alias("_on"))
+        ways = cut(ways.join(on, F.element_at("way", -1) == F.col("_end")).select("node", F.when(met, F.col("way")).otherwise(F.concat("way", "_on")).alias("way")))
+    first = F.filter(F.sequence(F.lit(1), F.size("way")), lambda i: F.array_position("way", F.element_at("way", i.cast("int"))) < i)[0]
+    return ways.select("node", F.slice("way", F.lit(1), first).alias("path"))

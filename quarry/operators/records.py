@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import graph
 from quarry.operators.events import interval_union
+from quarry.operators.lineage import cut
 
 
 def captured(observations: DataFrame, as_of: str) -> DataFrame:
@@ -208,9 +209,10 @@ def execution_view(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, backgro
     ``problem`` names what stops it: a missing node, one of a cycle, or one in a declared conflict with another of the view.
     """
     roots = seeds.select("node").union(background.select("node")).distinct()
-    reached = graph.closure(edges, roots).select("node").distinct()
+    reached = cut(graph.reached_nodes(edges, roots))
     inside = edges.join(reached.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
-    cyclic = graph.cyclic_nodes(inside).select("node", F.lit(True).alias("cyclic"))
+    loops = inside.filter("src = dst").select(F.col("src").alias("node"))
+    cyclic = graph.strong_components(inside).select("node").union(loops).distinct().withColumn("cyclic", F.lit(True))
     pairs = conflicts.join(reached.select(F.col("node").alias("a")), "a", "left_semi").join(reached.select(F.col("node").alias("b")), "b", "left_semi")
     fought = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("fought", F.lit(True))
     rows = reached.join(nodes.select("node", F.lit(True).alias("there")), "node", "left").join(cyclic, "node", "left").join(fought, "node", "left")

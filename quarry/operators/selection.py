@@ -6,7 +6,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.graph import fold_duplicates
 
 
 def greedy_roots(skills: list[dict], relation: dict[tuple[str, str], float], weight: float, max_roots: int, budget: int) -> list[str]:
@@ -45,19 +44,6 @@ def select_roots(candidates: DataFrame, weight: float, max_roots: int, budget: i
     return candidates.groupBy("task_id").applyInArrow(one, "task_id string, rank int, skill_id string")
 
 
-def fold_groups(relations: DataFrame) -> DataFrame:
-    """Member, head and the head's conflict group, for each owner's relations (owner, position, kind, a, b, preferred)."""
-    def one(key, rows):
-        ordered = sorted(rows.to_pylist(), key=lambda r: r["position"])
-        heads, conflicts = fold_duplicates(ordered)
-        return pa.table({
-            "owner": pa.array([key[0].as_py()] * len(heads), pa.string()), "member": pa.array(list(heads), pa.string()), "head": pa.array(list(heads.values()), pa.string()),
-            "conflict": pa.array([",".join(conflicts[h]) if h in conflicts else None for h in heads.values()], pa.string()),
-        })
-
-    return relations.groupBy("owner").applyInArrow(one, "owner string, member string, head string, conflict string")
-
-
 def call_ledger(starts: DataFrame, returns: DataFrame) -> DataFrame:
     """Each call that was started: returned once, more than once, or open; an open call is never repeated silently."""
     n = returns.groupBy("request_id").agg(F.count("*").alias("returns"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import context, evidence, files, records, runs, vault
+from quarry.plans import context, evidence, files, grounding, records, runs, vault
 from quarry.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "context", "evidence", "files", "records", "runs", "vault"]
+__all__ = ["ORACLES", "QUERIES", "context", "evidence", "files", "grounding", "records", "runs", "vault"]

@@ -96,7 +96,7 @@ def test_folding_respects_conflicts(spark):
     link, mark = "LINK_DUPLICATE", "MARK_CONFLICT"
     rows = [("o", 1, mark, "a", "c", None), ("o", 2, link, "a", "b", "b"), ("o", 3, link, "b", "c", "b"), ("o", 4, link, "c", "d", "d"), ("o", 5, link, "e", "f", "e"), ("p", 1, link, "x", "y", "y"), ("p", 2, link, "y", "z", "x")]
     df = spark.createDataFrame(rows, "owner string, position int, kind string, a string, b string, preferred string")
-    got = {(r.owner, r.member): (r["head"], r.conflict) for r in selection.fold_groups(df).collect()}
+    got = {(r.owner, r.member): (r["head"], r.conflict) for r in folding.fold_groups(df).collect()}
     both = "b,d"  # what a and c are folded into
     assert got == {
         ("o", "a"): ("b", both), ("o", "b"): ("b", both), ("o", "c"): ("d", both), ("o", "d"): ("d", both), ("o", "e"): ("e", None), ("o", "f"): ("e", None),
