@@ -1,16 +1,17 @@
 """Byte-level byte-pair encoding and decoding by recursive DuckDB queries inside each partition.
 
 A rank file maps strings of bytes to ranks, which are also their ids. Each match of the splitting pattern is a word of
-its own. A task collects the words of a batch that it has not seen, lays them out as token-position rows (word, pos, id),
-one for each byte, and lets a recursive query contract them: rows join the table of merges with their right neighbour,
-the leftmost pair of the lowest rank in each word becomes one token, and the query goes on with the words that changed
-until none does. In a trained vocabulary each token encodes to itself, so a contraction never makes a pair of a rank as
-low, and the further disjoint pairs of that rank are contracted in the same step (``trained=False`` contracts one pair a
-step, for other rank files).
-
-A long word would take as many steps as it holds ranks, so it is cut into overlapping windows that are contracted like
-words. Tokens are the encoding of their string if each two neighbours are that of theirs; so two windows join at any
-token that both have at the same place. A word with windows that share none is contracted whole.
+its own. A task collects the words of a batch that it has not seen, lays them out as token-position rows, one for each
+byte, and lets a recursive query contract them: rows join the table of merges with their right neighbour, the leftmost
+pair of the lowest rank in each word becomes one token, and the query goes on with the words that changed until none does.
+
+Nearly all words are short, and a step is a window, a join and two aggregations over the rows of all of them. A long word
+would take as many steps as it has tokens to lose, so it is cut into overlapping windows that are contracted like words.
+Tokens are the encoding of their string if each two neighbours are that of theirs; so two windows join at any token that
+both have at the same place. A word with windows that share none is contracted whole. In a trained vocabulary each token
+encodes to itself, so a contraction never makes a pair of a rank as low, and for windows and whole long words a step
+contracts the further disjoint pairs of the lowest rank, too (``trained=False``, for other rank files, leaves that out
+and the windows).
 
 Ordered aggregation gathers the ids of each word and decodes them. Words repeat, so a task keeps a table of bounded size.
 
@@ -38,44 +39,61 @@ from pyspark.sql import functions as F
 from quarry.llm.common import small_batches
 
 #: Words whose encoding a task keeps, and the length in bytes of those that it keeps.
-CACHE_WORDS, CACHE_BYTES = 200_000, 64
+CACHE_WORDS, CACHE_BYTES = 400_000, 64
 #: Characters of text that are split into words at a time, and bytes of new words in one query.
-TEXT_CHARS, QUERY_BYTES = 2_000_000, 1_000_000
+TEXT_CHARS, QUERY_BYTES = 2_000_000, 500_000
 #: Longer words are cut into windows of so many bytes, half of which each shares with the next.
 WINDOW = 256
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-#: A contracted row's right half gets the id -1. ``nth_in_run`` counts within neighbouring pairs of the lowest rank.
-CONTRACT = """
+#: Words of up to so many bytes are short. A row of theirs has the key 64 * word + place among the word's tokens.
+SHORT = 32
+CONTRACT_SHORT = """
+WITH RECURSIVE s(step, k, id) AS (
+  SELECT 0, CAST(word AS BIGINT) * 64 + pos, id FROM start
+  UNION ALL (
+    WITH neighbours AS (SELECT k, id, lead(id) OVER w AS following, lead(k) OVER w AS after FROM s WINDOW w AS (ORDER BY k)),
+    lowest AS (
+      SELECT k // 64 AS word, min(CAST(made AS BIGINT) * 64 + k % 64) AS first
+      FROM neighbours JOIN merges ON pair = CAST(id AS BIGINT) * 65536 + following WHERE after = k + 1 GROUP BY k // 64
+    ),
+    merged AS (SELECT word, word * 64 + first % 64 AS here, CAST(first // 64 AS INTEGER) AS made FROM lowest)
+    SELECT step + 1, CASE WHEN k > here THEN k - 1 ELSE k END, CASE WHEN k = here THEN made ELSE id END
+    FROM s JOIN merged ON k // 64 = word WHERE k <> here + 1
+  )
+), final AS (SELECT k // 64 AS word, max(step) AS last FROM s GROUP BY k // 64)
+SELECT word, list(s.id ORDER BY k) AS ids, string_agg(piece, '' ORDER BY k) AS decoded
+FROM s JOIN final ON word = k // 64 AND step = last JOIN vocabulary v ON v.id = s.id GROUP BY word ORDER BY word
+"""
+
+#: The right half of a contracted pair gets the id -1. ``nth_in_run`` counts within neighbouring pairs of the lowest rank.
+CONTRACT_LONG = """
 WITH RECURSIVE s(word, pos, id) USING KEY (word, pos) AS (
   SELECT word, pos, id FROM start
   UNION
-  SELECT word, pos, CASE WHEN taken THEN made WHEN lag(taken) OVER (PARTITION BY word ORDER BY pos) THEN -1 ELSE id END
+  SELECT word, unnest([pos, after]), unnest([made, -1])
   FROM (
-    SELECT *, made IS NOT NULL AND made = lowest AND {which} AS taken
+    SELECT *, row_number() OVER (PARTITION BY word, n - nth ORDER BY n) AS nth_in_run
     FROM (
-      SELECT *, row_number() OVER (PARTITION BY word, made = lowest, n - nth ORDER BY pos) AS nth_in_run
+      SELECT *, row_number() OVER (PARTITION BY word ORDER BY n) AS nth
       FROM (
-        SELECT *, row_number() OVER (PARTITION BY word, made = lowest ORDER BY pos) AS nth
+        SELECT p.*, made, min(made) OVER (PARTITION BY word) AS lowest
         FROM (
-          SELECT p.*, m.made, min(m.made) OVER (PARTITION BY p.word) AS lowest
-          FROM (
-            SELECT *, lead(id) OVER w AS following, row_number() OVER w AS n
-            FROM recurring.s WHERE id >= 0 AND word IN (SELECT word FROM s)
-            WINDOW w AS (PARTITION BY word ORDER BY pos)
-          ) p LEFT JOIN merges m ON m.a = p.id AND m.b = p.following
-        ) WHERE lowest IS NOT NULL
-      )
+          SELECT word, pos, id, lead(id) OVER w AS following, lead(pos) OVER w AS after, row_number() OVER w AS n
+          FROM recurring.s WHERE id >= 0 AND word IN (SELECT word FROM s)
+          WINDOW w AS (PARTITION BY word ORDER BY pos)
+        ) p JOIN merges ON pair = CAST(id AS BIGINT) * 65536 + following
+      ) WHERE made = lowest
     )
-  )
+  ) WHERE {which}
 )
-SELECT word, list(s.id ORDER BY pos) AS ids, list(pos ORDER BY pos) AS places, unhex(string_agg(piece, '' ORDER BY pos)) AS decoded
+SELECT word, list(s.id ORDER BY pos) AS ids, string_agg(piece, '' ORDER BY pos) AS decoded, list(pos ORDER BY pos) AS places
 FROM s JOIN vocabulary v ON v.id = s.id GROUP BY word ORDER BY word
 """
 
 DECODE = """
-SELECT doc, count(*) AS n, count(piece) AS known, unhex(string_agg(piece, '' ORDER BY pos)) AS decoded
+SELECT doc, count(*) AS n, count(piece) AS known, string_agg(piece, '' ORDER BY pos) AS decoded
 FROM tokens t LEFT JOIN vocabulary v ON v.id = t.id GROUP BY doc ORDER BY doc
 """
 
@@ -96,42 +114,63 @@ class ByteBpe:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         # White space is spelt out: the usual class also takes the separators U+001C to U+001F.
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.query = CONTRACT.format(which="nth_in_run % 2 = 1" if trained else "nth = 1")
+        if max(self.ranks.values()) >= 65536:
+            raise ValueError(f"{path} has ranks beyond 65535")
+        self.trained = trained
+        self.contract_long = CONTRACT_LONG.format(which="nth_in_run % 2 = 1" if trained else "nth = 1")
         known = self.ranks.get
-        merges = [(known(t[:i]), known(t[i:]), rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        merges = [(known(t[:i]) * 65536 + known(t[i:]), rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
-        columns = [pa.array(x, pa.int32()) for x in (zip(*merges, strict=True) if merges else [[]] * 3)]
-        self.put("merges", dict(zip(("a", "b", "made"), columns, strict=True)))
+        self.put("merges", {"pair": pa.array([pair for pair, _ in merges], pa.int64()), "made": pa.array([made for _, made in merges], pa.int32())})
         self.put("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array([t.hex() for t in self.ranks], pa.string())})
+        #: Two generations: a full one becomes the old one.
         self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
     def put(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.con.register("incoming", pa.table(columns))
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
-    def contract(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, bytes]]:
-        """Of each word the ids, the places where these tokens start, and the bytes that they decode to."""
+    def contract(self, words: list[bytes], query: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """What a query gives for words, the ids of all of them one after the other, and the bounds of the words in these."""
         sizes = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(words), np.uint8)
         starts = np.cumsum(sizes) - sizes
         rows = {"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(len(raw)) - np.repeat(starts, sizes)).astype(np.int32), "id": self.byte_ids[raw]}
         self.con.register("start", pa.table(rows))
-        found = self.con.sql(self.query).to_arrow_table()
+        found = self.con.sql(query).to_arrow_table()
         self.con.unregister("start")
-        ids, places = (flat_lists(found.column(c)) for c in ("ids", "places"))
-        return [(ids[0][a:b], places[0][a:b], x.as_py()) for a, b, x in zip(ids[1][:-1], ids[1][1:], found.column("decoded"), strict=True)]
-
-    def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """The ids of each word, packed as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
-        cuts = [range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2) if len(w) > WINDOW else range(1) for w in words]
-        parts = self.contract([w[at : at + WINDOW] if len(cut) > 1 else w for w, cut in zip(words, cuts, strict=True) for at in cut])
+        return found, *flat_lists(found.column("ids"))
+
+    def contracted(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, bytes]]:
+        """Of each long word or window the ids, the places where these tokens start, and the bytes that they decode to."""
+        found, ids, ends = self.contract(words, self.contract_long)
+        places = flat_lists(found.column("places"))[0]
+        return [(ids[a:b], places[a:b], bytes.fromhex(x)) for a, b, x in zip(ends[:-1], ends[1:], found.column("decoded").to_pylist(), strict=True)]
+
+    def encode_short(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        found, ids, ends = self.contract(words, CONTRACT_SHORT)
+        packed, ends = ids.astype("<u4").tobytes(), (ends * 4).tolist()
+        decoded = map(bytes.fromhex, found.column("decoded").to_pylist())
+        return zip(map(packed.__getitem__, map(slice, ends[:-1], ends[1:])), decoded, strict=True)
+
+    def encode_long(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        cuts = [range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2) if self.trained and len(w) > WINDOW else range(1) for w in words]
+        parts = self.contracted([w[at : at + WINDOW] if len(cut) > 1 else w for w, cut in zip(words, cuts, strict=True) for at in cut])
         used = 0
         for w, cut in zip(words, cuts, strict=True):
-            ids, _, decoded = parts[used] if len(cut) == 1 else self.joined(parts[used : used + len(cut)], cut) or self.contract([w])[0]
+            ids, _, decoded = parts[used] if len(cut) == 1 else self.joined(parts[used : used + len(cut)], cut) or self.contracted([w])[0]
             used += len(cut)
             yield ids.astype("<u4").tobytes(), decoded
 
+    def encode_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The ids of each word, packed as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
+        short = [len(w) <= SHORT for w in words]
+        of = {kind: [w for w, x in zip(words, short, strict=True) if x is kind] for kind in (True, False)}
+        results = {True: iter(self.encode_short(of[True]) if of[True] else ()), False: iter(self.encode_long(of[False]) if of[False] else ())}
+        return [next(results[x]) for x in short]
+
     @staticmethod
     def joined(parts: list[tuple[np.ndarray, np.ndarray, bytes]], cut: range) -> tuple[np.ndarray, np.ndarray, bytes] | None:
         """The windows of a word as one, each with its next at a token that both have; None if some share none."""
@@ -150,10 +189,15 @@ class ByteBpe:
         return ids, np.empty(0, np.int64), b"".join(text)
 
     def learn(self, words: set[str]) -> None:
-        """Encode what the table lacks. A full table is emptied but for the words at hand."""
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache = {w: self.cache[w] for w in words if w in self.cache}
+        """Encode what the table lacks. A full table becomes the old one, whose words come back when they are met."""
+        lacking = words.difference(self.cache)
+        if len(self.cache) + len(lacking) > CACHE_WORDS:
+            self.old = self.cache
+            lacking = words
+            self.cache = {}
+        known = {w: self.old[w] for w in lacking if w in self.old}
+        self.cache.update(known)
+        new = [w for w in lacking if w not in known]
         at = 0
         while at < len(new):
             part, size = [], 0
@@ -173,12 +217,13 @@ class ByteBpe:
                 split.append(self.words.findall(text))
                 size += len(text)
                 at += 1
-            self.learn(set().union(*split))
+            seen = set().union(*split)
+            self.learn(seen)
             for words in split:
-                parts = list(map(self.cache.__getitem__, words))
-                yield b"".join([x[0] for x in parts]), b"".join([x[1] for x in parts])
-            for w in {w for words in split for w in words if len(w) > CACHE_BYTES}:
-                self.cache.pop(w, None)
+                ids, decoded = zip(*map(self.cache.__getitem__, words), strict=True) if words else ((), ())
+                yield b"".join(ids), b"".join(decoded)
+            for w in [w for w in seen if len(w) > CACHE_BYTES]:
+                del self.cache[w]
 
     def decode(self, packed: list[bytes | None]) -> list[bytes]:
         """The bytes of each row's ids, one token after the other."""
@@ -190,7 +235,7 @@ class ByteBpe:
         for doc, n, known, decoded in self.con.sql(DECODE).fetchall():
             if n != known:
                 raise ValueError(f"{n - known} ids are not in the vocabulary")
-            out[doc] = decoded
+            out[doc] = bytes.fromhex(decoded)
         self.con.unregister("tokens")
         return out
 
