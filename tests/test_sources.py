@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import latest, selection
+from quarry.operators import folding, latest, selection
 from quarry.schemas import CONTROLLER_FEEDBACK
 from quarry.sources import vault
 from quarry.streaming import trace_index
