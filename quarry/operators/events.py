@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -133,3 +133,36 @@ def trace_rows(events: DataFrame, where: str, limit: int | None = None) -> DataF
     """Metadata of the events that meet a condition, in order of position; the first ``limit`` of them, if one is given."""
     rows = events.filter(where).orderBy("position", "event_id")
     return rows if limit is None else rows.limit(limit)
+
+
+def select_metadata(events: DataFrame, focus: DataFrame, limit: int) -> DataFrame:
+    """A bounded choice of each trace's events, in the order of choosing: trace, place, event_id, never more than ``limit`` of a trace.
+
+    events: trace, event_id, position (from 0, without gaps), call_id, marked (task, feedback, recovery, counterexample or failed).
+    First come the events in focus, then a probe of the trace at its ends and middles of middles: the next marked event and
+    the next event of any kind, each with up to two events of its call. Only as many probes as the limit are made, so a trace's
+    choice is a fold over a short array.
+    """
+    to_end = Window.partitionBy("trace").orderBy("position").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.partitionBy("trace")
+    rows = events.select("trace", "event_id", F.col("position").cast("long").alias("position"), "call_id", F.coalesce("marked", F.lit(False)).alias("marked"))
+    rows = rows.withColumn("next", F.min(F.when(F.col("marked"), F.col("position"))).over(to_end)).withColumn("n", F.count("*").over(whole))
+    depth = T.middle_depth(F.col("position"), F.col("n"))
+    probes = rows.withColumn("turn", F.row_number().over(whole.orderBy(depth, "position"))).filter(F.col("turn") <= limit)
+    call = Window.partitionBy("trace", "call_id").orderBy("position")
+    members = rows.filter("call_id is not null").withColumn("r", F.row_number().over(call)).filter("r <= 2")
+    partners = members.groupBy("trace", "call_id").agg(F.array_sort(F.collect_list("position")).alias("partners"))
+    entry = rows.select("trace", "position", "call_id").join(partners, ["trace", "call_id"], "left").select("trace", "position", F.coalesce("partners", F.array().cast("array<bigint>")).alias("partners"))
+    wanted = probes.select("trace", "turn", F.posexplode(F.array("next", "position")).alias("part", "position")).filter("position is not null")
+    steps = wanted.join(entry, ["trace", "position"]).groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("turn", "part", "position", "partners"))).alias("steps"))
+    first = rows.join(focus.select("event_id").distinct(), "event_id", "left_semi").withColumn("r", F.row_number().over(whole.orderBy("position"))).filter(F.col("r") <= limit)
+    given = first.groupBy("trace").agg(F.array_sort(F.collect_list("position")).alias("given"))
+
+    def take(chosen: Column, step: Column) -> Column:
+        own = F.array_union(chosen, F.array(step["position"]))
+        more = F.array_union(own, F.slice(step["partners"], F.lit(1), F.least(F.lit(2), F.greatest(limit - F.size(own), F.lit(0)))))
+        return F.when(F.size(chosen) >= limit, chosen).otherwise(more)
+
+    start = F.coalesce("given", F.array().cast("array<bigint>"))
+    chosen = steps.join(given, "trace", "left").select("trace", F.posexplode(F.slice(F.aggregate("steps", start, take), 1, limit)).alias("place", "position"))
+    return chosen.join(rows.select("trace", "position", "event_id"), ["trace", "position"]).select("trace", "place", "event_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import admission, folding, graph
+from quarry.operators import admission, citations, folding, graph
 from quarry.plans.registry import ORACLES, query
 from quarry.sources import adapters
 from quarry.sources.adapters import table, with_sql
@@ -111,3 +111,32 @@ w(i, r) AS (SELECT i, r FROM first UNION SELECT p.i, w.r FROM w JOIN p ON p.pare
 m AS (SELECT i, min(r) AS r FROM w GROUP BY i)
 SELECT m.i AS episode_id, ['not_authorized','selection_material','relabelled_return','no_terminal_run','no_group_plan','batch_unknown','batch_contradicts','group_not_closed'][m.r] AS reason, coalesce(f.r > m.r, true) AS inherited
 FROM m LEFT JOIN first f USING (i)"""
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A draft for each order, with claims from its lines; some lists are none, some drafts cannot be read."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("draft_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("r"), "l_partkey").alias("r"), "l_partkey", "l_suppkey")
+    next_p = F.concat(F.lit("p"), F.col("l_partkey") + 1)
+    claim = F.struct(F.array("p", "s").alias("evidence_refs"), F.struct(F.array(next_p).alias("counterevidence_refs"), F.col("n").alias("n")).alias("notes"))
+    rows = li.groupBy("draft_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "p", "s", claim.alias("c"), "r"))), lambda x: F.struct(x["c"].alias("c"), F.struct(x["r"].alias("ref_id")).alias("q"))).alias("x"))
+    odd = F.when(F.col("draft_id") % 3 == 0, F.lit("none")).otherwise(F.lit("p1"))
+    body = F.to_json(F.struct(F.struct(F.transform("x", lambda y: y["c"]).alias("claims"), odd.alias("boundary_refs")).alias("summary"), F.transform("x", lambda y: y["q"]).alias("read_requests")))
+    made = rows.select("draft_id", F.when(F.col("draft_id") % 97 == 0, F.substring(body, 1, 20)).otherwise(body).alias("draft"))
+    provided = li.filter("n % 3 <> 0").select("draft_id", F.col("p").alias("ref_id")).unionByName(li.filter("n % 2 = 0").select("draft_id", F.col("s").alias("ref_id"))).unionByName(li.filter("l_partkey % 10 = 0").select("draft_id", F.col("r").alias("ref_id")))
+    return made, provided, li.filter("n % 4 <> 0").select("draft_id", F.col("r").alias("ref_id"))
+
+
+@query
+def citation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.citation_errors(*drafts(spark, sf_dir))
+
+
+ORACLES["citation_errors"] = """WITH l AS (SELECT l_orderkey AS draft_id, l_linenumber AS n, 'p' || l_partkey AS p, 's' || l_suppkey AS s, 'r' || l_partkey AS r, l_partkey,
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey, 's' || l_suppkey) - 1 AS i FROM lineitem),
+provided AS (SELECT draft_id, p AS ref_id FROM l WHERE n % 3 <> 0 UNION SELECT draft_id, s FROM l WHERE n % 2 = 0 UNION SELECT draft_id, r FROM l WHERE l_partkey % 10 = 0),
+readable AS (SELECT draft_id, r AS ref_id FROM l WHERE n % 4 <> 0),
+c AS (SELECT draft_id, '$.summary.claims[' || i || '].evidence_refs[0]' AS path, p AS ref_id FROM l UNION ALL SELECT draft_id, '$.summary.claims[' || i || '].evidence_refs[1]', s FROM l
+ UNION ALL SELECT draft_id, '$.summary.claims[' || i || '].notes.counterevidence_refs[0]', 'p' || (l_partkey + 1) FROM l)
+SELECT draft_id, path, ref_id, 'original body not provided' AS reason FROM c WHERE draft_id % 97 <> 0 AND (draft_id, ref_id) NOT IN (SELECT (draft_id, ref_id) FROM provided)
+UNION ALL SELECT draft_id, '$.read_requests[' || i || ']', r, 'not an available unread catalog entry' FROM l WHERE draft_id % 97 <> 0 AND ((draft_id, r) NOT IN (SELECT (draft_id, ref_id) FROM readable) OR (draft_id, r) IN (SELECT (draft_id, ref_id) FROM provided))
+UNION ALL SELECT DISTINCT draft_id, '$', NULL, 'draft is not JSON' FROM l WHERE draft_id % 97 = 0"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import events as E
 from quarry.operators.lineage import cut, new_folder
 from quarry.plans.registry import ORACLES, query
 from quarry.plans.runs import EVENTS, events
@@ -83,3 +84,30 @@ s AS (SELECT *, sum(anew) OVER (PARTITION BY id ORDER BY t ROWS UNBOUNDED PRECED
 r AS (SELECT id, kind, min(t) AS started_at, max(t) AS last_at, count(*) AS updates, max(t) + any_value(ttl) AS expired_at FROM s GROUP BY id, kind, life)
 SELECT * FROM r WHERE expired_at <= (SELECT max(t) FROM u) - INTERVAL 1 HOUR
  OR EXISTS (SELECT 1 FROM r n WHERE n.id = r.id AND n.started_at > r.started_at)"""
+
+
+@query
+def selected_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select(F.col("episode_id").alias("trace"), "event_id", (F.col("position") - 1).alias("position"), "call_id", F.col("kind").isin("failed", "user_message").alias("marked"))
+    return E.select_metadata(e, e.filter("event_id % 501 = 0").select("event_id"), 12)
+
+
+#: The choice goes probe by probe; each takes the next marked event, its call, the event there, and its call, as long as there is room.
+ORACLES["selected_metadata"] = EVENTS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+e AS (SELECT episode_id AS trace, event_id, position - 1 AS p, call_id, kind IN ('failed', 'user_message') AS marked, count(*) OVER (PARTITION BY episode_id) AS n FROM episode_events),
+b(trace, lo, hi, depth) AS (SELECT DISTINCT trace, CAST(1 AS BIGINT), n - 2, 2 FROM e
+ UNION ALL SELECT trace, unnest([lo, (lo + hi) // 2 + 1]), unnest([(lo + hi) // 2 - 1, hi]), depth + 1 FROM b WHERE lo <= hi),
+d AS (SELECT trace, p, min(depth) AS depth FROM (SELECT trace, (lo + hi) // 2 AS p, depth FROM b WHERE lo <= hi UNION ALL SELECT trace, CAST(0 AS BIGINT), 0 FROM e UNION ALL SELECT trace, n - 1, 1 FROM e) GROUP BY trace, p),
+t AS (SELECT trace, p, row_number() OVER (PARTITION BY trace ORDER BY depth, p) AS turn FROM d),
+c AS (SELECT trace, call_id, list(p ORDER BY p)[1:2] AS partners FROM e WHERE call_id IS NOT NULL GROUP BY trace, call_id),
+x AS (SELECT e.trace, e.p, coalesce(c.partners, []) AS partners FROM e LEFT JOIN c USING (trace, call_id)),
+w AS (SELECT t.trace, 2 * t.turn - 1 AS k, (SELECT min(e.p) FROM e WHERE e.trace = t.trace AND e.p >= t.p AND e.marked) AS p FROM t WHERE turn <= 12 UNION ALL SELECT trace, 2 * turn, p FROM t WHERE turn <= 12),
+s AS (SELECT trace, row_number() OVER (PARTITION BY trace ORDER BY k) AS k, p, partners FROM w JOIN x USING (trace, p)),
+f(trace, k, chosen) AS (SELECT trace, CAST(0 AS BIGINT), coalesce(list(p ORDER BY p) FILTER (WHERE event_id % 501 = 0), []) FROM e GROUP BY trace
+ UNION ALL SELECT f.trace, s.k, CASE WHEN len(chosen) >= 12 THEN chosen ELSE
+  list_concat(list_concat(chosen, list_filter([s.p], lambda z: NOT list_contains(chosen, z))),
+   list_filter(s.partners[1:least(2, 12 - len(chosen) - CASE WHEN list_contains(chosen, s.p) THEN 0 ELSE 1 END)], lambda z: NOT list_contains(chosen, z) AND z <> s.p)) END
+  FROM f JOIN s ON s.trace = f.trace AND s.k = f.k + 1),
+z AS (SELECT trace, chosen[1:12] AS chosen FROM f QUALIFY row_number() OVER (PARTITION BY trace ORDER BY k DESC) = 1),
+y AS (SELECT trace, unnest(chosen) AS p, unnest(range(len(chosen))) AS place FROM z)
+SELECT y.trace, CAST(place AS INTEGER) AS place, event_id FROM y JOIN e USING (trace, p)"""
