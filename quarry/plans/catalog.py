@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import context, evidence, files, grounding, records, runs, traces, vault
+from quarry.plans import commits, context, evidence, files, grounding, records, runs, traces, vault
 from quarry.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "context", "evidence", "files", "grounding", "records", "runs", "traces", "vault"]
+__all__ = ["ORACLES", "QUERIES", "commits", "context", "evidence", "files", "grounding", "records", "runs", "traces", "vault"]
