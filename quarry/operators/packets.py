@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.events import selection_units
+from quarry.operators.lineage import cut
 from quarry.operators.records import open_pairs
 
 #: Characters counted for a fragment's and a locator's own fields, besides the text.
 FRAGMENT_CHARS, LOCATOR_CHARS = 350, 450
+#: Rows that one round of ``fitting`` settles at most.
+ROUND_ROWS = 20_000
 
 
 def piece_starts(length: Column, anchor: Column, width: int, extra: int) -> Column:
@@ -94,31 +96,32 @@ def visible_links(rows: DataFrame) -> DataFrame:
 def fitting(rows: DataFrame, key: str, order: list[Column], sizes: dict[str, int]) -> DataFrame:
     """Keys taken in order, each if all its sizes (column: capacity) still fit with those taken before; later, smaller ones may.
 
-    Each choice depends on all before it, so one task reads the key and sizes in order as a stream and holds nothing but sums; rows
-    that can never fit do not reach it, and it stops once a capacity is used up.
+    What does not fit once never fits later, as the capacities only shrink. So in each round only rows that fit by themselves are
+    left, and of these no more than the capacities have room for, by the smallest sizes, can matter: they are few, their number
+    is bounded by the capacities, and one pass over them settles them. Rows without any size are all taken. Keys are distinct.
     """
-    possible = rows
-    for c, most in sizes.items():
-        possible = possible.filter(F.col(c) <= most)
-    narrow = possible.select(F.col(key).alias("_key"), *[F.col(c).cast("long").alias(f"_s{i}") for i, c in enumerate(sizes)], *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    narrow = narrow.repartition(1).sortWithinPartitions(*[f"_o{i}" for i in range(len(order))], "_key").select("_key", *[f"_s{i}" for i in range(len(sizes))])
-    capacity = list(sizes.values())
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = list(capacity)
-        for b in batches:
-            columns = [b.column(i + 1).to_pylist() for i in range(len(left))]
-            taken = []
-            for at, need in enumerate(zip(*columns)):
-                if all(n <= most for n, most in zip(need, left)):
-                    left = [most - n for n, most in zip(need, left)]
-                    taken.append(at)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(taken, pa.int64()))], names=[key])
-            if min(left) <= 0:
-                return
-
-    kind = rows.schema[key].dataType.simpleString()
-    return narrow.mapInArrow(take, f"`{key}` {kind}")
+    spark, names = rows.sparkSession, [f"_s{i}" for i in range(len(sizes))]
+    narrow = cut(rows.select(F.col(key).alias("_key"), *[F.col(c).cast("long").alias(n) for n, c in zip(names, sizes)], *[o.alias(f"_o{i}") for i, o in enumerate(order)]))
+    left = list(sizes.values())
+    weightless = reduce(lambda a, b: a & b, [F.col(n) == 0 for n in names])
+    kind = narrow.schema["_key"].dataType.simpleString()
+    taken: list = []
+    while True:
+        fits = reduce(lambda a, b: a & b, [F.col(n) <= most for n, most in zip(names, left)])
+        open_ = narrow.filter(fits & ~weightless)
+        if taken:
+            open_ = open_.join(F.broadcast(spark.createDataFrame([(k,) for k in taken], f"_key {kind}")), "_key", "left_anti")
+        n, *least = open_.agg(F.count("*"), *[F.min(c) for c in names]).first()
+        if not n:
+            break
+        room = min([most // small for most, small in zip(left, least) if small] or [ROUND_ROWS]) + 1
+        first = open_.orderBy(*[f"_o{i}" for i in range(len(order))], "_key").limit(min(room, ROUND_ROWS))
+        for row in first.select("_key", *names).collect():
+            if all(need <= most for need, most in zip(row[1:], left)):
+                left = [most - need for need, most in zip(row[1:], left)]
+                taken.append(row[0])
+    chosen = narrow.filter(weightless).select(F.col("_key").alias(key))
+    return chosen.unionByName(spark.createDataFrame([(k,) for k in taken], f"`{key}` {kind}")) if taken else chosen
 
 
 def maintenance_inputs(records: DataFrame, known: DataFrame, max_chars: int, max_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:

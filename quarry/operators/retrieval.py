@@ -7,6 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.lineage import cut
+
+#: Parts in which the rows of a group are ranked before its best ones meet.
+PARTS = 64
 DEAD = ("rejected", "outdated")
 #: Sections of a context pack and their limits.
 SECTIONS = {"always_loaded": 5, "project_core": 5, "retrieved": 3, "session_memory": 3, "evidence_memory": 3}
@@ -88,15 +92,42 @@ def context_pack(items: DataFrame, task: str, scope: str) -> DataFrame:
 def budgeted(rows: DataFrame, group: str, order: list[str], cost: str, budget: int, separator: int = 1) -> DataFrame:
     """Rows taken in order while they fit; one that doesn't fit is skipped and later ones may still be taken.
 
-    ``order`` names columns by which an array of structs sorts (the last one is the id).
+    ``order`` names columns by which an array of structs sorts (the last one is the id). A row that does not fit once never fits
+    later, so each round looks at the rows that still fit by themselves, and of these at no more in a group than its smallest
+    costs leave room for: a group's fold is bounded by the budget, and its rows are ranked in parts first, so that a large group
+    is in no single task.
     """
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).alias("_cost")))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
-
-    def take(state: Column, row: Column) -> Column:
-        need = (row["_cost"] + F.when(F.size(state["ids"]) > 0, separator).otherwise(0)).cast("long")
-        more = F.struct((state["used"] + need).alias("used"), F.array_append(state["ids"], row[order[-1]].cast("string")).alias("ids"))
-        return F.when(state["used"] + need <= budget, more).otherwise(state)
-
-    kept = listed.select(group, F.aggregate("all", start, take).alias("s"))
-    return kept.select(group, F.col("s.used").alias("used"), F.size("s.ids").cast("long").alias("kept"), F.concat_ws(",", "s.ids").alias("ids"))
+    narrow = cut(rows.select(group, *order, F.col(cost).cast("long").alias("_cost"), F.lit(0).alias("_round")).filter(F.col("_cost") <= budget))
+    state = cut(rows.select(group).distinct().select(group, F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n")))
+    taken = None
+    by = [F.col(c) for c in order]
+    while True:
+        need = F.col("_cost") + F.when(F.col("n") > 0, separator).otherwise(0)
+        fits = narrow.join(state, group).filter(F.col("used") + need <= budget)
+        if taken is not None:
+            fits = fits.join(taken.select(group, F.col(order[-1])), [group, order[-1]], "left_anti")
+        room = fits.groupBy(group).agg(F.floor((budget - F.first("used")) / F.greatest(F.min("_cost") + separator, F.lit(1))).alias("room"))
+        most = room.agg(F.max("room")).first()[0]
+        if most is None:
+            break
+        parts = Window.partitionBy(group, F.pmod(F.xxhash64(order[-1]), F.lit(PARTS))).orderBy(*by)
+        near = fits.withColumn("_r", F.row_number().over(parts)).filter(F.col("_r") <= most + 2)
+        near = near.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*by))).filter(F.col("_r") <= most + 2)
+        listed = near.groupBy(group).agg(F.first("used").alias("used"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(*order, "_cost"))).alias("all"))
+        kind = listed.schema["all"].dataType.elementType[order[-1]].dataType.simpleString()
+        start = F.struct("used", "n", F.array().cast(f"array<{kind}>").alias("ids"))
+
+        def take(held: Column, row: Column) -> Column:
+            more = held["used"] + row["_cost"] + F.when(held["n"] > 0, separator).otherwise(0)
+            return F.when(more <= budget, F.struct(more.alias("used"), (held["n"] + 1).alias("n"), F.array_append(held["ids"], row[order[-1]]).alias("ids"))).otherwise(held)
+
+        step = cut(listed.select(group, F.aggregate("all", start, take).alias("s"), "all"))
+        new = step.select(group, F.explode(F.filter("all", lambda x: F.array_contains(F.col("s.ids"), x[order[-1]]))).alias("x")).select(group, "x.*").drop("_cost")
+        taken = cut(new if taken is None else taken.unionByName(new))
+        moved = step.select(group, F.col("s.used").alias("_used"), F.col("s.n").alias("_n"))
+        state = cut(state.join(moved, group, "left").select(group, F.coalesce("_used", "used").alias("used"), F.coalesce("_n", "n").alias("n")))
+    if taken is None:
+        return state.select(group, "used", F.col("n").alias("kept"), F.lit("").alias("ids"))
+    ids = taken.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("all"))
+    joined = state.join(ids, group, "left")
+    return joined.select(group, "used", F.col("n").alias("kept"), F.coalesce(F.array_join(F.transform("all", lambda x: x[order[-1]].cast("string")), ","), F.lit("")).alias("ids"))

@@ -281,12 +281,17 @@ FROM memory_items m LEFT JOIN (SELECT DISTINCT id FROM proposals WHERE decision
 @query
 def feedback_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = rubric_proxies(spark, sf_dir)
-    return G.feedback_trend(p.select(F.col("criterion").alias("series"), F.col("doc_id").alias("at"), "score"), 5)
+    scores = p.select(F.col("criterion").alias("series"), F.col("doc_id").alias("at"), F.when(F.col("doc_id") % 7 != 0, F.col("score")).alias("score"))
+    asked = table(spark, sf_dir, "documents").select(F.col("source").alias("series")).union(table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-new"))))
+    return G.feedback_trend(scores, 5, 3.5, asked)
 
 
 ORACLES["feedback_trend"] = with_sql("rubric_proxies") + """,
-t AS (SELECT criterion AS series, doc_id AS seq, score FROM rubric_proxies QUALIFY row_number() OVER (PARTITION BY criterion ORDER BY doc_id DESC) <= 5)
-SELECT series, count(*) AS n, round(avg(score), 3) AS mean, round(arg_max(score, seq) - arg_min(score, seq), 3) AS delta FROM t GROUP BY series"""
+t AS (SELECT criterion AS series, doc_id AS seq, CASE WHEN doc_id % 7 <> 0 THEN score END AS score FROM rubric_proxies QUALIFY row_number() OVER (PARTITION BY criterion ORDER BY doc_id DESC) <= 5),
+h AS (SELECT series, count(*) AS n, round(coalesce(avg(score), 0), 3) AS mean, arg_max_null(score, seq) AS latest, arg_min_null(score, seq) AS first FROM t GROUP BY series),
+a AS (SELECT source AS series FROM documents UNION SELECT source || '-new' FROM documents)
+SELECT series, coalesce(n, 0) AS n, coalesce(mean, 0) AS mean, round(coalesce(latest, 0) - coalesce(first, latest, 0), 3) AS delta,
+ list_concat(CASE WHEN latest < 3.5 THEN ['below_min_score:' || latest || '/3.5'] ELSE [] END, CASE WHEN n IS NULL THEN ['no_feedback_history'] ELSE [] END) AS alerts FROM a LEFT JOIN h USING (series)"""
 
 
 @query
