@@ -10,6 +10,7 @@ from quarry.operators import context as X
 from quarry.operators import events as E
 from quarry.operators import measures as M
 from quarry.operators import packets as P
+from quarry.operators import selection
 from quarry.plans.registry import ORACLES, query
 from quarry.plans.runs import EVENTS, HALVED, SQL_PAIRED, events, paired
 from quarry.sources import adapters
@@ -397,3 +398,45 @@ def signature_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["signature_scores"] = """SELECT event_id, CAST(4 * len(list_intersect(list_distinct(['c' || (event_id % 3), 'c' || (event_id % 4)]), ['c1','c2'])) + 3 * len(list_intersect(list_distinct(['e' || (event_id % 5), 'e' || (event_id % 6)]), ['e0']))
  + len(list_intersect(['s' || (event_id % 7)], ['s3','s4'])) + CAST(event_id % 2 = 0 AS INTEGER) AS BIGINT) AS score FROM events"""
+
+
+def skill_library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as skills of a task for each 20 keys; some need the next one, some conflict with the third one on, and pairs are related."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 20).cast("string").alias("task_id"), (F.col("p_partkey") % 20).alias("m"), (F.col("p_size") * 3 + 50).cast("long").alias("chars"), (F.col("p_size") % 7).cast("double").alias("base"))
+    k = F.col("k")
+    name = lambda c: F.lpad(c.cast("string"), 9, "0")
+    skill = F.struct(name(k).alias("skill_id"), F.col("chars"), F.when(k % 5 == 0, F.array(name(k + 3))).otherwise(F.array().cast("array<string>")).alias("conflicts"))
+    one = p.select("task_id", "k", "m", "base", skill.alias("skill"))
+    following = one.select((k - 1).alias("k"), "task_id", F.col("skill").alias("next"))
+    j = one.join(following, ["task_id", "k"], "left")
+    closure = F.array_compact(F.array("skill", F.when(k % 4 == 0, F.col("next"))))
+    related = p.filter("m + 2 < 20").select(
+        "task_id", name(k).alias("from"), name(k + 2).alias("to"), F.element_at(F.array(*map(F.lit, ("co_used", "measured_effect", "observed"))), (k % 3 + 1).cast("int")).alias("kind"),
+        ((k % 9 - 2) / 2).alias("value"), F.when(k % 6 == 0, F.array(name(k + 1))).otherwise(F.array().cast("array<string>")).alias("background"), (k % 4 != 1).alias("supported"))
+    return j.select("task_id", name(k).alias("skill_id"), "base", closure.alias("closure")), related
+
+
+@query
+def skill_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select_roots(*skill_library(spark, sf_dir), weight=0.5, max_roots=5, budget=700)
+
+
+#: Each step takes the open skill of the best score; what it needs comes in with it, or it is left out.
+ORACLES["skill_roots"] = """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_partkey // 20 AS t, p_partkey % 20 AS m, p_size * 3 + 50 AS chars, CAST(p_size % 7 AS DOUBLE) AS base FROM part),
+c AS (SELECT p.*, CASE WHEN p.k % 4 = 0 AND n.k IS NOT NULL THEN [p.k, n.k] ELSE [p.k] END AS needs FROM p LEFT JOIN p n ON n.k = p.k + 1 AND n.t = p.t),
+r AS (SELECT t, k AS a, k + 2 AS b, (k % 9 - 2) / 2 AS v, CASE WHEN k % 6 = 0 THEN [k + 1] ELSE [] END AS bg FROM p WHERE m + 2 < 20 AND k % 4 <> 1 AND k % 3 < 2),
+s AS (SELECT t, a AS k, b AS other, v, bg FROM r UNION ALL SELECT t, b, a, v, bg FROM r WHERE a % 3 = 0),
+f(t, step, held, opened, roots, k, score, verdict) AS (
+ SELECT t, 0, CAST([] AS BIGINT[]), list(k), 0, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR) FROM p GROUP BY t
+ UNION ALL SELECT t, step + 1, CASE WHEN verdict = 'root' THEN list_distinct(list_concat(held, needs)) ELSE held END, list_filter(opened, lambda x: x <> k), roots + CASE WHEN verdict = 'root' THEN 1 ELSE 0 END, k, score, verdict
+ FROM (SELECT *, CASE WHEN list_contains(held, k) THEN 'held' WHEN len(list_filter(whole, lambda x: x % 5 = 0 AND list_contains(whole, x + 3))) > 0 THEN 'declared_conflict'
+   WHEN (SELECT sum(p.chars) + count(*) - 1 FROM p WHERE list_contains(whole, p.k)) > 700 THEN 'budget' ELSE 'root' END AS verdict
+  FROM (SELECT f.t, f.step, f.held, f.opened, f.roots, c.k, c.needs, list_distinct(list_concat(f.held, c.needs)) AS whole,
+    c.base + 0.5 * coalesce(sum(s.v) FILTER (WHERE list_contains(f.held, s.other) AND list_has_all(list_concat(f.held, c.needs), s.bg)), 0) AS score
+   FROM f JOIN c ON c.t = f.t AND list_contains(f.opened, c.k) LEFT JOIN s ON s.t = f.t AND s.k = c.k WHERE f.roots < 5 GROUP BY f.t, f.step, f.held, f.opened, f.roots, c.k, c.needs, c.base)
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, k) = 1)),
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY t ORDER BY step DESC) = 1),
+g AS (SELECT l.t, c.k, c.base + 0.5 * coalesce(sum(s.v) FILTER (WHERE list_contains(l.held, s.other) AND list_has_all(list_concat(l.held, c.needs), s.bg)), 0) AS score
+ FROM l JOIN c ON c.t = l.t AND list_contains(l.opened, c.k) AND NOT list_contains(l.held, c.k) LEFT JOIN s ON s.t = l.t AND s.k = c.k GROUP BY l.t, c.k, c.base),
+u AS (SELECT t, step AS o, k, score, verdict FROM f WHERE verdict <> 'held' UNION ALL SELECT t, 1000 + k, k, score, 'root_limit' FROM g)
+SELECT CAST(t AS VARCHAR) AS task_id, CAST(row_number() OVER (PARTITION BY t ORDER BY o) AS INTEGER) AS place, lpad(CAST(k AS VARCHAR), 9, '0') AS skill_id, CAST(score AS DOUBLE) AS score, verdict FROM u"""

@@ -82,14 +82,26 @@ def test_byte_steps(spark):
     assert take(0, 10, 20) == [0, 1] and take(0, 1, 20) == [0] and take(2, 10, 20) == [] and take(2, 10, 60) == [2, 3]
 
 
-def test_greedy_roots(spark):
+def test_roots_follow_relations(spark):
+    need = lambda **chars: [(k, v, ["a"] if k == "b" else []) for k, v in chars.items()]
     rows = [
-        ("t", "a", 3.0, {"a": 4, "d": 2}, [], {}), ("t", "b", 2.0, {"b": 3}, ["a"], {}), ("t", "c", 1.0, {"c": 3, "d": 2}, [], {"a": 4.0}),
-        ("t", "e", 1.5, {"e": 1}, [], {}), ("u", "a", 0.0, {"a": 1}, [], {}),
+        ("t", "a", 3.0, need(a=4, d=2)), ("t", "b", 2.0, need(b=3)), ("t", "c", 1.0, need(c=3, d=2)), ("t", "e", 1.5, need(e=1)), ("t", "d", 0.5, need(d=2)), ("t", "f", 0.1, need(f=90)), ("t", "g", -1.0, need(g=1)),
+        ("u", "a", 0.0, need(a=1)), ("u", "h", 0.0, need(h=1)),
     ]
-    df = spark.createDataFrame(rows, "task_id string, skill_id string, base double, closure map<string,long>, conflicts array<string>, related map<string,double>")
-    got = [tuple(r) for r in selection.select_roots(df, 0.5, 3, 10).orderBy("task_id", "rank").collect()]
-    assert got == [("t", 1, "a"), ("t", 2, "c"), ("t", 3, "e")]
+    relations = [
+        ("t", "c", "a", "measured_effect", 4.0, [], True),  # speaks for c once a is held
+        ("t", "a", "e", "measured_effect", 9.0, [], True),  # not for e: it goes from a
+        ("t", "a", "g", "co_used", 8.0, ["e"], True),  # either way, but only with e there
+        ("t", "f", "a", "observed", 50.0, [], True), ("t", "e", "c", "co_used", -1.0, [], True), ("t", "b", "c", "co_used", 7.0, [], False), ("t", "e", "a", "co_used", float("nan"), [], True),
+    ]
+    df = spark.createDataFrame(rows, "task_id string, skill_id string, base double, closure array<struct<skill_id:string,chars:long,conflicts:array<string>>>")
+    rel = spark.createDataFrame(relations, "task_id string, `from` string, `to` string, kind string, value double, background array<string>, supported boolean")
+    got = lambda n, b: [tuple(r)[2:] for r in selection.select_roots(df, rel, 0.5, n, b).filter("task_id = 't'").orderBy("place").collect()]
+    # Texts a, d and c with separators take 11 characters, e two more.
+    assert got(9, 40) == [("a", 3.0, "root"), ("c", 3.0, "root"), ("b", 2.0, "declared_conflict"), ("e", 1.0, "root"), ("g", 3.0, "root"), ("f", 0.1, "budget")]
+    assert got(9, 11) == [("a", 3.0, "root"), ("c", 3.0, "root"), ("b", 2.0, "declared_conflict"), ("e", 1.0, "budget"), ("f", 0.1, "budget"), ("g", -1.0, "budget")]
+    assert got(1, 40) == [("a", 3.0, "root"), ("b", 2.0, "root_limit"), ("c", 3.0, "root_limit"), ("e", 1.5, "root_limit"), ("f", 0.1, "root_limit"), ("g", -1.0, "root_limit")]
+    assert [tuple(r) for r in selection.select_roots(df, rel, 0.5, 1, 40).filter("task_id = 'u' and verdict = 'root'").collect()] == [("u", 1, "a", 0.0, "root")]
 
 
 def test_folding_respects_conflicts(spark):
