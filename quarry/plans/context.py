@@ -250,7 +250,7 @@ def decision_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.element_at(F.array(*map(F.lit, ("target", "regression", "transfer"))), (k % 3 + 1).cast("int"))
     cases = p.filter(~((plan % 8 == 0) & (k % 3 == 2))).select(plan.alias("plan_id"), split.alias("split"), F.when(k % 211 != 0, (k % 7 - 2 + plan % 5) / 10.0).alias("gain"), F.when(k % 503 != 0, k % 5 / 10.0).alias("spread"))
     verified = F.when(plan % 6 == 0, "pass").when(plan % 6 == 1, "unknown").when(plan % 6 == 2, "fail")
-    plans = p.filter("p_partkey between 1 and 40").select(plan.alias("plan_id"), (plan * 10).alias("planned_calls"), (plan % 9 != 0).alias("unchanged"), F.when(plan % 7 != 0, plan / 2.0).alias("cost"), verified.alias("verified"))
+    plans = p.select(plan.alias("plan_id"), (plan * 10).alias("planned_calls"), (plan % 9 != 0).alias("unchanged"), F.when(plan % 7 != 0, plan / 2.0).alias("cost"), verified.alias("verified")).distinct()
     criteria = {
         "target_mean_gain_must_exceed": 0.23, "maximum_per_case_regression": 0.15, "maximum_evaluation_calls": 350, "transfer_claim": True, "transfer_mean_gain_must_exceed": 0.23,
         "maximum_per_case_transfer_regression": 0.15, "maximum_score_range": 0.5, "maximum_monetary_cost": 18.2,
@@ -261,7 +261,7 @@ def decision_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["decision_gates"] = """WITH c AS (SELECT p_partkey % 40 AS plan_id, p_partkey % 3 AS s, CASE WHEN p_partkey % 211 <> 0 THEN (p_partkey % 7 - 2 + p_partkey % 40 % 5) / CAST(10 AS DOUBLE) END AS g, CASE WHEN p_partkey % 503 <> 0 THEN p_partkey % 5 / CAST(10 AS DOUBLE) END AS r
  FROM part WHERE NOT (p_partkey % 40 % 8 = 0 AND p_partkey % 3 = 2)),
 m AS (SELECT plan_id, count(*) = count(g) AS whole, count(*) = count(r) AS ranged, count(*) FILTER (s = 0) AS nt, count(*) FILTER (s = 1) AS nr, count(*) FILTER (s = 2) AS nx, avg(g) FILTER (s = 0) AS t, min(g) FILTER (s = 1) AS lo, avg(g) FILTER (s = 2) AS x, min(g) FILTER (s = 2) AS xlo, max(r) AS r FROM c GROUP BY plan_id),
-q AS (SELECT p.p AS plan_id, coalesce(whole, false) AS w, m.* EXCLUDE (plan_id, whole) FROM (SELECT p_partkey % 40 AS p FROM part WHERE p_partkey BETWEEN 1 AND 40) p LEFT JOIN m ON m.plan_id = p.p),
+q AS (SELECT p.p AS plan_id, coalesce(whole, false) AS w, m.* EXCLUDE (plan_id, whole) FROM (SELECT DISTINCT p_partkey % 40 AS p FROM part) p LEFT JOIN m ON m.plan_id = p.p),
 g AS (SELECT plan_id, w, 'complete_results' AS gate, w AS passed FROM q UNION ALL SELECT plan_id, w, 'target_gain', CASE WHEN w THEN t > 0.23 END FROM q
  UNION ALL SELECT plan_id, w, 'regression_non_decrease', CASE WHEN w THEN coalesce(lo >= -0.15, true) END FROM q UNION ALL SELECT plan_id, w, 'call_budget', plan_id * 10 <= 350 FROM q
  UNION ALL SELECT plan_id, w, 'scope_bound', coalesce(nt, 0) > 0 AND coalesce(nr, 0) > 0 AND coalesce(nx, 0) > 0 FROM q UNION ALL SELECT plan_id, w, 'versions_unchanged', plan_id % 9 <> 0 FROM q

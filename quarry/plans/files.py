@@ -79,22 +79,22 @@ def knowledge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["knowledge_search"] = "SELECT url AS path, sha256(html) AS digest FROM pages WHERE contains(lower(html), 'the') ORDER BY url LIMIT 20"
 
 
-def region_reports(spark: SparkSession, sf_dir: str, copies: int) -> str:
-    """A folder with the region's reports as text files, each in several folders; the root's path."""
+def page_reports(spark: SparkSession, sf_dir: str, copies: int) -> str:
+    """A folder with reports over the pages, one for each 25 of them, as text files, each in several folders; the root's path."""
     root = new_folder(spark, "reports")
-    nation = table(spark, sf_dir, "nation").withColumn("n_regionkey", F.col("n_regionkey").cast("string"))
-    text = vault.report_text(nation, "n_regionkey", "n_name")
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 25).cast("string").alias("part"), F.concat_ws(" ", F.lpad("page_id", 9, "0"), "url", F.sha2("html", 256)).alias("line"))
+    text = vault.report_text(pages, "part", "line")
     at = F.explode(F.array(*map(F.lit, range(copies))))
-    text.select(at.alias("copy"), "*").select(F.concat(F.when(F.col("n_regionkey") == "0", "reports").otherwise(F.concat(F.lit("r"), "n_regionkey")), F.lit("-"), "copy").alias("folder"), "text").write.partitionBy("folder").text(root)
+    text.select(at.alias("copy"), "*").select(F.concat(F.when(F.col("part") == "0", "reports").otherwise(F.concat(F.lit("r"), "part")), F.lit("-"), "copy").alias("folder"), "text").write.partitionBy("folder").text(root)
     return root
 
 
-REPORTS = r"""WITH t AS (SELECT n_regionkey AS k, '## ' || n_regionkey || chr(10) || chr(10) || string_agg('- ' || n_name, chr(10) ORDER BY n_name) || chr(10) AS text FROM nation GROUP BY 1)"""
+REPORTS = r"""WITH t AS (SELECT page_id // 25 AS k, '## ' || page_id // 25 || chr(10) || chr(10) || string_agg('- ' || lpad(CAST(page_id AS VARCHAR), 9, '0') || ' ' || url || ' ' || sha256(html), chr(10) ORDER BY page_id) || chr(10) AS text FROM pages GROUP BY 1)"""
 
 
 @query
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = vault.markdown_files(spark, region_reports(spark, sf_dir, 1), ("folder=reports-0",), "*.txt")
+    files = vault.markdown_files(spark, page_reports(spark, sf_dir, 1), ("folder=reports-0",), "*.txt")
     return files.select(F.split("path", "/")[0].alias("folder"), F.sha2("content", 256).alias("digest"), "bytes")
 
 
@@ -103,7 +103,7 @@ ORACLES["report_files"] = REPORTS + "\nSELECT 'folder=r' || k || '-0' AS folder,
 
 @query
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = vault.content_hashes(spark, region_reports(spark, sf_dir, 1))
+    files = vault.content_hashes(spark, page_reports(spark, sf_dir, 1))
     return files.filter(F.col("path").endswith(".txt")).select(F.regexp_extract("path", r"folder=([^/]+)/", 1).alias("folder"), "current_hash", "bytes")
 
 
@@ -112,7 +112,7 @@ ORACLES["file_hashes"] = REPORTS + "\nSELECT CASE k WHEN 0 THEN 'reports' ELSE '
 
 @query
 def imported_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vault.imported_traces(spark, region_reports(spark, sf_dir, 3)).filter(F.col("file").endswith(".txt")).select("trace_id", "copies", "bytes", F.decode("content", "UTF-8").alias("content"))
+    return vault.imported_traces(spark, page_reports(spark, sf_dir, 3)).filter(F.col("file").endswith(".txt")).select("trace_id", "copies", "bytes", F.decode("content", "UTF-8").alias("content"))
 
 
 ORACLES["imported_traces"] = REPORTS + "\nSELECT sha256(text) AS trace_id, CAST(3 AS BIGINT) AS copies, CAST(strlen(text) AS BIGINT) AS bytes, text AS content FROM t"

@@ -10,6 +10,7 @@ from quarry.operators import events as E
 from quarry.operators import evidence as V
 from quarry.operators import latest as L
 from quarry.operators import records as S
+from quarry.operators import reporting as R
 from quarry.operators import selection as C
 from quarry.plans.registry import ORACLES, query
 from quarry.plans.runs import EVENTS, HALVED, events
@@ -463,3 +464,41 @@ def call_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["call_states"] = """SELECT i AS request_id, n AS returns, CASE n WHEN 0 THEN 'open' WHEN 1 THEN 'returned' ELSE 'conflict' END AS state
 FROM (SELECT o_orderkey AS i, CAST(o_orderkey % 5 <> 0 AS BIGINT) + CAST(o_orderkey % 7 = 0 AS BIGINT) AS n FROM orders)"""
+
+
+@query
+def progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as traces, their orders as checkpoints and cycles, lines as slots and supplied skills, events as reported use."""
+    o, li, e = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "events"))
+    i = F.col("o_orderkey")
+    pick = lambda c, *values: F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
+    manifests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trace_id"), (F.col("c_custkey") * 10).alias("byte_length"))
+    checkpoints = o.select(F.col("o_custkey").alias("trace_id"), (i % 100).alias("next_raw_byte"), i.alias("created_at"), (i % 7).alias("event_count"), (i % 3 == 0).alias("index_complete"))
+    bindings = o.select(pick(i, "bound", "ambiguous", "open").alias("status"), (i % 4).alias("resolved"))
+    cycles = o.select(i.alias("cycle_id"), (i % 5).alias("signature_hits"), F.when(i % 6 != 0, i % 3).alias("range_reads"), (i * 2).alias("body_bytes"), F.when(i % 9 == 0, F.array(F.lit("analyzed"))).when(i % 9 == 1, F.array(F.lit("analyzed"), F.lit("failed"))).alias("segments"))
+    diagnoses = o.select(F.when(i % 8 != 0, pick(i, "necessary", "unnecessary")).alias("verdict"))
+    selected = li.select(F.col("l_orderkey").alias("manifest_id"), F.col("l_suppkey").cast("string").alias("skill_id"), F.lit("r1").alias("revision"))
+    k = F.col("event_id")
+    declared = F.array(F.struct(F.concat(F.lit("s"), k % 3).alias("skill_id"), pick(k, "read", "behavior", "seen").alias("level")), F.struct(F.lit("s9").alias("skill_id"), F.lit(None).cast("string").alias("level")))
+    reported = e.select(k.alias("run_id"), (k % 4 - 1).cast("int").alias("place"), declared.alias("declared"))
+    effects = e.select(pick(k, "known", "unknown").alias("status"))
+    slots = li.select(pick(F.col("l_partkey"), "candidate", "error", "noop", "planned", "running").alias("status"))
+    return R.together(R.memory_progress(manifests, checkpoints, bindings, cycles, diagnoses), R.consumption_layers(selected, reported, effects), R.proposal_attempts(slots))
+
+
+ORACLES["progress_report"] = """WITH k AS (SELECT o_custkey AS t, arg_max(o_orderkey % 7, (o_orderkey % 100, o_orderkey)) AS n, arg_max(o_orderkey % 3 = 0, (o_orderkey % 100, o_orderkey)) AS done FROM orders GROUP BY o_custkey),
+t AS (SELECT c_custkey * 10 AS b, n, coalesce(done, false) AS done FROM customer LEFT JOIN k ON t = c_custkey),
+x AS (SELECT event_id % 3 AS s, event_id % 4 - 1 AS place FROM events WHERE event_id % 4 - 1 IN (0, 1)),
+r(section, metric, key, value) AS (
+ SELECT 'progress', unnest(['traces', 'archived_bytes', 'indexed_events', 'incomplete_traces']), NULL, unnest([count(*), sum(b), sum(n), count(*) FILTER (NOT done)]) FROM t
+ UNION ALL SELECT 'progress', unnest(['derived_goal_bindings', 'signature_hits', 'range_reads', 'body_bytes']), NULL, unnest([sum(o_orderkey % 4), sum(o_orderkey % 5), sum(o_orderkey % 3) FILTER (o_orderkey % 6 <> 0), sum(o_orderkey * 2)]) FROM orders
+ UNION ALL SELECT 'progress', 'goal_binding_status', ['bound', 'ambiguous', 'open'][o_orderkey % 3 + 1] AS y, count(*) FROM orders GROUP BY y
+ UNION ALL SELECT 'progress', 'segment_status', unnest(['analyzed', 'failed']), unnest([count(*) FILTER (o_orderkey % 9 < 2), count(*) FILTER (o_orderkey % 9 = 1)]) FROM orders
+ UNION ALL SELECT 'progress', 'necessity_verdict', CASE WHEN o_orderkey % 8 = 0 THEN 'legacy_unrecorded' WHEN o_orderkey % 2 = 0 THEN 'necessary' ELSE 'unnecessary' END AS y, count(*) FROM orders GROUP BY y
+ UNION ALL SELECT 'consumption', 'provided_manifests', l_suppkey || '@r1', count(DISTINCT l_orderkey) FROM lineitem GROUP BY l_suppkey
+ UNION ALL SELECT 'consumption', 'observed_level', CASE WHEN place = 1 OR s = 2 THEN 'unclassified' WHEN s = 0 THEN 'read' ELSE 'behavior' END AS y, count(*) FROM x GROUP BY y
+ UNION ALL SELECT 'consumption', 'observed_skill', CASE WHEN place = 1 THEN 's9' ELSE 's' || s END AS y, count(*) FROM x GROUP BY y
+ UNION ALL SELECT 'consumption', 'effect_status', CASE WHEN event_id % 2 = 0 THEN 'known' ELSE 'unknown' END AS y, count(*) FROM events GROUP BY y
+ UNION ALL SELECT 'proposals', unnest(['planned_slots', 'finished_slots']), NULL, unnest([count(*), count(*) FILTER (l_partkey % 5 < 3)]) FROM lineitem
+ UNION ALL SELECT 'proposals', 'slot_status', ['candidate', 'error', 'noop', 'planned', 'running'][l_partkey % 5 + 1] AS y, count(*) FROM lineitem GROUP BY y)
+SELECT section, metric, key, CAST(value AS BIGINT) AS value FROM r"""

@@ -136,8 +136,11 @@ def read_ranges(chunks: DataFrame, reads: DataFrame, key: str, size: int = 1024)
 def imported_traces(spark: SparkSession, source: str) -> DataFrame:
     """Trace files with their content and its digest, which is their id; files of the same content are one trace."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
-    rows = files.select(F.sha2("content", 256).alias("trace_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "content")
-    return rows.groupBy("trace_id").agg(F.min("file").alias("file"), F.count("*").alias("copies"), F.first("length").alias("bytes"), F.first("content").alias("content"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    ids = files.select(F.sha2("content", 256).alias("trace_id"), name.alias("file"), "path", F.col("length").alias("bytes"))
+    # Only digests are grouped; the content of one file of each is fetched afterwards.
+    one = ids.groupBy("trace_id").agg(F.min(F.struct("file", "path", "bytes")).alias("x"), F.count("*").alias("copies")).select("trace_id", "x.*", "copies")
+    return files.select("path", "content").join(one, "path").select("trace_id", "file", "copies", "bytes", "content")
 
 
 def replace_text(spark: SparkSession, path: str, text: str) -> None:

@@ -1,42 +1,28 @@
-"""Texts that hand a job to an external scheduler; nothing is installed, and the job itself runs with what is available now."""
+"""Texts that hand a job to cron or to a systemd timer; nothing is installed, and the job itself runs with what is available now."""
 
 from __future__ import annotations
 
 import re
 import shlex
-from xml.sax.saxutils import escape
+from datetime import datetime
 
-FORMATS = ("cron", "systemd", "launchd", "windows-task")
+#: The fields of a unit file for each section, in its order.
+SERVICE = {"Unit": ("Description",), "Service": ("Type", "ExecStart")}
+TIMER = {"Unit": ("Description",), "Timer": ("OnCalendar", "Persistent"), "Install": ("WantedBy",)}
+FORMATS = ("cron", "systemd")
 
 
-def daily(time: str) -> tuple[int, int]:
-    """Hour and minute of HH:MM."""
-    found = re.fullmatch(r"(\d{1,2}):(\d{2})", time)
-    if not found or int(found[1]) > 23 or int(found[2]) > 59:
-        raise ValueError("a daily time is HH:MM")
-    return int(found[1]), int(found[2])
+def unit(layout: dict[str, tuple[str, ...]], **values: str) -> str:
+    return "\n\n".join("\n".join([f"[{section}]", *[f"{k}={values[k]}" for k in keys]]) for section, keys in layout.items())
 
 
 def schedule(command: list[str], name: str, time: str = "09:00", kind: str = "cron") -> dict[str, str]:
-    """What a scheduler needs to run a command once a day: its entry, and the commands that put it in and take it out.
-
-    An unknown kind is cron. The name may hold letters, digits, dots, dashes and underscores.
-    """
-    if not re.fullmatch(r"[\w.-]+", name):
+    """What it takes to run a command once a day: a crontab line, or the texts of a service and its timer. An unknown kind is cron."""
+    if re.search(r"[^\w.-]", name) or not name:
         raise ValueError("a schedule's name is made of letters, digits, dots, dashes and underscores")
-    hour, minute = daily(time)
-    line, clock = shlex.join(command), f"{hour:02d}:{minute:02d}"
-    if kind == "systemd":
-        service = f"[Unit]\nDescription={name}\n\n[Service]\nType=oneshot\nExecStart={line}"
-        timer = f"[Unit]\nDescription=Run {name} daily\n\n[Timer]\nOnCalendar=*-*-* {clock}:00\nPersistent=true\n\n[Install]\nWantedBy=timers.target"
-        return {"format": kind, "service": service, "timer": timer, "install": f"systemctl --user daemon-reload && systemctl --user enable --now {name}.timer", "uninstall": f"systemctl --user disable --now {name}.timer"}
-    if kind == "launchd":
-        words = "".join(f"<string>{escape(w)}</string>" for w in command)
-        plist = f'<?xml version="1.0" encoding="UTF-8"?>\n<plist version="1.0"><dict><key>Label</key><string>{name}</string><key>ProgramArguments</key><array>{words}</array><key>StartCalendarInterval</key><dict><key>Hour</key><integer>{hour}</integer><key>Minute</key><integer>{minute}</integer></dict></dict></plist>'
-        target = f"~/Library/LaunchAgents/{name}.plist"
-        return {"format": kind, "plist": plist, "install": f"launchctl bootstrap gui/$(id -u) {target}", "uninstall": f"launchctl bootout gui/$(id -u)/{name}"}
-    if kind == "windows-task":
-        quoted = " ".join(f'"{w}"' if re.search(r"\s", w) else w for w in command).replace('"', '\\"')
-        return {"format": kind, "install": f'schtasks /Create /TN "{name}" /SC DAILY /ST {clock} /TR "{quoted}" /F', "uninstall": f'schtasks /Delete /TN "{name}" /F'}
-    entry = f"{minute} {hour} * * * {line} # {name}"
-    return {"format": "cron", "cron": entry, "install": f"(crontab -l 2>/dev/null; echo {shlex.quote(entry)}) | crontab -", "uninstall": f"crontab -l 2>/dev/null | grep -vF {shlex.quote('# ' + name)} | crontab -"}
+    at = datetime.strptime(time, "%H:%M")
+    line = shlex.join(command)
+    if kind != "systemd":
+        return {"format": "cron", "cron": f"{at.minute} {at.hour} * * * {line} # {name}"}
+    service = unit(SERVICE, Description=name, Type="oneshot", ExecStart=line)
+    return {"format": kind, "service": service, "timer": unit(TIMER, Description=f"{name}, daily", OnCalendar=f"*-*-* {at:%H:%M}:00", Persistent="true", WantedBy="timers.target")}
