@@ -233,3 +233,23 @@ def touched(retrievals: DataFrame, items: DataFrame) -> DataFrame:
     j = items.join(seen, "id", "left")
     at = F.greatest("last_retrieved_at", "_at")
     return j.withColumns({"retrieval_count": F.coalesce("retrieval_count", F.lit(0)) + F.coalesce("_n", F.lit(0)), "last_retrieved_at": at, "updated_at": F.greatest("updated_at", "_at")}).drop("_n", "_at")
+
+
+def resolved_settings(folders: DataFrame, configs: DataFrame, general: dict[str, str], bases: list[str]) -> DataFrame:
+    """For each folder the settings in the nearest config (folder, text as JSON) in it or above it, over the general ones.
+
+    folder, config_folder (null: none), settings (text by name; what is no text is JSON) and bases, the general ones first. A
+    config that cannot be read counts as one without settings.
+    """
+    parts = F.split("folder", "/")
+    prefix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = folders.select("folder", F.posexplode(prefix).alias("depth", "at"))
+    near = above.join(configs.select(F.col("folder").alias("at"), "text"), "at").groupBy("folder").agg(F.max_by(F.struct("at", "text"), "depth").alias("x"))
+    own = F.from_json(F.col("x.text"), "map<string,string>")
+    own_bases = F.from_json(F.get_json_object(F.col("x.text"), "$.knowledgeBases"), "array<string>")
+    base = F.create_map(*[F.lit(x) for pair in general.items() for x in pair]) if general else F.create_map().cast("map<string,string>")
+    known = F.map_filter(F.coalesce(own, F.create_map().cast("map<string,string>")), lambda k, v: k != "knowledgeBases")
+    rest = F.map_filter(base, lambda k, v: ~F.map_contains_key(known, k))
+    start = F.array(*map(F.lit, bases)) if bases else F.array().cast("array<string>")
+    return folders.select("folder").join(near, "folder", "left").select(
+        "folder", F.col("x.at").alias("config_folder"), F.map_concat(rest, known).alias("settings"), F.concat(start, F.coalesce(own_bases, F.array().cast("array<string>"))).alias("bases"))
