@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import admission, citations, folding, graph
+from quarry.operators import admission, checks, citations, folding, graph
 from quarry.plans.registry import ORACLES, query
 from quarry.sources import adapters
 from quarry.sources.adapters import table, with_sql
@@ -140,3 +140,72 @@ c AS (SELECT draft_id, '$.summary.claims[' || i || '].evidence_refs[0]' AS path,
 SELECT draft_id, path, ref_id, 'original body not provided' AS reason FROM c WHERE draft_id % 97 <> 0 AND (draft_id, ref_id) NOT IN (SELECT (draft_id, ref_id) FROM provided)
 UNION ALL SELECT draft_id, '$.read_requests[' || i || ']', r, 'not an available unread catalog entry' FROM l WHERE draft_id % 97 <> 0 AND ((draft_id, r) NOT IN (SELECT (draft_id, ref_id) FROM readable) OR (draft_id, r) IN (SELECT (draft_id, ref_id) FROM provided))
 UNION ALL SELECT DISTINCT draft_id, '$', NULL, 'draft is not JSON' FROM l WHERE draft_id % 97 = 0"""
+
+
+@query
+def episode_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as episodes with their lines as events; customers are contexts, suppliers snapshots, parts feedback."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    episodes = o.select(
+        i.alias("episode_id"), F.concat(F.lit("p"), c % 3).alias("project_id"), F.when(i % 4 != 0, i % 120).alias("snapshot_ref"), F.when(i % 5 != 0, c).alias("context_ref"),
+        F.when(i % 7 != 0, c % 11).alias("task_id"), F.when(i % 3 != 0, F.lit("r1")).alias("task_revision"), (i % 6 == 0).alias("traced"))
+    contexts = table(spark, sf_dir, "customer").filter("c_custkey % 50 <> 0").select(F.col("c_custkey").alias("context_id"), F.concat(F.lit("p"), F.when(F.col("c_custkey") % 40 == 0, 9).otherwise(F.col("c_custkey") % 3)).alias("project_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 120).alias("snapshot_digest"), (F.col("c_custkey") % 12).alias("task_ref"), F.when(F.col("c_custkey") % 9 == 0, "r2").otherwise("r1").alias("task_revision"))
+    snapshots = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("snapshot_id"), F.concat(F.lit("p"), F.col("s_suppkey") % 3).alias("project_id"))
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    events = li.select(k.alias("episode_id"), F.when((k % 8 == 0) & (n == 2), 1).otherwise(n).cast("long").alias("event_id"), F.when(n > 1, F.when(k % 9 == 0, n + 5).otherwise(n - 1)).cast("long").alias("parent_event_id"), F.when(n == 3, k - k % 10).when(n == 4, k).alias("parent_episode_id"))
+    links = li.select(k.alias("episode_id"), F.col("l_partkey").alias("feedback_id"))
+    feedback = table(spark, sf_dir, "part").filter("p_partkey % 10 <> 0").join(links.groupBy(F.col("feedback_id").alias("p_partkey")).agg(F.min("episode_id").alias("subject_ref")), "p_partkey", "left").join(episodes.select(F.col("episode_id").alias("subject_ref"), "project_id"), "subject_ref", "left").select(F.col("p_partkey").alias("feedback_id"), F.coalesce("project_id", F.lit("none")).alias("project_id"), "subject_ref")
+    return checks.episode_problems(episodes, events, links, feedback, snapshots, contexts)
+
+
+ORACLES["episode_problems"] = """WITH e AS (SELECT o_orderkey AS i, 'p' || o_custkey % 3 AS p, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 120 END AS s, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS c, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 11 END AS t, CASE WHEN o_orderkey % 3 <> 0 THEN 'r1' END AS r, o_orderkey % 6 = 0 AS traced FROM orders),
+c AS (SELECT c_custkey AS c, 'p' || CASE WHEN c_custkey % 40 = 0 THEN 9 ELSE c_custkey % 3 END AS cp, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 120 END AS cs, c_custkey % 12 AS ct, CASE WHEN c_custkey % 9 = 0 THEN 'r2' ELSE 'r1' END AS cr FROM customer WHERE c_custkey % 50 <> 0),
+s AS (SELECT s_suppkey AS s, 'p' || s_suppkey % 3 AS sp FROM supplier),
+j AS (SELECT * FROM e LEFT JOIN s USING (s) LEFT JOIN c USING (c)),
+v AS (SELECT l_orderkey AS i, CAST(CASE WHEN l_orderkey % 8 = 0 AND l_linenumber = 2 THEN 1 ELSE l_linenumber END AS BIGINT) AS v, CASE WHEN l_linenumber > 1 THEN CASE WHEN l_orderkey % 9 = 0 THEN l_linenumber + 5 ELSE l_linenumber - 1 END END AS pv,
+ CASE l_linenumber WHEN 3 THEN l_orderkey - l_orderkey % 10 WHEN 4 THEN l_orderkey END AS pe FROM lineitem),
+n AS (SELECT v.*, coalesce(pe, v.i) AS home, e.p, h.p AS hp, h.traced FROM v JOIN e ON e.i = v.i LEFT JOIN e h ON h.i = coalesce(pe, v.i) WHERE pv IS NOT NULL OR pe IS NOT NULL),
+b AS (SELECT l_partkey AS f, min(l_orderkey) AS subject FROM lineitem GROUP BY l_partkey),
+f AS (SELECT p_partkey AS f, coalesce(e.p, 'none') AS fp, subject FROM part LEFT JOIN b ON b.f = p_partkey LEFT JOIN e ON e.i = subject WHERE p_partkey % 10 <> 0),
+l AS (SELECT l_orderkey AS i, e.p, l_partkey AS k, fp, subject FROM lineitem JOIN e ON e.i = l_orderkey LEFT JOIN f ON f.f = l_partkey),
+r(record, problem, detail) AS (SELECT i, 'snapshot_missing', NULL FROM j WHERE s IS NOT NULL AND sp IS NULL UNION ALL SELECT i, 'snapshot_project', NULL FROM j WHERE sp <> p UNION ALL SELECT i, 'context_missing', NULL FROM j WHERE c IS NOT NULL AND cp IS NULL
+ UNION ALL SELECT i, 'context_project', NULL FROM j WHERE cp <> p UNION ALL SELECT i, 'context_snapshot', NULL FROM j WHERE cs <> s UNION ALL SELECT i, 'context_task', NULL FROM j WHERE ct <> t UNION ALL SELECT i, 'context_revision', NULL FROM j WHERE cr <> r
+ UNION ALL SELECT i, 'repeated_event', v FROM v GROUP BY i, v HAVING count(*) > 1
+ UNION ALL SELECT i, 'parent_project', v FROM n WHERE home <> i AND hp <> p
+ UNION ALL SELECT i, 'parent_event_absent', v FROM n WHERE pv IS NOT NULL AND hp IS NOT NULL AND (home = i OR NOT traced) AND NOT EXISTS (SELECT 1 FROM v w WHERE w.i = n.home AND w.v = n.pv)
+ UNION ALL SELECT i, CASE WHEN fp IS NULL THEN 'feedback_missing' WHEN fp <> p THEN 'feedback_project' ELSE 'feedback_subject' END, k FROM l WHERE fp IS NULL OR fp <> p OR subject <> i)
+SELECT CAST(record AS VARCHAR) AS record, problem, CAST(detail AS VARCHAR) AS detail FROM r"""
+
+
+@query
+def snapshot_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as skills of a snapshot for each 10 keys, with relations to near keys and a file each."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).cast("string").alias("snapshot_id"), F.col("p_partkey").alias("k"))
+    k = F.col("k")
+    name = lambda c: c.cast("string")
+    skills = p.select("snapshot_id", name(k).alias("skill_id"), F.concat(F.lit("p"), (k % 77 == 0).cast("int")).alias("project_id"))
+    snapshots = p.select("snapshot_id", F.lit("p0").alias("project_id")).distinct()
+    needs = F.array_compact(F.array(F.when(k % 3 == 0, k + 1), F.when(k % 9 == 0, k + 1), F.when(k % 17 == 0, k - 1), F.when(k % 29 == 0, k)))
+    fights = F.array_compact(F.array(F.when(k % 4 == 0, k + 1), F.when(k % 31 == 0, k)))
+    file = F.array_compact(F.array(F.when(k % 2 == 0, F.concat(name(k), F.lit("/a"))), F.when(k % 23 == 0, F.concat(name(k + 1), F.lit("/b")))))
+    each = lambda field, refs: p.select("snapshot_id", name(k).alias("skill_id"), F.lit(field).alias("field"), F.explode(refs.cast("array<string>")).alias("ref"))
+    assets = p.filter("k % 2 = 0 and k % 13 <> 0 or k % 19 = 0").select("snapshot_id", F.concat(name(k), F.lit("/a")).alias("path"))
+    return checks.snapshot_problems(snapshots, skills, each("depends_on", needs).unionByName(each("declared_conflicts", fights)).unionByName(each("asset_refs", file)), assets)
+
+
+ORACLES["snapshot_problems"] = """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_partkey // 10 AS s FROM part),
+r AS (SELECT s, k, 'depends_on' AS field, k + 1 AS x FROM p WHERE k % 3 = 0 UNION ALL SELECT s, k, 'depends_on', k + 1 FROM p WHERE k % 9 = 0 UNION ALL SELECT s, k, 'depends_on', k - 1 FROM p WHERE k % 17 = 0 UNION ALL SELECT s, k, 'depends_on', k FROM p WHERE k % 29 = 0
+ UNION ALL SELECT s, k, 'declared_conflicts', k + 1 FROM p WHERE k % 4 = 0 UNION ALL SELECT s, k, 'declared_conflicts', k FROM p WHERE k % 31 = 0),
+a AS (SELECT s, k, k AS owner, k || '/a' AS path FROM p WHERE k % 2 = 0 UNION ALL SELECT s, k, k + 1, (k + 1) || '/b' FROM p WHERE k % 23 = 0),
+h AS (SELECT s, k || '/a' AS path FROM p WHERE k % 2 = 0 AND k % 13 <> 0 OR k % 19 = 0),
+v AS (SELECT r.* FROM r JOIN p ON p.s = r.s AND p.k = r.x WHERE r.x <> r.k),
+c(root, node) AS (SELECT k, k FROM p UNION SELECT c.root, v.x FROM c JOIN v ON v.k = c.node AND v.field = 'depends_on'),
+q(record, problem, detail) AS (
+ SELECT s || '/' || k, 'skill_project', NULL FROM p WHERE k % 77 = 0 UNION ALL SELECT s || '/' || k, 'repeated_reference', field || ' ' || x FROM r GROUP BY s, k, field, x HAVING count(*) > 1
+ UNION ALL SELECT DISTINCT s || '/' || k, 'reference_to_itself', field FROM r WHERE x = k UNION ALL SELECT DISTINCT r.s || '/' || r.k, 'unknown_reference', field || ' ' || x FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.s = r.s AND p.k = r.x)
+ UNION ALL SELECT s || '/' || k, 'asset_of_another', path FROM a WHERE owner <> k UNION ALL SELECT s || '/' || k, 'asset_missing', path FROM a WHERE (s, path) NOT IN (SELECT (s, path) FROM h)
+ UNION ALL SELECT CAST(s AS VARCHAR), 'asset_unowned', path FROM h WHERE (s, path) NOT IN (SELECT (s, path) FROM a)
+ UNION ALL SELECT DISTINCT p.s || '/' || x.root, 'dependency_cycle', NULL FROM c x JOIN c y ON x.root = y.node AND x.node = y.root AND x.root <> x.node JOIN p ON p.k = x.root
+ UNION ALL SELECT DISTINCT p.s || '/' || x.root, 'dependency_conflict', NULL FROM c x JOIN c y ON x.root = y.root JOIN v ON v.field = 'declared_conflicts' AND v.k = x.node AND v.x = y.node JOIN p ON p.k = x.root)
+SELECT record, problem, detail FROM q"""
