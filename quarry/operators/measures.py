@@ -12,7 +12,10 @@ TOKEN_FIELDS = ("input_tokens", "output_tokens", "total_tokens")
 
 def normalized_usage(supplied: Column) -> Column:
     """Usage (JSON text) with what is malformed set to null, and a diagnostic (path, reason) for each field so lost."""
-    v = F.try_parse_json(supplied)
+    return F.transform(F.array(F.try_parse_json(supplied)), lambda v: usage_of(supplied, v))[0]  # parsed once
+
+
+def usage_of(supplied: Column, v: Column) -> Column:
     kind = lambda path: F.schema_of_variant(F.variant_get(v, path, "variant"))
     is_object = lambda k: k.startswith("OBJECT")
     absent = lambda k: k.isNull() | (k == "VOID")

@@ -32,7 +32,8 @@ def parse_items(files: DataFrame) -> DataFrame:
     """Items from the JSON front matter of files; the body's claim wins over the content. Unreadable files drop out."""
     item = F.from_json(F.regexp_extract("content", FRONT, 1), MEMORY_ITEM, {"mode": "PERMISSIVE"})
     claim = F.regexp_replace(F.regexp_extract("content", CLAIM, 1), r"^\s+|\s+$", "")
-    rows = files.select("path", item.alias("i"), claim.alias("claim")).filter("i is not null and i.id is not null")
+    # Behind the generator both are taken once, not again for each field.
+    rows = files.select("path", F.inline(F.array(F.struct(item.alias("i"), claim.alias("claim"))))).filter("i is not null and i.id is not null")
     content = F.when(F.col("claim") != "", F.col("claim")).otherwise(F.col("i.content"))
     return rows.select("path", *[(content if f == "content" else F.col(f"i.{f}")).alias(f) for f in MEMORY_ITEM.fieldNames()])
 
@@ -97,7 +98,7 @@ def legacy_facts(files: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     body = F.regexp_extract("content", layout, 2)
     item = F.from_json(F.when(F.col("content").rlike(layout), F.regexp_extract("content", layout, 1)), MEMORY_ITEM)
     claim = F.when(F.contains(body, F.lit("## Claim\n\n")), F.regexp_extract(body, r"(?s)## Claim\n\n(.*?)(?=\n## Metadata\n|\s*\z)", 1))
-    rows = files.select("path", item.alias("i"), claim.alias("claim"))
+    rows = files.select("path", F.inline(F.array(F.struct(item.alias("i"), claim.alias("claim")))))  # taken once, not again for each field
     wanted = (F.col("i.status") == "verified") & ((F.col("i.kind") == "personal") | ((F.col("i.kind") == "project") & (F.col("i.scope") == project)))
     text = F.coalesce(F.regexp_replace("claim", r"\A\s+|\s+\z", ""), F.col("i.content"))
     parsed = F.col("i").isNotNull() & F.coalesce("i.id", "i.status", "i.kind", "i.content").isNotNull()
