@@ -5,7 +5,8 @@ Encoding keeps the symbols of a word in a doubly linked list and the possible me
 Decoding concatenates vocabulary strings. Words repeat, so each task keeps the encoded words in a bounded table.
 
 Defined results: a null text counts as empty; an empty text, or one of white space only, has no ids and decodes to
-the empty string; strings of special tokens become these tokens, as the file says; each row is handled by itself, so
+the empty string; strings of special tokens become these tokens, as the file says; very long texts, and very long words, are encoded whole;
+each row is handled by itself, so
 ties and repeated rows need nothing; an empty table gives an empty table; other columns are not read.
 """
 

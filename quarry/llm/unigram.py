@@ -9,7 +9,8 @@ vocabulary has byte pieces, else neighbouring unknown characters count as one.
 Scores are rounded to multiples of 2^-16, so that sums are exact and stretches that no piece crosses can be counted by
 themselves and kept in a bounded table.
 
-Defined results: a null or empty text has 0 tokens; each row is handled by itself, so ties and repeated rows need
+Defined results: a null or empty text has 0 tokens; very long texts are counted whole, in time that grows with their length;
+each row is handled by itself, so ties and repeated rows need
 nothing; an empty table gives an empty table; other columns are not read.
 """
 

@@ -129,3 +129,10 @@ def test_arc_versions(version):
         list(warc.parse_arc(data[:-30]))
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"http://a/ 0.0.0.0 2024 text/html 1\nx\n"))
+
+
+def test_names_that_clash(spark):
+    names = "payload_bytes long, payload_digest string, record_type string, refers_to long, n_chars long, text string, record string, archive string"
+    df = spark.createDataFrame([(i, f"u{i % 2}", f"<p>page, {i % 2}</p>", *([None] * 8)) for i in range(6)], "page_id long, url string, html string, " + names)
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect()) == [(0, "response", None), (1, "response", None), *[(i, "revisit", i % 2) for i in range(2, 6)]]
+    assert {(r.page_id, r.text) for r in html_text.extract_pages(df).collect()} == {(i, f"page, {i % 2}") for i in range(6)}

@@ -34,6 +34,20 @@ def test_bpe_matches_the_library(spark, documents):
         assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_very_long_texts(spark, documents):
+    # A megabyte of words, one word of 300,000 letters, and one without any repetition.
+    random.seed(8)
+    rows = [(1, "some words 12 " * 75_000), (2, "a" * 300_000), (3, "".join(random.choice("abcdefgh") for _ in range(50_000)))]
+    bpe_path, piece_path = tokens.path("word_bpe_49k.json"), tokens.path("piece_bpe_32k.model")
+    words, pieces = Tokenizer.from_file(bpe_path), library_of(unigram.vocabulary(piece_path), True)
+    encoded = {r.doc_id: r for r in bpe.encode_documents(documents(rows), bpe_path).collect()}
+    counted = {r.doc_id: r.n_tokens for r in unigram.count_tokens(documents(rows), piece_path).collect()}
+    for i, text in rows:
+        ids = words.encode(text, add_special_tokens=False).ids
+        assert (encoded[i].n_tokens, encoded[i].ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert counted[i] == len(pieces.encode(text, add_special_tokens=False).ids)
+
+
 def test_bpe_on_an_empty_table(documents):
     assert bpe.encode_documents(documents([(1, "a")]).limit(0), tokens.path("word_bpe_49k.json")).count() == 0
 
