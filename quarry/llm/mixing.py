@@ -7,8 +7,8 @@ gradient steps on the squared relative misses plus a small pull towards rate 1.
 each one is a single aggregation of a few numbers; the rates themselves are folded from the list of past misses, and
 nothing but that list (domains times steps) reaches the driver. Where these steps stall or end short of the tolerance, Newton
 steps
-on the dual of the same problem, a number for each domain, go on until the tolerance or the minimum is reached, and it is
-an error if neither is. At the minimum targets can be missed, as soft posteriors need not allow them; the misses are
+on the dual of the same problem, a number for each domain, go on until the tolerance or the minimum is reached, or for
+a number of steps; each goes downhill, so the last point is the best. At the minimum targets can be missed, as soft posteriors need not allow them; the misses are
 returned by ``mix_with_misses`` and ``mix`` warns of them.
 
 The classifier is fitted to at most ``sample_rows`` labelled rows, taken in the order of a hash of doc_id; token totals,
