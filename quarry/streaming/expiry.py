@@ -2,8 +2,8 @@
 
 A stream of updates (id, kind, updated_at) keeps for each id the time of its last update. Each kind lives for its own
 time; when the watermark passes an item's end, its timer puts out the expiry and its state goes. An update after that, or one
-that comes while the watermark still lags behind the item's end, starts the item anew. Updates behind the watermark are late
-and are left out. State is what is alive, so it does not grow with the stream.
+that comes while the watermark still lags behind the item's end, starts the item anew. Updates that are not after the
+watermark are late and are left out. State is what is alive, so it does not grow with the stream.
 """
 
 from __future__ import annotations
