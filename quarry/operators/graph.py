@@ -39,8 +39,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
             left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             left, before = cut(left), n
             n = left.count()
-            if n == before:
+            if n == before or not n:
                 break
+        if not n:
+            break
         nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         least = first_labels(left, nodes.withColumn("label", F.col("node")))
         same = left.join(least.select(F.col("node").alias("src"), F.col("label").alias("_s")), "src").join(least.select(F.col("node").alias("dst"), F.col("label").alias("_d")), "dst")
