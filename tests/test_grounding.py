@@ -1,10 +1,11 @@
 """Folding, cycles, admission, citations and metadata against plain computations."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from quarry.operators import admission, citations, events, folding, graph
+from quarry.operators import admission, citations, events, folding, governance, graph
 
 
 def plain_fold(rows):
@@ -129,3 +130,26 @@ def test_choice_of_metadata_stays_within_its_limit(spark):
     assert chosen(7) == (["e2", "e9", "e5", "e3", "e0", "e19", "e18"], ["x0"])
     assert all(len(chosen(n)[0]) == n for n in (2, 5, 12))
     assert df.filter(F.lit(False)).transform(lambda x: events.select_metadata(x, focus, 3)).count() == 0
+
+
+def test_near_copies_travel_once(spark):
+    """Near copies of 300 long words: all pairs are there, and token sets do not travel once for each pair."""
+    words = [hashlib.sha256(b"%d" % i).hexdigest()[:24] for i in range(300)]
+    whole, r = " ".join(words), random.Random(1)
+    rows = [(i, "x", " ".join([w for w in words if r.random() > 0.06] + [f"own{i:05d}"])) for i in range(240)] + [(1000, "x", "alone here"), (1001, "y", whole), (1002, "y", whole), (1003, None, whole), (1004, "x", None)]
+    docs = spark.createDataFrame(rows, "id long, b string, content string").repartition(4)
+
+    def written() -> int:
+        held = spark._jsc.sc().statusStore().executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    before, limit = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        found = {(r.a_id, r.b_id): r.similarity for r in governance.near_duplicates(docs, "b", 0.72).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    sets = {i: (b, set(t.split())) for i, b, t in rows if b and t}
+    alike = {(i, j): round(len(x & y) / len(x | y), 3) for i, (b, x) in sets.items() for j, (c, y) in sets.items() if i < j and b == c and len(x & y) / len(x | y) >= 0.72}
+    assert found == alike and len(alike) > 28_000
+    assert written() - before < 20_000_000
