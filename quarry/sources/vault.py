@@ -245,7 +245,11 @@ def resolved_settings(folders: DataFrame, configs: DataFrame, general: dict[str,
     parts = F.split("folder", "/")
     prefix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     above = folders.select("folder", F.posexplode(prefix).alias("depth", "at"))
-    near = above.join(configs.select(F.col("folder").alias("at"), "text"), "at").groupBy("folder").agg(F.max_by(F.struct("at", "text"), "depth").alias("x"))
+    # Only numbers are aggregated for each folder, in a hash table: texts would be sorted, those of all folders of a task.
+    there = configs.select(F.col("folder").alias("at")).distinct()
+    deepest = above.join(there, "at", "left_semi").groupBy("folder").agg(F.max("depth").alias("depth"))
+    texts = configs.groupBy(F.col("folder").alias("at")).agg(F.max("text").alias("text"))
+    near = deepest.withColumn("at", prefix[F.col("depth")]).join(texts, "at").select("folder", F.struct("at", "text").alias("x"))
     own = F.from_json(F.col("x.text"), "map<string,string>")
     own_bases = F.from_json(F.get_json_object(F.col("x.text"), "$.knowledgeBases"), "array<string>")
     base = F.create_map(*[F.lit(x) for pair in general.items() for x in pair]) if general else F.create_map().cast("map<string,string>")

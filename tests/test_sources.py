@@ -133,3 +133,13 @@ def test_entry_point(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_settings_of_folders_sort_no_texts(spark):
+    """The nearest config counts, also a broken one; folders that come twice stay; the texts of a folder's configs are not sorted by folder."""
+    folders = spark.createDataFrame([("w/1/2",), ("w/1/2",), ("w/3/4",), ("w/5",), ("v/1",)], "folder string")
+    configs = spark.createDataFrame([("w", '{"p":"root"}'), ("w/1", '{"p":"one","knowledgeBases":["b"]}'), ("w/1/2/3", '{"p":"below"}'), ("w/3/4", "{broken")], "folder string, text string")
+    found = vault.resolved_settings(folders, configs, {"p": "general"}, ["g"])
+    rows = sorted((r.folder, r.config_folder or "", r.settings["p"], tuple(r.bases)) for r in found.collect())
+    assert rows == [("v/1", "", "general", ("g",)), ("w/1/2", "w/1", "one", ("g", "b")), ("w/1/2", "w/1", "one", ("g", "b")), ("w/3/4", "w/3/4", "general", ("g",)), ("w/5", "w", "root", ("g",))]
+    assert "max_by" not in found._jdf.queryExecution().executedPlan().toString()
