@@ -236,6 +236,10 @@ def touched(retrievals: DataFrame, items: DataFrame) -> DataFrame:
     return j.withColumns({"retrieval_count": F.coalesce("retrieval_count", F.lit(0)) + F.coalesce("_n", F.lit(0)), "last_retrieved_at": at, "updated_at": F.greatest("updated_at", "_at")}).drop("_n", "_at")
 
 
+#: Parts of the folders that meet a config apart from each other.
+SALTS = 16
+
+
 def resolved_settings(folders: DataFrame, configs: DataFrame, general: dict[str, str], bases: list[str]) -> DataFrame:
     """For each folder the settings in the nearest config (folder, text as JSON) in it or above it, over the general ones.
 
@@ -245,11 +249,13 @@ def resolved_settings(folders: DataFrame, configs: DataFrame, general: dict[str,
     parts = F.split("folder", "/")
     prefix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     above = folders.select("folder", F.posexplode(prefix).alias("depth", "at"))
-    # Only numbers are aggregated for each folder, in a hash table: texts would be sorted, those of all folders of a task.
-    there = configs.select(F.col("folder").alias("at")).distinct()
-    deepest = above.join(there, "at", "left_semi").groupBy("folder").agg(F.max("depth").alias("depth"))
-    texts = configs.groupBy(F.col("folder").alias("at")).agg(F.max("text").alias("text"))
-    near = deepest.withColumn("at", prefix[F.col("depth")]).join(texts, "at").select("folder", F.struct("at", "text").alias("x"))
+    # Only numbers are aggregated for each folder, in a hash table: texts would be sorted, those of all folders of a task. A config far
+    # up is that of most folders, so each config is met in SALTS parts of the folders.
+    salt, salts = F.pmod(F.xxhash64("folder"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    there = configs.select(F.col("folder").alias("at")).distinct().select("at", salts)
+    deepest = above.select("*", salt).join(there, ["at", "salt"], "left_semi").groupBy("folder").agg(F.max("depth").alias("depth"))
+    texts = configs.groupBy(F.col("folder").alias("at")).agg(F.max("text").alias("text")).select("at", "text", salts)
+    near = deepest.select("folder", prefix[F.col("depth")].alias("at"), salt).join(texts, ["at", "salt"]).select("folder", F.struct("at", "text").alias("x"))
     own = F.from_json(F.col("x.text"), "map<string,string>")
     own_bases = F.from_json(F.get_json_object(F.col("x.text"), "$.knowledgeBases"), "array<string>")
     base = F.create_map(*[F.lit(x) for pair in general.items() for x in pair]) if general else F.create_map().cast("map<string,string>")
