@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +9,40 @@ from quarry.operators.lineage import cut
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node, depth) of every node that a root reaches, at its least depth. Cycles end, as no pair is met twice."""
+    """(root, node, depth) of every node that a root reaches, at its least depth. Cycles end, as no pair is met twice.
+
+    A round goes on from the pairs of the greatest depth by what their nodes reach within some steps, which is known where
+    these are roots too. So rounds grow with the logarithm of the depth, and what is known is not looked through again for
+    each step. Where many ways lead to the same nodes, or few nodes are roots, rounds are of fewer steps, down to one.
+    """
     edges = cut(edges.select("src", "dst").distinct())
-    reached = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")))
-    front = reached
-    for depth in count(1):
-        step = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        front = step.join(reached.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"))
-        front = cut(front)
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front)
-    return reached
+    asked = cut(roots.select("node").distinct())
+    more = cut(edges.select(F.col("dst").alias("node")).distinct().join(asked, "node", "left_anti"))
+    n, extra = asked.count(), more.count()
+    known = extra <= n  # else only the roots' own pairs are looked for, step by step
+    reached = front = cut((asked.unionByName(more) if known else asked).select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")))
+    rows, depth = (n + extra if known else n), 0
+    while True:
+        steps = most_steps(reached, front, depth, 2 * rows) if known and depth > 1 else 1
+        hops = edges.select("src", "dst", F.lit(1).alias("length")) if steps == 1 else reached.filter(F.col("depth").between(1, steps)).select(F.col("root").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("length"))
+        met = front.join(hops, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg((F.min("length") + F.lit(depth)).cast("int").alias("depth"))
+        new = cut(met.join(reached.select("root", "node"), ["root", "node"], "left_anti"))
+        found, depth = new.count(), depth + steps
+        rows += found
+        front = new.filter(F.col("depth") == depth)
+        if found:
+            reached = reached.unionByName(new)
+        if not found or front.isEmpty():
+            return reached.join(more.withColumnRenamed("node", "root"), "root", "left_anti") if known and extra else reached
+
+
+def most_steps(reached: DataFrame, front: DataFrame, depth: int, limit: int) -> int:
+    """The greatest power of two, up to the depth, of steps that make at most ``limit`` rows of the front; 1 if none does."""
+    sizes = [1 << i for i in range(1, depth.bit_length())]
+    names = [f"_{s}" for s in sizes]
+    held = reached.filter("depth > 0").groupBy(F.col("root").alias("node")).agg(*[F.count_if(F.col("depth") <= s).alias(c) for s, c in zip(sizes, names)])
+    made = front.join(held, "node").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    return max((s for s, c in zip(sizes, names) if made[c] <= limit), default=1)
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

@@ -153,3 +153,28 @@ def test_near_copies_travel_once(spark):
     alike = {(i, j): round(len(x & y) / len(x | y), 3) for i, (b, x) in sets.items() for j, (c, y) in sets.items() if i < j and b == c and len(x & y) / len(x | y) >= 0.72}
     assert found == alike and len(alike) > 28_000
     assert written() - before < 20_000_000
+
+
+def plain_closure(edges, roots):
+    out = {}
+    for r in roots:
+        out[r, r], front = 0, [r]
+        while front:
+            front = [(d, out[r, s] + 1) for s in front for a, d in edges if a == s]
+            front = [d for d, n in front if (r, d) not in out and not out.update({(r, d): n})]
+    return out
+
+
+def test_closure_goes_by_what_is_known(spark, monkeypatch):
+    random.seed(5)
+    ring = [(i, i + 1) for i in range(41)] + [(41, 3), (50, 50)]
+    cases = [(ring, list(range(42)) + [50]), (ring, [7]), (ring, list(range(1, 42)))]
+    cases += [([(random.randrange(25), random.randrange(25)) for _ in range(m)], random.sample(range(25), k)) for m, k in ((20, 25), (60, 20), (200, 25), (40, 3))]
+    steps = []
+    monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: steps.append(1) or real(df))
+    for at, (edges, roots) in enumerate(cases):
+        steps.clear()
+        got = graph.closure(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(r,) for r in roots], "node long")).collect()
+        assert len(got) == len({(r.root, r.node) for r in got})
+        assert {(r.root, r.node): r.depth for r in got} == plain_closure(set(edges), roots)
+        assert at not in (0, 2) or len(steps) < 15  # ways of 41 steps, from all nodes
