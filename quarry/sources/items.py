@@ -1,27 +1,22 @@
-"""Writing items as files of their own: a data source whose commit makes all files of a write visible, or none of it.
+"""Writing items as files of their own: all files of a write become visible, or none of it.
 
-Tasks write to a staging folder beside the vault; the commit moves what the successful tasks wrote to its place, and an
-abort removes the folder. A task that is tried again writes under its own number, so its first try is never moved.
-Paths are those that pyarrow's file systems reach.
+Tasks write to a staging folder beside the vault, each try to a folder of its own, and leave a table of what they wrote, in
+which Spark's committer keeps one try of each task. Tasks then look for paths that are there twice or already, and move
+the files to their places; the staging folder goes in any case. No paths pass through the driver. Paths are those that
+pyarrow's file systems reach.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 from uuid import uuid4
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-
-@dataclass
-class Written(WriterCommitMessage):
-    folder: str
-    paths: list[str]
+from quarry.operators.lineage import cut
 
 
 def inside(path: str) -> str:
@@ -32,68 +27,77 @@ def inside(path: str) -> str:
     return "/".join(parts)
 
 
-class ItemWriter(DataSourceWriter):
-    def __init__(self, root: str, overwrite: bool):
-        self.root, self.overwrite = root.rstrip("/"), overwrite
-        self.staging = f"_staging-{uuid4().hex}"
-
-    def files(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("/") else f"/{self.root}")
+def files(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("/") else f"/{root}")
 
-    def write(self, iterator: Iterator[Row]) -> Written:
-        system, root = self.files()
-        folder = f"{self.staging}/{uuid4().hex}"
-        paths = []
-        made = set()
-        for row in iterator:
-            path = inside(row["path"])
-            at = f"{root}/{folder}/{path}"
-            parent = at.rsplit("/", 1)[0]
-            if parent not in made:
-                system.create_dir(parent, recursive=True)
-                made.add(parent)
-            with system.open_output_stream(at, compression=None) as out:
-                out.write((row["content"] or "").encode("utf-8"))
-            paths.append(path)
-        return Written(folder, paths)
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, root = self.files()
-        moves = [(m.folder, p) for m in messages if m is not None for p in m.paths]
-        targets = [p for _, p in moves]
-        if len(set(targets)) < len(targets):
-            self.abort(messages)
-            raise ValueError("two rows have the same path")
-        if not self.overwrite and targets:
-            there = [x.path for x in system.get_file_info([f"{root}/{p}" for p in targets]) if x.type != fs.FileType.NotFound]
-            if there:
-                self.abort(messages)
-                raise FileExistsError(there[0])
-        for parent in {f"{root}/{p}".rsplit("/", 1)[0] for p in targets}:
-            system.create_dir(parent, recursive=True)
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda m: system.move(f"{root}/{m[0]}/{m[1]}", f"{root}/{m[1]}"), moves))
-        self.abort(messages)  # only the staging folder is left to go
 
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, root = self.files()
-        if system.get_file_info(f"{root}/{self.staging}").type != fs.FileType.NotFound:
-            system.delete_dir(f"{root}/{self.staging}")
+def staged(root: str, staging: str):
+    """Batches (path, content) to files below a folder of this try, and to rows (path, folder)."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = files(root)
+        folder, made = uuid4().hex, set()
+        for batch in batches:
+            paths = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                paths.append(inside(path))
+                to = f"{at}/{staging}/{folder}/{paths[-1]}"
+                parent = to.rsplit("/", 1)[0]
+                if parent not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with system.open_output_stream(to, compression=None) as out:
+                    out.write((content or "").encode("utf-8"))
+            yield pa.RecordBatch.from_pydict({"path": paths, "folder": [folder] * len(paths)})
 
+    return write
 
-class ItemFiles(DataSource):
-    """Rows (path, content) as one file each below the folder of the option ``path``."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "item_files"
+def present(root: str):
+    """Those of the paths that are there already."""
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = files(root)
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            there = system.get_file_info([f"{at}/{p}" for p in paths])
+            yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, x in zip(paths, there) if x.type != fs.FileType.NotFound], pa.string())})
 
-    def writer(self, schema: StructType, overwrite: bool) -> ItemWriter:
-        return ItemWriter(self.options["path"], overwrite)
+    return look
 
 
-def write_items(files: DataFrame, root: str, replace: bool = False) -> None:
+def moved(root: str, staging: str):
+    """Files to their places; counts. A task that is tried again finds some of its files moved."""
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = files(root)
+        made = set()
+        for batch in batches:
+            for path, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                source, to = f"{at}/{staging}/{folder}/{path}", f"{at}/{path}"
+                parent = to.rsplit("/", 1)[0]
+                if parent not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                try:
+                    system.move(source, to)
+                except OSError:
+                    gone, there = system.get_file_info([source, to])
+                    if gone.type != fs.FileType.NotFound or there.type == fs.FileType.NotFound:
+                        raise
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return move
+
+
+def write_items(rows: DataFrame, root: str, replace: bool = False) -> None:
     """Write each row (path, content) to its own file. Unless ``replace``, a file that is there already is an error and nothing is written."""
-    spark: SparkSession = files.sparkSession
-    spark.dataSource.register(ItemFiles)
-    files.select("path", "content").write.format("item_files").mode("overwrite" if replace else "append").option("path", root).save()
+    root, staging = root.rstrip("/"), f"_staging-{uuid4().hex}"
+    try:
+        written = cut(rows.select("path", "content").mapInArrow(staged(root, staging), "path string, folder string"))
+        if not written.groupBy("path").count().filter("count > 1").isEmpty():
+            raise ValueError("two rows have the same path")
+        if not replace and (there := written.select("path").mapInArrow(present(root), "path string").first()):
+            raise FileExistsError(there.path)
+        written.mapInArrow(moved(root, staging), "n long").agg(F.sum("n")).first()
+    finally:
+        system, at = files(root)
+        if system.get_file_info(f"{at}/{staging}").type != fs.FileType.NotFound:
+            system.delete_dir(f"{at}/{staging}")

@@ -6,7 +6,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
-from quarry.sources import commits, items, knowledge
+from quarry.sources import commits, items, knowledge, vault
 
 
 def files_below(root):
@@ -33,6 +33,20 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path, rows):
     assert not root.exists() or files_below(root) == {}
 
 
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    root = tmp_path / "vault"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        items.write_items(spark.range(200).selectExpr("concat('n/', id, '.md') AS path", "concat('é', id) AS content"), str(root))
+        read = vault.markdown_files(spark, str(root))
+        assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert {(r.path, r.content, r.bytes) for r in read.collect()} == {(f"n/{i}.md", f"é{i}", 2 + len(str(i))) for i in range(200)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [p.name for p in root.iterdir()] == ["n"]  # nothing staged is left
+
+
 def test_one_of_two_writers_wins(spark, tmp_path):
     folder = str(tmp_path / "log")
     for generation in range(3):
