@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import json
+from collections.abc import Iterator
 
-from quarry.operators.lineage import cut
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The lists that hold citations, the list of further requests, and the reasons.
 CITATIONS = ("evidence_refs", "supporting_refs", "counterevidence_refs", "boundary_refs")
@@ -14,36 +16,77 @@ NOT_PROVIDED, NOT_READABLE = "original body not provided", "not an available unr
 UNREADABLE = "draft is not JSON"
 
 
-def is_kind(value: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+class Literal(str):
+    """A number as it is written."""
+
+
+def fields(pairs: list[tuple]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a field is there twice")
+    return found
+
+
+def refuse(name: str):
+    raise ValueError(name)
+
+
+#: What Spark's parse_json takes: no repeated fields, no NaN; what follows the value does not count.
+DECODER = json.JSONDecoder(object_pairs_hook=fields, parse_int=Literal, parse_float=Literal, parse_constant=refuse)
+
+
+def text(value: object) -> str:
+    """JSON with its numbers as they were written."""
+    if isinstance(value, Literal):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{text(v)}" for k, v in value.items()) + "}"
+    return "[" + ",".join(map(text, value)) + "]" if isinstance(value, list) else json.dumps(value)
+
+
+def walk(draft: str) -> Iterator[tuple[str, str, object]]:
+    """(path, kind, reference) of each citation and request of a draft."""
+    try:
+        waiting = [("$", None, DECODER.raw_decode(draft.lstrip(" \t\r\n"))[0])]
+    except (ValueError, RecursionError):
+        yield "$", "unreadable", None
+        return
+    while waiting:
+        path, key, value = waiting.pop()
+        if isinstance(value, dict):
+            waiting += [(f"{path}.{k}", k, v) for k, v in value.items() if isinstance(v, (dict, list))]
+        elif isinstance(value, list) and key in CITATIONS:
+            yield from ((f"{path}[{i}]", "citation", v) for i, v in enumerate(value))
+        elif isinstance(value, list) and key == REQUESTS:
+            yield from ((f"{path}[{i}]", "request", v.get("ref_id") if isinstance(v, dict) else None) for i, v in enumerate(value))
+        elif isinstance(value, list):
+            waiting += [(f"{path}[{i}]", None, v) for i, v in enumerate(value) if isinstance(v, (dict, list))]
 
 
-def children(rows: DataFrame) -> DataFrame:
-    """The elements and fields of each value, with their paths; ``key`` is a field's name, null for an element."""
-    spark = rows.sparkSession
-    inner = rows.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).toDF("at", "name", "child"))
-    path = F.when(F.col("name").isNull(), F.concat("path", F.lit("["), F.col("at"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), "name"))
-    return inner.select("draft_id", path.alias("path"), F.col("name").alias("key"), F.col("child").alias("value"))
+def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, paths, kinds, refs, raws = [], [], [], [], []
+        for i, draft in enumerate(batch.column(1).to_pylist()):
+            for path, kind, ref in walk(draft):
+                plain = isinstance(ref, str) and not isinstance(ref, Literal)
+                at.append(i)
+                paths.append(path)
+                kinds.append(kind)
+                refs.append(ref if plain else None)
+                raws.append(None if plain or ref is None else text(ref))
+        columns = [pa.array(c, pa.string()) for c in (paths, kinds, refs, raws)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["draft_id", "path", "kind", "ref_id", "raw"])
 
 
 def cited(drafts: DataFrame) -> DataFrame:
     """Each citation and request of drafts (draft_id, draft as JSON): draft_id, path, kind, ref_id.
 
-    The walk goes down level by level and is as long as the drafts are deep. Lists of citations and requests are taken whole and
-    not walked further; a field of such a name that is no list is walked like any other.
+    A draft is parsed and walked once. Lists of citations and requests are taken whole and not walked further; a field of such
+    a name that is no list is walked like any other. References that are no strings are put into words by Spark.
     """
-    parsed = F.try_parse_json("draft")
-    front = cut(drafts.filter("draft is not null").select("draft_id", F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), parsed.alias("value")))
-    found = front.filter("value is null").select("draft_id", "path", F.lit("unreadable").alias("kind"), F.lit(None).cast("string").alias("ref_id"))
-    while True:
-        kind = F.when(is_kind(F.col("value"), "ARRAY") & F.col("key").isin(*CITATIONS), "citation").when(is_kind(F.col("value"), "ARRAY") & (F.col("key") == REQUESTS), "request")
-        front = front.filter(is_kind(F.col("value"), "ARRAY") | is_kind(F.col("value"), "OBJECT")).withColumn("kind", kind)
-        for name, ref in (("citation", "$"), ("request", "$.ref_id")):
-            rows = children(front.filter(F.col("kind") == name).drop("kind"))
-            found = found.unionByName(rows.select("draft_id", "path", F.lit(name).alias("kind"), F.try_variant_get("value", ref, "string").alias("ref_id")))
-        front = cut(children(front.filter("kind is null").drop("kind")))
-        if front.isEmpty():
-            return found
+    rows = drafts.filter("draft is not null").select("draft_id", "draft")
+    found = rows.mapInArrow(walked, f"draft_id {rows.schema['draft_id'].dataType.simpleString()}, path string, kind string, ref_id string, raw string")
+    return found.select("draft_id", "path", "kind", F.coalesce("ref_id", F.try_variant_get(F.try_parse_json("raw"), "$", "string")).alias("ref_id"))
 
 
 def citation_errors(drafts: DataFrame, provided: DataFrame, readable: DataFrame) -> DataFrame:

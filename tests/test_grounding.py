@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarry.operators import admission, citations, events, folding, governance, graph
+from quarry.operators import admission, citations, events, folding, governance, graph, lineage
 
 
 def plain_fold(rows):
@@ -178,3 +178,24 @@ def test_closure_goes_by_what_is_known(spark, monkeypatch):
         assert len(got) == len({(r.root, r.node) for r in got})
         assert {(r.root, r.node): r.depth for r in got} == plain_closure(set(edges), roots)
         assert at or len(steps) < 15  # ways of 41 steps, from all nodes
+
+
+def test_drafts_are_walked_once_and_read_as_spark_reads_them(spark, monkeypatch):
+    refs = ['"a\\u00e9\\n"', "1", "1.50", "-0", "1e3", "0.1e-7", "12345678901234567890", "123456789012345678901234567890123456789012", "true", "null", '{"b": 1.0, "a": ["x", null]}', "[1, 2.50]", '""']
+    odd = [f'{{"x": {{"evidence_refs": [{r}], "read_requests": [{{"ref_id": {r}}}, {r}]}}}}' for r in refs]
+    odd += [" \n" + odd[0] + " and more", '{"evidence_refs": ["p"], "evidence_refs": ["q"]}', '{"evidence_refs": [NaN]}', '{"evidence_refs": ["tab\there"]}', '{"evidence_refs": [01]}', "", "[", '{"a": 1 2}', '{"a":1}x', "7", '{"evidence_refs": ["' + "x" * 70_000 + '"]}']
+    df = spark.createDataFrame(list(enumerate(odd)), "draft_id long, draft string")
+    get = lambda at: f"try_variant_get(try_parse_json(draft), '$.{at}', 'string')"
+    held = df.selectExpr("draft_id", "try_parse_json(draft) IS NULL AS bad", *[f"{get(at)} AS c{i}" for i, at in enumerate(("x.evidence_refs[0]", "x.read_requests[0].ref_id", "evidence_refs[0]"))]).collect()
+
+    def refuse(*_):
+        raise AssertionError("a step is written")
+
+    monkeypatch.setattr(lineage, "new_folder", refuse)
+    got = {(r.draft_id, r.path): (r.kind, r.ref_id) for r in citations.cited(df).collect()}
+    for r in held:
+        assert ((r.draft_id, "$") in got) == r.bad, odd[r.draft_id]
+        if r.draft_id <= len(refs):
+            assert got[r.draft_id, "$.x.evidence_refs[0]"] == ("citation", r.c0), odd[r.draft_id]
+            assert got[r.draft_id, "$.x.read_requests[0]"] == ("request", r.c1), odd[r.draft_id]
+    assert got[len(odd) - 1, "$.evidence_refs[0]"][1] == held[-1].c2 == "x" * 70_000
