@@ -28,11 +28,20 @@ def chain_breaks(rows: DataFrame, key: str, order: str, previous: str, record: s
     return out.filter(~F.col("_prior").eqNullSafe(F.col(previous)) | (F.col(order) != F.col("_at"))).drop("_prior", "_at")
 
 
-def insert_only(existing: DataFrame, new: DataFrame, key: str, digest: str) -> tuple[DataFrame, DataFrame]:
-    """Rows to append and rows in conflict: the same content again is nothing new, other content is a conflict."""
+def insert_outcomes(existing: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
+    """The new rows that are an insert or a conflict, as column ``what`` says: the same content again is nothing new, other content is a conflict.
+
+    One join tells both, so neither side is moved twice.
+    """
     known = existing.select(F.col(key).alias("_k"), F.col(digest).alias("_d"))
     both = new.join(known, F.col(key) == F.col("_k"), "left")
-    return both.filter("_k is null").drop("_k", "_d"), both.filter(F.col("_k").isNotNull() & (F.col(digest) != F.col("_d"))).drop("_k", "_d")
+    return both.withColumn("what", F.when(F.col("_k").isNull(), "insert").when(F.col(digest) != F.col("_d"), "conflict")).filter("what is not null").drop("_k", "_d")
+
+
+def insert_only(existing: DataFrame, new: DataFrame, key: str, digest: str) -> tuple[DataFrame, DataFrame]:
+    """Rows to append and rows in conflict."""
+    told = insert_outcomes(existing, new, key, digest)
+    return told.filter("what = 'insert'").drop("what"), told.filter("what = 'conflict'").drop("what")
 
 
 def remaining(planned: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -240,8 +240,7 @@ SELECT o_custkey, o_orderkey, array_to_string(list_filter(k, lambda x: NOT list_
 def insert_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_custkey", "o_orderpriority"), 256).alias("digest"))
     new = o.withColumn("digest", F.when(F.col("o_orderkey") % 10 == 0, F.lit("changed")).otherwise(F.col("digest")))
-    fresh, conflicts = latest.insert_only(o.filter("o_orderkey % 7 <> 0"), new, "o_orderkey", "digest")
-    return fresh.select("o_orderkey", F.lit("insert").alias("what")).unionByName(conflicts.select("o_orderkey", F.lit("conflict").alias("what")))
+    return latest.insert_outcomes(o.filter("o_orderkey % 7 <> 0"), new, "o_orderkey", "digest").select("o_orderkey", "what")
 
 
 ORACLES["insert_conflicts"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'insert' ELSE 'conflict' END AS what FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 10 = 0"
