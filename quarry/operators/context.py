@@ -20,11 +20,12 @@ def relation_applicability(relations: DataFrame, snapshots: DataFrame, skills: D
     to_id. results: plan_id, plan_hash, relation_id, value. published: snapshot_id. task: project, id, family, snapshot.
     """
     source = snapshots.select(F.col("snapshot_id").alias("source_id"), F.col("project_id").alias("source_project"))
+    # Skills are many, whatever the size of their file, so no join broadcasts them.
     then = skills.select(F.col("snapshot_id").alias("source_id"), "skill_id", F.col("revision").alias("then"))
     end = lambda name: then.select("source_id", F.col("skill_id").alias(f"{name}_id"), F.col("then").alias(f"{name}_revision"))
     plan = plans.select("plan_id", "plan_hash", *[F.col(c).alias(f"plan_{c}") for c in ("source_id", "from_id", "to_id")])
     seen = results.groupBy("plan_id", "plan_hash", "relation_id", "value").agg(F.count("*").alias("witnesses"))
-    j = relations.join(source, "source_id", "left").join(end("from"), ["source_id", "from_id"], "left").join(end("to"), ["source_id", "to_id"], "left")
+    j = relations.join(source, "source_id", "left").join(end("from").hint("merge"), ["source_id", "from_id"], "left").join(end("to").hint("merge"), ["source_id", "to_id"], "left")
     j = j.join(plan, "plan_id", "left").join(seen, ["plan_id", "plan_hash", "relation_id", "value"], "left")
     j = j.join(published.select(F.col("snapshot_id").alias("source_id")).distinct().withColumn("public", F.lit(True)), "source_id", "left")
 
@@ -34,7 +35,7 @@ def relation_applicability(relations: DataFrame, snapshots: DataFrame, skills: D
     checks = j.select("relation_id", "source_id", F.explode(F.concat(own, F.coalesce(F.map_entries("needed"), F.array()))).alias("c"))
     checks = checks.select("relation_id", "source_id", F.col("c.key").alias("skill_id"), F.col("c.value").alias("wanted"))
     now = skills.filter(F.col("snapshot_id") == task["snapshot"]).select("skill_id", F.col("revision").alias("now"))
-    checks = checks.join(now, "skill_id", "left").join(then, ["source_id", "skill_id"], "left")
+    checks = checks.join(now.hint("merge"), "skill_id", "left").join(then.hint("merge"), ["source_id", "skill_id"], "left")
     fits = F.coalesce((F.col("now") == F.col("wanted")) & (F.col("then") == F.col("wanted")), F.lit(False))
     j = j.join(checks.groupBy("relation_id").agg(F.count_if(~fits).alias("stale")), "relation_id", "left")
 

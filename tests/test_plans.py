@@ -22,3 +22,7 @@ def test_insert_outcomes(spark):
     assert sorted(map(tuple, got), key=repr) == sorted([(2, "c", "conflict"), (4, None, "insert"), (5, "e", "insert"), (5, "e", "insert"), (6, "x", "conflict"), (None, "n", "insert")], key=repr)
     fresh, conflicts = latest.insert_only(old, new, "k", "d")
     assert fresh.columns == conflicts.columns == ["k", "d"] and (fresh.count(), conflicts.count()) == (4, 2)
+
+
+def test_skills_are_not_broadcast(spark):
+    assert nodes(QUERIES["relation_applicability"](spark, SF), "SortMergeJoin") >= 4
