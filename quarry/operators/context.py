@@ -68,6 +68,12 @@ def disagreement(field: str, *values: Column) -> Column:
     return F.when(F.size(F.array_distinct(F.array_compact(F.array(*values)))) > 1, field)
 
 
+def joined(rows: DataFrame, other: DataFrame, key: str, row: str) -> DataFrame:
+    """A left join. Rows without a key, which find nothing, are spread by ``row``; else they would all be in one task."""
+    left = rows.withColumn("_spread", F.when(F.col(key).isNull(), F.xxhash64(row)).otherwise(0))
+    return left.join(other.withColumn("_spread", F.when(F.col(key).isNull(), 1).otherwise(0).cast("long")).hint("merge"), [key, "_spread"], "left").drop("_spread")
+
+
 def resolved_sources(episodes: DataFrame, attempts: DataFrame, runs: DataFrame, executions: DataFrame, slots: DataFrame, groups: DataFrame, batches: DataFrame) -> DataFrame:
     """What is known of each episode's source, from its attempt to its batch, and the first field on which the records disagree.
 
@@ -81,9 +87,9 @@ def resolved_sources(episodes: DataFrame, attempts: DataFrame, runs: DataFrame,
     j = episodes.join(named(attempts, "attempt_id", "reference", "attempt", "run_id"), "reference", "left")
     j = j.withColumn("run_id", F.coalesce("attempt.run_id", "reference")).join(named(runs, "run_id", "run_id", "run", "group_id", "raw_events_ref"), "run_id", "left")
     j = j.join(named(executions, "execution_id", "run_id", "own"), "run_id", "left").withColumn("raw", F.col("run.raw_events_ref"))
-    j = j.join(named(executions, "execution_id", "raw", "other"), "raw", "left").withColumn("execution", F.coalesce("own", "other"))
+    j = joined(j, named(executions, "execution_id", "raw", "other"), "raw", "episode_id").withColumn("execution", F.coalesce("own", "other"))
     j = j.join(planned, "run_id", "left").withColumn("group_id", F.coalesce("run.group_id", "planned_group"))
-    j = j.join(named(groups, "group_id", "group_id", "group", "batch_ref"), "group_id", "left").withColumn("batch_ref", F.col("group.batch_ref"))
+    j = joined(j, named(groups, "group_id", "group_id", "group", "batch_ref"), "group_id", "episode_id").withColumn("batch_ref", F.col("group.batch_ref"))
     j = j.join(named(batches, "batch_id", "batch_ref", "batch"), "batch_ref", "left")
     known = F.col("run").isNotNull() | F.col("execution").isNotNull() | F.col("plans").isNotNull() | F.col("attempt").isNotNull()
     every = lambda field, *parts: [F.col(f"{p}.{field}") for p in parts]

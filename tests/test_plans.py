@@ -1,6 +1,6 @@
 """How queries go about their work: joins, shuffles and broadcasts of their plans."""
 
-from quarry.operators import latest
+from quarry.operators import context, latest
 from quarry.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +26,12 @@ def test_insert_outcomes(spark):
 
 def test_skills_are_not_broadcast(spark):
     assert nodes(QUERIES["relation_applicability"](spark, SF), "SortMergeJoin") >= 4
+
+
+def test_rows_without_key_are_spread(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else f"k{i % 3}") for i in range(40)], "i int, k string")
+    other = spark.createDataFrame([("k0", 1), ("k1", 2), (None, 3)], "k string, v int")
+    got = context.joined(rows, other, "k", "i")
+    assert sorted(map(tuple, got.select("i", "k", "v").collect()), key=repr) == sorted(map(tuple, rows.join(other, "k", "left").select("i", "k", "v").collect()), key=repr)
+    dealt = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(k" in line]
+    assert dealt and all("_spread" in line for line in dealt)
