@@ -145,14 +145,14 @@ def cycle_paths(references: DataFrame, items: DataFrame) -> DataFrame:
     references: src, place, dst; a search from the item follows references by place and turns back where it ends. An item
     leads into a cycle exactly if it is left when those without references to others left are taken off, round after
     round; the search then always takes the first reference to an item that is left. So each item has one successor, and
-    ways are put together from ways of half their length.
+    ways are put together from ways of half their length. No round broadcasts its nodes: they would all pass the driver each time.
     """
-    known = items.select("node").distinct()
+    known = items.select("node").distinct().hint("merge")
     left = references.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
     left = cut(left.select("src", "place", "dst"))
     n = left.count()
     while n:
-        left = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        left = cut(left.join(left.select(F.col("src").alias("dst")).distinct().hint("merge"), "dst", "left_semi"))
         now = left.count()
         if now == n:
             break
@@ -161,6 +161,6 @@ def cycle_paths(references: DataFrame, items: DataFrame) -> DataFrame:
     met = F.size(F.array_distinct("way")) < F.size("way")
     while not ways.filter(~met).isEmpty():
         on = ways.select(F.col("node").alias("_end"), F.slice("way", 2, 1_000_000_000).alias("_on"))
-        ways = cut(ways.join(on, F.element_at("way", -1) == F.col("_end")).select("node", F.when(met, F.col("way")).otherwise(F.concat("way", "_on")).alias("way")))
+        ways = cut(ways.join(on.hint("merge"), F.element_at("way", -1) == F.col("_end")).select("node", F.when(met, F.col("way")).otherwise(F.concat("way", "_on")).alias("way")))
     first = F.filter(F.sequence(F.lit(1), F.size("way")), lambda i: F.array_position("way", F.element_at("way", i.cast("int"))) < i)[0]
     return ways.select("node", F.slice("way", F.lit(1), first).alias("path"))

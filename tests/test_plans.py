@@ -1,6 +1,6 @@
 """How queries go about their work: joins, shuffles and broadcasts of their plans."""
 
-from quarry.operators import context, latest
+from quarry.operators import context, graph, latest
 from quarry.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +35,10 @@ def test_rows_without_key_are_spread(spark):
     assert sorted(map(tuple, got.select("i", "k", "v").collect()), key=repr) == sorted(map(tuple, rows.join(other, "k", "left").select("i", "k", "v").collect()), key=repr)
     dealt = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(k" in line]
     assert dealt and all("_spread" in line for line in dealt)
+
+
+def test_rounds_of_cycle_paths_broadcast_nothing(spark, monkeypatch):
+    seen, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: seen.append(nodes(df, "Broadcast")) or cut(df))
+    QUERIES["circular_references"](spark, SF)
+    assert len(seen) > 3 and not any(seen)
