@@ -52,6 +52,34 @@ def staged(root: str, staging: str):
     return write
 
 
+def staged_lines(root: str, staging: str):
+    """Batches (path, line), with all lines of a path behind one another, to files below a folder of this try, and to rows (path, folder)."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = files(root)
+        folder, made, last, out = uuid4().hex, set(), None, None
+        try:
+            for batch in batches:
+                paths = []
+                for path, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if path != last:
+                        if out is not None:
+                            out.close()
+                        paths.append(inside(path))
+                        to = f"{at}/{staging}/{folder}/{paths[-1]}"
+                        parent = to.rsplit("/", 1)[0]
+                        if parent not in made:
+                            system.create_dir(parent, recursive=True)
+                            made.add(parent)
+                        last, out = path, system.open_output_stream(to, compression=None)
+                    out.write(f"{line or ''}\n".encode("utf-8"))
+                yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "folder": pa.array([folder] * len(paths), pa.string())})
+        finally:
+            if out is not None:
+                out.close()
+
+    return write
+
+
 def present(root: str):
     """Those of the paths that are there already."""
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +117,18 @@ def moved(root: str, staging: str):
 
 def write_items(rows: DataFrame, root: str, replace: bool = False) -> None:
     """Write each row (path, content) to its own file. Unless ``replace``, a file that is there already is an error and nothing is written."""
+    put(rows.select("path", "content"), staged, root, replace)
+
+
+def write_lines(rows: DataFrame, root: str, order: str, replace: bool = False) -> None:
+    """Write the rows (path, line) of each path as the lines of one file, in this order; else as ``write_items``. No file is held whole."""
+    put(rows.repartition("path").sortWithinPartitions("path", order).select("path", "line"), staged_lines, root, replace)
+
+
+def put(rows: DataFrame, stage, root: str, replace: bool) -> None:
     root, staging = root.rstrip("/"), f"_staging-{uuid4().hex}"
     try:
-        written = cut(rows.select("path", "content").mapInArrow(staged(root, staging), "path string, folder string"))
+        written = cut(rows.mapInArrow(stage(root, staging), "path string, folder string"))
         if not written.groupBy("path").count().filter("count > 1").isEmpty():
             raise ValueError("two rows have the same path")
         if not replace and (there := written.select("path").mapInArrow(present(root), "path string").first()):

@@ -16,6 +16,8 @@ from pyspark.sql.utils import AnalysisException
 #: What a line must be; event_id must not be null.
 LINE = T.StructType([T.StructField(c, T.StringType()) for c in ("event_id", "episode_id", "kind", "call_id")])
 CHECKPOINT = "trace string, step int, next_byte long, event_count long, bytes_processed long, complete boolean, error string, error_start long, error_end long"
+#: Bytes of small files that one task reads.
+PART = 16 << 20
 #: A line over the bounds may be taken by a later step with larger ones; any other error ends a trace.
 OVER_BUDGET, MALFORMED, REPEATED = "trace_event_budget", "malformed_trace_event", "repeated_event"
 
@@ -32,12 +34,18 @@ def positioned_lines(spark: SparkSession, path: str, name: str = r"([^/]+)$") ->
     m = F.col("_metadata")
     rows = lines.select(
         F.regexp_extract(m["file_path"], name, 1).alias("trace"), m["file_size"].alias("size"), m["file_block_start"].alias("split"),
-        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"), (F.octet_length("value") + 1).cast("long").alias("n"),
+        F.col("value").alias("line"), (F.octet_length("value") + 1).cast("long").alias("n"),
     )
-    totals = rows.groupBy("trace", "split").agg(F.sum("n").alias("n"))
+    # Spark counts 4 MB for opening a file; tasks are put together to about PART bytes. One split stays in one task.
+    whole = int(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-whole // PART))
+    # A file below both settings is never split, so only larger ones are read for the sizes of their splits.
+    conf = spark._jsparkSession.sessionState().conf()
+    large = rows.filter(F.col("size") > min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()))
+    totals = large.groupBy("trace", "split").agg(F.sum("n").alias("n"))
     before = totals.select("trace", "split", (F.sum("n").over(Window.partitionBy("trace").orderBy("split")) - F.col("n")).alias("before"))
-    end = F.col("before") + F.sum("n").over(Window.partitionBy("trace", "split").orderBy("at"))
-    placed = rows.join(before, ["trace", "split"]).withColumn("end", end)
+    end = F.coalesce("before", F.lit(0)) + F.sum("n").over(Window.partitionBy("trace", "split").orderBy("at"))
+    placed = rows.coalesce(tasks).withColumn("at", F.monotonically_increasing_id()).join(before, ["trace", "split"], "left").withColumn("end", end)
     # The last line may lack its newline.
     return placed.select("trace", (F.col("end") - F.col("n")).alias("start_byte"), F.least("end", "size").alias("end_byte"), "line", "size")
 

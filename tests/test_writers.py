@@ -137,3 +137,14 @@ def test_search_falls_back_from_service_to_files(spark, services, tmp_path):
     for base in ("broken", "text", "files"):
         assert [(x[1], x[2], x[4]) for x in got.pop((base, "many words"))] == [("x.md", "Title x", "files")]
     assert got == {}  # an empty answer of a service is an answer, and no file holds the other word
+
+
+def test_lines_go_to_their_files_in_order(spark, tmp_path):
+    rows = spark.range(400).selectExpr("concat('d', id % 3, '/t', id % 20) AS path", "-id AS place", "CASE WHEN id > 20 THEN concat('zeile ä', id) END AS line").repartition(7)
+    items.write_lines(rows, str(tmp_path / "traces"), "place")
+    found = {str(p.relative_to(tmp_path / "traces")): p.read_text() for p in (tmp_path / "traces").rglob("t*")}
+    assert found == {f"d{i % 3}/t{i % 20}": "".join(f"zeile ä{j}\n" if j > 20 else "\n" for j in range(399, -1, -1) if j % 60 == i) for i in range(60)}
+    with pytest.raises(FileExistsError):
+        items.write_lines(rows, str(tmp_path / "traces"), "place")
+    assert not list((tmp_path / "traces").glob("_staging*"))
+    items.write_lines(rows.limit(0), str(tmp_path / "none"), "place")
