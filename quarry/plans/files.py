@@ -59,9 +59,7 @@ def legacy_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = vault.serialized(adapters.memory_items(spark, sf_dir).drop("source_hash", "tags", "claim"))
     i = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long")
     files = files.withColumn("content", F.when(i % 9 == 0, F.regexp_replace("content", r"\A---\n", "")).when(i % 10 == 1, F.lit("---\nnot json\n---\n\nbody")).otherwise(F.col("content")))
-    facts, failed = vault.legacy_facts(files, "src1")
-    none = F.lit(None).cast("string")
-    return facts.select("legacy_path", F.lit("fact").alias("state"), "memory_id", "kind", "project_id", F.sha2("content", 256).alias("digest")).union(failed.select("path", "code", none, none, none, none))
+    return vault.legacy_files(files, "src1").select("legacy_path", "state", "memory_id", "kind", "project_id", F.sha2("content", 256).alias("digest"))
 
 
 ORACLES["legacy_facts"] = with_sql("memory_items") + f""",

@@ -95,24 +95,32 @@ def mixed_registry(**parts: DataFrame) -> DataFrame:
 
 
 def legacy_facts(files: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
-    """Facts of the verified personal items, and of project items of exactly this scope; and files that cannot be read.
+    """Facts of the verified personal items, and of project items of exactly this scope; and files that cannot be read."""
+    rows = legacy_files(files, project)
+    return rows.filter("state = 'fact'").drop("state"), rows.filter("state <> 'fact'").select(F.col("legacy_path").alias("path"), F.col("state").alias("code"))
+
+
+def legacy_files(files: DataFrame, project: str) -> DataFrame:
+    """The facts (state fact) and the files that cannot be read (state LEGACY_PARSE_ERROR), in one pass over the files.
 
     A file needs JSON front matter, an empty line and a body; its claim wins over the content, and may not be empty.
     """
-    layout = r"(?s)\A---\n(.*?)\n---\n\n(.*)\z"
-    body = F.regexp_extract("content", layout, 2)
-    item = F.from_json(F.when(F.col("content").rlike(layout), F.regexp_extract("content", layout, 1)), MEMORY_ITEM)
-    claim = F.when(F.contains(body, F.lit("## Claim\n\n")), F.regexp_extract(body, r"(?s)## Claim\n\n(.*?)(?=\n## Metadata\n|\s*\z)", 1))
-    rows = files.select("path", F.inline(F.array(F.struct(item.alias("i"), claim.alias("claim")))))  # taken once, not again for each field
+    close = "\n---\n\n"
+    at = F.when(F.startswith("content", F.lit("---\n")), F.locate(close, F.col("content"), 5))
+    parts = files.select("path", F.inline(F.array(F.struct("content", at.alias("at")))))  # behind the generator each is taken once, not again for each field
+    item = F.from_json(F.when(F.col("at") > 0, F.expr("substring(content, 5, at - 5)")), MEMORY_ITEM)
+    body = F.expr(f"substring(content, at + {len(close)})")
+    rows = parts.select("path", F.inline(F.array(F.struct(item.alias("i"), F.when(F.contains("content", F.lit("## Claim\n\n")), body).alias("body")))))
+    claim = F.when(F.contains("body", F.lit("## Claim\n\n")), F.regexp_extract("body", r"(?s)## Claim\n\n(.*?)(?=\n## Metadata\n|\s*\z)", 1))
     wanted = (F.col("i.status") == "verified") & ((F.col("i.kind") == "personal") | ((F.col("i.kind") == "project") & (F.col("i.scope") == project)))
-    text = F.coalesce(F.regexp_replace("claim", r"\A\s+|\s+\z", ""), F.col("i.content"))
     parsed = F.col("i").isNotNull() & F.coalesce("i.id", "i.status", "i.kind", "i.content").isNotNull()
-    good = wanted & (F.coalesce(text, F.lit("")) != "")
-    facts = rows.filter(parsed & good).select(
-        F.coalesce("i.id", "path").alias("memory_id"), F.when(F.col("i.kind") == "personal", "user").otherwise("project").alias("kind"),
-        F.when(F.col("i.kind") == "project", F.lit(project)).alias("project_id"), text.alias("content"), F.col("path").alias("legacy_path"))
-    failed = rows.filter(~parsed | F.coalesce(wanted & ~good, F.lit(False))).select("path", F.lit("LEGACY_PARSE_ERROR").alias("code"))
-    return facts, failed
+    chosen = rows.withColumn("parsed", parsed).filter(~F.col("parsed") | wanted)
+    told = chosen.select("path", "i", "parsed", F.inline(F.array(F.struct(F.coalesce(F.regexp_replace(claim, r"\A\s+|\s+\z", ""), F.col("i.content")).alias("text")))))
+    fact = F.col("parsed") & (F.coalesce("text", F.lit("")) != "")
+    return told.withColumn("fact", fact).select(
+        F.col("path").alias("legacy_path"), F.when(F.col("fact"), "fact").otherwise("LEGACY_PARSE_ERROR").alias("state"),
+        F.when(F.col("fact"), F.coalesce("i.id", "path")).alias("memory_id"), F.when(F.col("fact"), F.when(F.col("i.kind") == "personal", "user").otherwise("project")).alias("kind"),
+        F.when(F.col("fact") & (F.col("i.kind") == "project"), F.lit(project)).alias("project_id"), F.when(F.col("fact"), F.col("text")).alias("content"))
 
 
 def chunked(rows: DataFrame, key: str, text: str, size: int = 1024) -> DataFrame:

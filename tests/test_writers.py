@@ -6,6 +6,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
+from quarry.operators import callbacks
 from quarry.sources import commits, items, knowledge, vault
 
 
@@ -148,3 +149,26 @@ def test_lines_go_to_their_files_in_order(spark, tmp_path):
         items.write_lines(rows, str(tmp_path / "traces"), "place")
     assert not list((tmp_path / "traces").glob("_staging*"))
     items.write_lines(rows.limit(0), str(tmp_path / "none"), "place")
+
+
+def test_legacy_files_are_told_in_one_pass(spark):
+    head = json.dumps({"id": "a", "kind": "personal", "scope": "x", "status": "verified", "content": "c"})
+    texts = {
+        "plain": f"---\n{head}\n---\n\nbody", "claim": f"---\n{head}\n---\n\n## Claim\n\n ä 1 \n## Metadata\nrest", "empty claim": f"---\n{head}\n---\n\n## Claim\n\n \n",
+        "no front": "---\n\n---\n\nbody", "open": f"---\n{head}\n---\nbody", "late": f" ---\n{head}\n---\n\nbody", "other": f"---\n{head.replace('personal', 'session')}\n---\n\nbody", "null": None, "not json": "---\nx\n---\n\ny",
+    }
+    told = vault.legacy_files(spark.createDataFrame(list(texts.items()), "path string, content string").coalesce(1), "x")
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert {r.legacy_path: r.content for r in told.collect() if r.state == "fact"} == {"plain": "c", "claim": "ä 1"}
+    assert {r.legacy_path for r in told.collect() if r.state != "fact"} == {"empty claim", "no front", "open", "late", "null", "not json"}
+
+
+def test_a_callers_counter_gets_texts_one_by_one(spark):
+    def made_by_pandas(text: str) -> int:
+        import traceback
+
+        return sum("/pandas/core/" in f.filename for f in traceback.extract_stack())
+
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "ä😀")], "id long, text string")
+    assert [r.tokens for r in callbacks.counted(rows, "text", made_by_pandas).orderBy("id").collect()] == [0, 0, 0]
+    assert [r.tokens for r in callbacks.counted(rows, "text", len).orderBy("id").collect()] == [3, 0, 2]
