@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,5 +40,9 @@ def counted(rows: DataFrame, text: str, counter: Callable[[str], int] | Column |
     elif isinstance(counter, Column):
         value = counter.cast("long")
     else:
-        value = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else counter(t)).astype("Int64"), T.LongType())(F.col(text))
+        # Texts leave their Arrow batch one by one, so a worker never holds a batch of them as Python's own.
+        def numbers(texts: pa.Array) -> pa.Array:
+            return pa.array((None if t is None else counter(t) for t in (x.as_py() for x in texts)), pa.int64())
+
+        value = F.arrow_udf(numbers, T.LongType())(F.col(text))
     return rows.withColumn(name, F.coalesce(F.when(F.col(text).isNotNull(), value), F.lit(0)))
