@@ -122,3 +122,13 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 3), (7, 7), (4, 5), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (None, 3)]
     got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {2: 1, 3: 1, 9: 1, 5: 4} | {i: 20 for i in range(21, 26)}
+
+
+def test_entries_are_counted_where_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(N, "materialize", lambda df, name: df)
+    rows = spark.createDataFrame([(7, 1, 5), (7, 2, 6), (8, 1, 5), (9, 3, 5), (9, 4, 5), (9, 5, 5)], "entry long, v long, n long")
+    found = N.shared_rows(rows)
+    assert sorted(map(tuple, found.collect())) == [(7, 1, 5, 2), (7, 2, 6, 2), (9, 3, 5, 3), (9, 4, 5, 3), (9, 5, 5, 3)]
+    # One read of the rows: before, they were read for their counts too, and joined.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
