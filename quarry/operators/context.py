@@ -129,12 +129,12 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def skill_context(edges: DataFrame, nodes: DataFrame, roots: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Each root with all that it needs, dependencies first, and whether the whole can be used: a cycle, a missing skill or a
     conflict (a, b) within it speaks against it."""
-    reached = cut(closure(edges, roots).select("root", "node"))
+    reached = closure(edges, roots).select("root", "node")
     level = dependency_levels(edges, nodes)
-    j = reached.join(level, "node", "left")
-    whole = j.groupBy("root").agg(F.count_if(F.col("level").isNull()).alias("cyclic"), F.count_if(~F.coalesce("stored", F.lit(False))).alias("missing"))
     clash = conflicts_inside(reached, conflicts).select("root").distinct().withColumn("clash", F.lit(True))
-    state = F.when(F.col("cyclic") > 0, "cycle").when(F.col("missing") > 0, "missing").when(F.col("clash"), "conflict").otherwise("ok")
+    # All pairs move twice: to their nodes' levels, and to their roots.
+    j = reached.join(level, "node", "left").join(clash, "root", "left")
+    any_ = lambda c: F.max(c).over(Window.partitionBy("root"))
+    state = F.when(any_(F.col("level").isNull()), "cycle").when(any_(~F.coalesce("stored", F.lit(False))), "missing").when(F.col("clash"), "conflict").otherwise("ok")
     order = Window.partitionBy("root").orderBy(F.col("level").asc_nulls_last(), "node")
-    out = j.join(whole.join(clash, "root", "left").select("root", state.alias("state")), "root")
-    return out.select("root", "node", F.row_number().over(order).alias("place"), "level", "state")
+    return j.select("root", "node", F.row_number().over(order).alias("place"), "level", state.alias("state"))

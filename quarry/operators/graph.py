@@ -91,7 +91,8 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
 def conflicts_inside(reached: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Conflicting pairs (a, b) of which one root reaches both."""
     a = reached.select("root", F.col("node").alias("a"))
-    b = reached.select("root", F.col("node").alias("b"))
+    # Only what is the second of some conflict meets the first ones.
+    b = reached.select("root", F.col("node").alias("b")).join(conflicts.select("b").distinct(), "b", "left_semi")
     return a.join(conflicts, "a").join(b, ["root", "b"]).select("root", "a", "b")
 
 
