@@ -155,6 +155,37 @@ def test_near_copies_travel_once(spark):
     assert written() - before < 20_000_000
 
 
+def test_near_copies_meet_once_and_in_cells(spark, monkeypatch):
+    """Candidates are one row where they first meet, and the sets of a group travel a few times; parts and cells of few sets change nothing."""
+    words, r = [hashlib.sha256(b"%d" % i).hexdigest()[:24] for i in range(300)], random.Random(3)
+    rows = [(f"c{i}", "x", " ".join([w for w in words if r.random() > 0.07])) for i in range(300)]
+    rows += [(f"d{i}", "xy"[i % 2], " ".join(words[:7] + [f"tail{i % 9}", f"more{i % 5}"])) for i in range(60)] + [("e", "x", "alone here"), (None, "x", rows[0][2])]
+    docs = spark.createDataFrame(rows, "id string, b string, content string").repartition(4)
+
+    def written() -> int:
+        held = spark._jsc.sc().statusStore().executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    def found() -> dict:
+        got = governance.near_duplicates(docs, "b", 0.72).collect()
+        out = {(r.a_id, r.b_id): r.similarity for r in got}
+        assert len(out) == len(got)
+        return out
+
+    before, limit = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        whole = found()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert written() - before < 6_000_000
+    sets = {i: (b, set(t.split())) for i, b, t in rows if i}
+    assert whole == {(i, j): round(len(x & y) / len(x | y), 3) for i, (b, x) in sets.items() for j, (c, y) in sets.items() if i < j and b == c and len(x & y) / len(x | y) >= 0.72}
+    monkeypatch.setattr(governance, "SIDE", 20)
+    monkeypatch.setattr(governance, "NUMBERS", 70)
+    assert found() == whole
+
+
 def plain_closure(edges, roots):
     out = {}
     for r in roots:
