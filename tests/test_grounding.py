@@ -186,6 +186,26 @@ def test_near_copies_meet_once_and_in_cells(spark, monkeypatch):
     assert found() == whole
 
 
+def test_targets_of_pairs_are_not_shuffled(spark):
+    """The list has no repeats, whatever the ids, and its pairs are not dealt out again to find any."""
+    from quarry.plans import vault as plans
+
+    text = "some words that all these items have in common"
+    ids = ["a", "b<->c", "a<->b", "c", "a", "semantic_conflict:k"]
+    none = ["cast(null as array<string>) AS tags", "'' AS claim", "'s' AS scope", "'k' AS kind"]
+
+    def listed(ids: list[str]) -> tuple[list[str], str]:
+        items = spark.createDataFrame([(i, text) for i in ids], "id string, content string").selectExpr("id", "content", *none)
+        out = plans.consolidation(items)
+        return sorted(r.target for r in out.collect()), out._jdf.queryExecution().optimizedPlan().toString()
+
+    pairs = {"<->".join((x, y)) for x in ids for y in ids if x < y}
+    assert listed(ids)[0] == sorted(pairs)  # "a<->b<->c" in two ways, and those of the repeated id
+    found, plan = listed([f"n{i}" for i in range(40)])
+    assert found == sorted(f"n{i}<->n{j}" for i in range(40) for j in range(40) if f"n{i}" < f"n{j}")
+    assert plan.splitlines()[0].startswith("Union")  # no aggregate over all pairs
+
+
 def plain_closure(edges, roots):
     out = {}
     for r in roots:
