@@ -206,6 +206,13 @@ def test_targets_of_pairs_are_not_shuffled(spark):
     assert plan.splitlines()[0].startswith("Union")  # no aggregate over all pairs
 
 
+def test_health_reads_contents_for_pairs_only(spark):
+    from quarry.plans import vault as plans
+
+    out = plans.vault_health(spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if "documents.parquet" in f]  # states come from the table without contents
+
+
 def plain_closure(edges, roots):
     out = {}
     for r in roots:
