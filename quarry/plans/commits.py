@@ -19,7 +19,8 @@ from quarry.sources.adapters import table, with_sql
 def written_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "vault")
     items.write_items(vault.serialized(adapters.memory_items(spark, sf_dir).drop("source_hash", "tags", "claim")), folder.removeprefix("file:"))
-    return vault.parse_items(vault.markdown_files(spark, folder)).select("path", "id", "kind", "scope", "status", "confidence", F.sha2("content", 256).alias("digest"))
+    files = items.read_items(spark, folder.removeprefix("file:")).filter(F.endswith("path", F.lit(".md"))).withColumn("content", F.col("content").cast("string"))
+    return vault.parse_items(files).select("path", "id", "kind", "scope", "status", "confidence", F.sha2("content", 256).alias("digest"))
 
 
 ORACLES["written_items"] = with_sql("memory_items") + f"""

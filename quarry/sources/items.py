@@ -8,12 +8,15 @@ pyarrow's file systems reach.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 from uuid import uuid4
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.lineage import cut
@@ -92,6 +95,71 @@ def present(root: str):
     return look
 
 
+def below(root: str):
+    """Folders (folder), relative to the root, to the folders and files in them (path, is_dir)."""
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = files(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                for part in entries(system, f"{at}/{folder}".rstrip("/")):
+                    yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}".lstrip("/") for name, _ in part], "is_dir": pa.array([d for _, d in part], pa.bool_())})
+
+    return look
+
+
+def entries(system: fs.FileSystem, folder: str, size: int = 10_000) -> Iterator[list[tuple[str, bool]]]:
+    """Names in a folder, and whether they are folders, in parts of this size; those that begin with a dot or underscore are hidden."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:  # one after the other: a folder may hold millions
+            names = ((x.name, x.is_dir()) for x in found if x.name[0] not in "._")
+            while part := list(islice(names, size)):
+                yield part
+        return
+    names = [(x.base_name, x.type == fs.FileType.Directory) for x in system.get_file_info(fs.FileSelector(folder)) if x.base_name[0] not in "._"]
+    for i in range(0, len(names), size):
+        yield names[i:i + size]
+
+
+def contents(root: str):
+    """Paths to (path, content, bytes), in batches of about 16 MB."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = files(root)
+        for batch in batches:
+            held, size = [], 0
+            for path in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{at}/{path}", compression=None) as f:
+                    held.append((path, f.read()))
+                size += len(held[-1][1])
+                if size > 16 << 20:
+                    yield read_rows(held)
+                    held, size = [], 0
+            if held:
+                yield read_rows(held)
+
+    return read
+
+
+def read_rows(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.string()), pa.array([c for _, c in held], pa.binary()), pa.array([len(c) for _, c in held], pa.int64())], ["path", "content", "bytes"])
+
+
+def read_items(spark: SparkSession, root: str) -> DataFrame:
+    """path (below the root), content (bytes) and length of all files: tasks list the folders, level by level, and read the files.
+
+    Spark's own file sources keep the listing, and each task's share of it, on the driver; here it stays in tables.
+    """
+    root, found = root.rstrip("/"), []
+    folders = spark.createDataFrame([("",)], "folder string")
+    while True:
+        level = cut(folders.repartition("folder").mapInArrow(below(root), "path string, is_dir boolean"))
+        found.append(level.filter("not is_dir").select("path"))
+        folders = level.filter("is_dir").select(F.col("path").alias("folder"))
+        if folders.isEmpty():
+            break
+    paths = reduce(DataFrame.unionByName, found)
+    return paths.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(contents(root), "path string, content binary, bytes long")
+
+
 def moved(root: str, staging: str):
     """Files to their places; counts. A task that is tried again finds some of its files moved."""
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

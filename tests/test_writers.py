@@ -7,6 +7,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 
 from quarry.operators import callbacks
+from quarry.plans import commits as plans
 from quarry.sources import commits, items, knowledge, vault
 
 
@@ -14,6 +15,21 @@ def files_below(root):
     return {str(p.relative_to(root)): p.read_text("utf-8") for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
 
 
+def test_items_are_read_by_tasks(spark, tmp_path):
+    """Folders are listed by tasks, so the plan that the driver holds names no file; hidden names are left out."""
+    want = {f"n{i % 3}/d/{i}.md": f"text {i} é" * (i + 1) for i in range(40)} | {"top.md": "", "n0/note.txt": "other"}
+    for path, text in (want | {"_hid/a.md": "no", ".x.md": "no", "n1/_b.md": "no"}).items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text, "utf-8")
+    rows = items.read_items(spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {r.path: r.content.decode() for r in rows} == want and all(r.bytes == len(r.content) for r in rows)
+    assert items.read_items(spark, str(tmp_path / "_hid")).count() == 1
+    (tmp_path / "none").mkdir()
+    assert items.read_items(spark, str(tmp_path / "none")).count() == 0
+    out = plans.written_items(spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if f.endswith(".md")] and out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
 def test_items_are_written_as_files(spark, tmp_path):
     root = tmp_path / "vault"
     df = spark.createDataFrame([(f"notes/{i}.md", f"text {i} é") for i in range(50)] + [("deep/er/x.md", None)], "path string, content string").repartition(4)
